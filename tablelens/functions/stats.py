@@ -32,12 +32,24 @@ def sample_skewness(c: str) -> str:
     return f"CASE WHEN {n} >= 3 THEN skewness({c}) * try_divide(sqrt({n} * ({n} - 1)), {n} - 2) END"
 
 
-def pearson(x: str, y: str, x_nullable: bool = True, y_nullable: bool = True) -> str:
-    """Correlation over the rows where both are present; null if either has no spread."""
-    x_seen = f"CASE WHEN {y} IS NOT NULL THEN {x} END" if y_nullable else x
-    y_seen = f"CASE WHEN {x} IS NOT NULL THEN {y} END" if x_nullable else y
-    r = f"try_divide(covar_pop({x}, {y}), stddev_pop({x_seen}) * stddev_pop({y_seen}))"
-    return f"CASE WHEN {r} IS NOT NULL THEN greatest(-1D, least(1D, {r})) END"
+def number(x: float) -> str:
+    """A double as SQL text, to the last bit."""
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def from_sums() -> Column:
+    """Correlation from n, sx, sy, sxx, syy, sxy of values shifted by mx and my, their means; null without spread."""
+    n = F.col("n")
+    xx = F.col("sxx") - F.col("sx") * F.try_divide(F.col("sx"), n)
+    yy = F.col("syy") - F.col("sy") * F.try_divide(F.col("sy"), n)
+    xy = F.col("sxy") - F.col("sx") * F.try_divide(F.col("sy"), n)
+    # a spread within the rounding error of the values themselves (near mx, my) counts as none
+    def noise(mean: str) -> Column:
+        return n * F.pow(F.abs(mean) * 1e-13, F.lit(2.0))
+
+    flat = (xx <= noise("mx")) | (yy <= noise("my"))
+    r = F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))
+    return F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def t_statistic(r: Column, n: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT, LensConfig
 from tablelens.functions import text as tx
-from tablelens.functions.stats import correlation_p_value, pearson, t_statistic
+from tablelens.functions.stats import correlation_p_value, from_sums, number, t_statistic
 from tablelens.operators.column_stats import kind_of
 from tablelens.operators.profiling import value_counts
 from tablelens.operators.quantiles import exact_quantiles, grouped_median
@@ -158,27 +158,40 @@ PAIR_SCHEMA = "ord int, x string, y string, n bigint, r double"
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]], nullable: set[str] | None = None,
                  cfg: LensConfig = DEFAULT) -> DataFrame:
-    """r of column pairs over the rows where both are present: ord, x, y, n, r.
+    """r of column pairs over the rows where both are present: ord, x, y, n, r; null without spread.
 
-    All pairs share one scan (blocks of pairs_per_pass when there are very many); columns known to have no
-    nulls share their moments across pairs.
+    Two scans for all pairs (more in blocks of pairs_per_pass when there are very many): column means first,
+    then plain sums of products of deviations, which combine before the shuffle and stay accurate. Columns known
+    to have no nulls share their own sums across pairs.
     """
-    found = []
     place = {c: i for i, c in enumerate(dict.fromkeys(c for p in pairs for c in p))}
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     values = df.selectExpr(*[f"CAST({tx.ident(c)} AS DOUBLE) AS v{i}" for c, i in place.items()])
+    centre = values.agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in place.values()]).first()
+    moved = values.selectExpr(*[f"v{i} - {number(centre[f'v{i}'] or 0.0)} AS v{i}" for i in place.values()])
+    found = []
     for start in range(0, len(pairs), cfg.pairs_per_pass):
         block = pairs[start:start + cfg.pairs_per_pass]
-        aggs = []
-        for k, (x, y) in enumerate(block):
-            vx, vy = f"v{place[x]}", f"v{place[y]}"
-            nx, ny = (nullable is None or x in nullable), (nullable is None or y in nullable)
-            aggs.append(F.expr(f"count({vx} + {vy}) AS n{k}"))
-            aggs.append(F.expr(f"{pearson(vx, vy, nx, ny)} AS r{k}"))
-        row = values.agg(*aggs).first()
-        found += [(start + k, x, y, row[f"n{k}"], row[f"r{k}"]) for k, (x, y) in enumerate(block)]
-    return df.sparkSession.createDataFrame(found, PAIR_SCHEMA)
+        wanted = [_pair_sums(f"v{place[x]}", f"v{place[y]}", nullable is None or x in nullable,
+                             nullable is None or y in nullable) for x, y in block]
+        sums = {e: f"s{k}" for k, e in enumerate(dict.fromkeys(e for w in wanted for e in w))}
+        row = moved.agg(*[F.expr(f"{e} AS {name}") for e, name in sums.items()]).first()
+        for k, ((x, y), w) in enumerate(zip(block, wanted)):
+            n, sx, sy, sxx, syy, sxy = (row[sums[e]] for e in w)
+            mx, my = (centre[f"v{place[c]}"] for c in (x, y))
+            found.append((start + k, x, y, n, mx, my, *((None,) * 5 if not n else (sx, sy, sxx, syy, sxy))))
+    rows = df.sparkSession.createDataFrame(
+        found, "ord int, x string, y string, n bigint, mx double, my double, sx double, sy double, sxx double, syy double, sxy double")
+    return rows.select("ord", "x", "y", "n", from_sums().alias("r"))
+
+
+def _pair_sums(x: str, y: str, x_nullable: bool, y_nullable: bool) -> list[str]:
+    """n, sum x, sum y, sum xx, sum yy, sum xy over the rows where both are present."""
+    a = f"CASE WHEN {y} IS NOT NULL THEN {x} END" if y_nullable else x
+    b = f"CASE WHEN {x} IS NOT NULL THEN {y} END" if x_nullable else y
+    n = f"count({a})" if x_nullable or y_nullable else "count(1)"
+    return [n, f"sum({a})", f"sum({b})", f"sum({a} * {a})", f"sum({b} * {b})", f"sum({x} * {y})"]
 
 
 def strong_pairs(df: DataFrame, columns: list[str], nullable: set[str] | None = None, cfg: LensConfig = DEFAULT) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT, LensConfig
-from tablelens.functions.stats import approx_distinct
+from tablelens.functions.stats import approx_distinct, number
 from tablelens.functions.text import col, ident
 from tablelens.sources.tables import broadcast_if_small, cut_lineage
 
@@ -60,10 +60,6 @@ def _quantiles(values: DataFrame, n_cols: int, probs: list[float], cfg: LensConf
     return _finish(values, probs, totals, _narrow(values, probs, totals, brackets, per_task, cfg))
 
 
-def _number(x: float) -> str:
-    return f"CAST('{x!r}' AS DOUBLE)"
-
-
 def _narrow(values, probs, totals, brackets, per_task, cfg):
     """Shrink every bracket that the sketch error alone leaves too full."""
     share = 4.0 / cfg.quantile_accuracy
@@ -72,7 +68,7 @@ def _narrow(values, probs, totals, brackets, per_task, cfg):
     while todo:
         aggs = []
         for t, (i, j) in enumerate(todo):
-            lo, hi = _number(brackets[i, j].lo), _number(brackets[i, j].hi)
+            lo, hi = number(brackets[i, j].lo), number(brackets[i, j].hi)
             inside = f"CASE WHEN v{i} >= {lo} AND v{i} <= {hi} THEN v{i} END"
             aggs.append(F.expr(
                 f"struct(count_if(v{i} < {lo}) AS below, count({inside}) AS m, {approx_distinct(inside)} AS d, "
@@ -103,7 +99,7 @@ def _finish(values, probs, totals, brackets):
             aggs.append(F.expr(f"percentile(v{i}, array({', '.join(map(str, probs))})) AS w{i}"))
     for (i, j), b in brackets.items():
         if b is not None:
-            lo, hi = _number(b.lo), _number(b.hi)
+            lo, hi = number(b.lo), number(b.hi)
             aggs.append(F.expr(
                 f"struct(percentile(CASE WHEN v{i} IS NOT NULL THEN greatest({lo}, least({hi}, v{i})) END, {probs[j]}) "
                 f"AS q, count_if(v{i} < {lo}) AS below, count_if(v{i} <= {hi}) AS upto) AS t{i}_{j}"))

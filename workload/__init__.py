@@ -1,0 +1 @@
+"""Queries over the driver's tables, each beside the SQL that states its result."""

@@ -282,7 +282,7 @@ def r05_points(spark, sf_dir):
 
 @query("r05_trend", f"""
 SELECT round(regr_slope(net, l_extendedprice), 6) AS slope, round(regr_intercept(net, l_extendedprice), 4) AS intercept,
-  regr_count(net, l_extendedprice) AS n, min(l_extendedprice) AS x_min, max(l_extendedprice) AS x_max FROM {PRICED_SQL}""")
+  CAST(regr_count(net, l_extendedprice) AS BIGINT) AS n, min(l_extendedprice) AS x_min, max(l_extendedprice) AS x_max FROM {PRICED_SQL}""")
 def r05_trend(spark, sf_dir):
     return rounded(rounded(cd.trend(priced_lineitem(spark, sf_dir), "l_extendedprice", "net"), "slope", digits=6), "intercept") \
         .withColumn("n", F.col("n").cast("bigint"))

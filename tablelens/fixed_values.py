@@ -18,6 +18,7 @@ IDENTIFIER_NAME_PATTERNS = (
 
 # --- value patterns
 CURRENCY_SHAPE = r"^\s*[€$£¥₹]?\s*[\d,]+\.?\d*\s*[€$£¥₹]?\s*$"
+CURRENCY_NOISE = r"€$£¥₹,\s"
 CURRENCY_NOISE_CHARS = "€$£¥₹, \t\n\x0b\f\r"
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 DUPLICATE_NAME_SUFFIX = r"\.\d+$"

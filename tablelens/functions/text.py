@@ -49,14 +49,29 @@ def looks_like_currency(c: str) -> str:
     return f"{c} RLIKE {literal(fv.CURRENCY_SHAPE)}"
 
 
-def looks_like_number(c: str) -> str:
-    """Plain decimal or scientific notation, thousands separators allowed."""
-    return f"replace({c}, ',', '') RLIKE {literal(fv.NUMBER_SHAPE)}"
+def without_currency_noise(c: str) -> str:
+    return f"translate({c}, {literal(fv.CURRENCY_NOISE_CHARS)}, '')"
 
 
-def looks_like_currency_number(c: str) -> str:
-    """What is left after removing currency symbols, separators and spaces is a number."""
-    return f"translate({c}, {literal(fv.CURRENCY_NOISE_CHARS)}, '') RLIKE {literal(fv.NUMBER_SHAPE)}"
+def _number_among(noise: str) -> str:
+    """A number with the given characters allowed anywhere in it: what removing them first would accept."""
+    n, d = f"[{noise}]*", f"[{noise}\\d]*"
+    return rf"{n}([+-]{n})?(\d{d}(\.{d})?|\.{n}\d{d})([eE]{n}([+-]{n})?\d{d})?"
+
+
+def casts_as_currency(c: str) -> str:
+    """parse_currency gives a number, tested on the text as it is."""
+    return f"{c} RLIKE {literal('^' + _number_among(fv.CURRENCY_NOISE) + '$')}"
+
+
+def casts_as_number(c: str) -> str:
+    """parse_grouped_number gives a number, tested on the text as it is."""
+    return f"{c} RLIKE {literal('^[,' + chr(92) + 's]*' + _number_among(',') + '[,' + chr(92) + 's]*$')}"
+
+
+def could_be_listed_word(c: str) -> str:
+    """Cheap first test: no longer than the longest listed word."""
+    return f"length(trim({c})) <= {max(map(len, fv.SENTINEL_WORDS + fv.BOOLEAN_WORDS))}"
 
 
 def may_be_number_or_date(c: str) -> str:
@@ -70,7 +85,7 @@ def parse_number(c: str) -> str:
 
 
 def parse_currency(c: str) -> str:
-    return parse_number(f"translate({c}, {literal(fv.CURRENCY_NOISE_CHARS)}, '')")
+    return parse_number(without_currency_noise(c))
 
 
 def parse_grouped_number(c: str) -> str:

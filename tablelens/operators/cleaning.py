@@ -183,7 +183,7 @@ def column_findings(decided: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
                 F.concat(F.col("sentinels").cast("string"),
                          F.lit(" values like 'N/A', 'unknown', '-' replaced.")), F.col("sentinels")),
         finding("currency", act == "currency", 2,
-                F.concat(F.lit("Example original value: '"), "example", F.lit("'")), F.col("currency_cast")),
+                F.concat(F.lit("Example original value: '"), "min_text", F.lit("'")), F.col("currency_cast")),
         finding("number", act == "number", 2,
                 F.concat(_percent(share), F.lit(" of sampled values are valid numbers.")), F.col("number_like")),
         finding("mixed", act == "mixed", 2,
@@ -206,9 +206,10 @@ def column_findings(decided: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
             .select("f.rank", "f.ord", "step", "f.column", "f.rule", "f.detail", "f.n"))
 
 
-def extreme_outliers(df: DataFrame, columns: dict[str, str], cfg: LensConfig = DEFAULT) -> DataFrame:
+def extreme_outliers(df: DataFrame, columns: dict[str, str], cfg: LensConfig = DEFAULT,
+                     sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Exact quartiles, 3-IQR fences, extremes and counts outside, for numeric SQL expressions with a spread."""
-    quartiles = {n: q for n, q in exact_quantiles(df, columns, [0.25, 0.75], cfg).items() if q and q[1] > q[0]}
+    quartiles = {n: q for n, q in exact_quantiles(df, columns, [0.25, 0.75], cfg, sizes).items() if q and q[1] > q[0]}
     schema = ("column string, q1 double, q3 double, lower double, upper double, min_num double, max_num double, "
               "n_outside bigint")
     if not quartiles:
@@ -258,7 +259,7 @@ def assemble_report(findings: DataFrame) -> DataFrame:
 def clean(df: DataFrame, cfg: LensConfig = DEFAULT, check_rows: bool = True) -> Cleaned:
     """Screen and clean a table. One wide scan for the statistics, then one each for fences and duplicate rows."""
     df = without_nan(df)
-    decided = pin_small(decide(column_stats(df, cfg), repeated_names(df.columns), cfg))
+    decided = pin_small(decide(column_stats(df, cfg, quartiles=False), repeated_names(df.columns), cfg))
     rows = decided.orderBy("ord").collect()
     table = project(df, rows)
     kept = set(table.columns)
@@ -266,7 +267,8 @@ def clean(df: DataFrame, cfg: LensConfig = DEFAULT, check_rows: bool = True) ->
                and (r["kind"] in NUMERIC_KINDS or r["action"] == "number")}
     findings = column_findings(decided, cfg)
     if numeric:
-        findings = findings.unionByName(_outlier_findings(extreme_outliers(df, numeric, cfg), decided, cfg))
+        native = {r["column"]: (r["rows"] - r["nulls"], r["approx_distinct"]) for r in rows if r["kind"] in NUMERIC_KINDS}
+        findings = findings.unionByName(_outlier_findings(extreme_outliers(df, numeric, cfg, native), decided, cfg))
     if check_rows:
         findings = findings.unionByName(_row_findings(row_groups(df.select(*[tx.col(c) for c in table.columns]), cfg)))
     report = pin_small(assemble_report(findings))

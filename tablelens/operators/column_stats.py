@@ -28,7 +28,7 @@ STATS_FIELDS = {
     "rows": "BIGINT", "nulls": "BIGINT", "approx_distinct": "BIGINT", "single_value": "BOOLEAN",
     "min_num": "DOUBLE", "max_num": "DOUBLE", "mean": "DOUBLE", "std": "DOUBLE", "skewness": "DOUBLE",
     "q1": "DOUBLE", "median": "DOUBLE", "q3": "DOUBLE",
-    "min_text": "STRING", "max_text": "STRING", "span_days": "BIGINT", "avg_length": "DOUBLE", "example": "STRING",
+    "min_text": "STRING", "max_text": "STRING", "span_days": "BIGINT", "avg_length": "DOUBLE",
     "sentinels": "BIGINT", "currency_like": "BIGINT", "currency_cast": "BIGINT", "currency_cast_kept": "BIGINT",
     "number_like": "BIGINT", "number_like_kept": "BIGINT", "not_boolean": "BIGINT",
     "any_date": "BIGINT", "best_date": "BIGINT", "date_format": "STRING",
@@ -73,12 +73,16 @@ def _flag_word(c: str) -> str:
     def bit(test: str, value: int) -> str:
         return f"CASE WHEN {test} THEN {value} ELSE 0 END"
 
-    words = [bit(tx.is_sentinel(c), SENTINEL), bit(tx.is_boolean_word(c), BOOLEAN)]
-    shaped = [bit(tx.looks_like_currency(c), CURRENCY), bit(tx.looks_like_currency_number(c), CAST),
-              bit(tx.looks_like_number(c), NUMBER)]
-    shaped += [bit(f"{tx.parse_date(c, f)} IS NOT NULL", v) for f, v in zip(DATE_FORMAT_NAMES, DATES)]
-    return (f"CASE WHEN {c} IS NULL THEN NULL ELSE {' + '.join(words)} + "
-            f"CASE WHEN {tx.may_be_number_or_date(c)} THEN {' + '.join(shaped)} ELSE 0 END END")
+    words = f"{bit(tx.is_sentinel(c), SENTINEL)} + {bit(tx.is_boolean_word(c), BOOLEAN)}"
+    dates = {f: bit(f"{tx.parse_date(c, f)} IS NOT NULL", v) for f, v in zip(DATE_FORMAT_NAMES, DATES)}
+    # what casts as a number can only be a date without separators, and nothing else can
+    plain = [d for f, d in dates.items() if not any(m in f for m in "/-")]
+    marked = [d for f, d in dates.items() if any(m in f for m in "/-")]
+    shaped = (f"{bit(tx.looks_like_currency(c), CURRENCY)} + CASE WHEN {tx.casts_as_currency(c)} "
+              f"THEN {' + '.join([str(CAST), bit(tx.casts_as_number(c), NUMBER), *plain])} ELSE {' + '.join(marked)} END")
+    return (f"CASE WHEN {c} IS NULL THEN NULL ELSE "
+            f"CASE WHEN {tx.could_be_listed_word(c)} THEN {words} ELSE 0 END + "
+            f"CASE WHEN {tx.may_be_number_or_date(c)} THEN {shaped} ELSE 0 END END")
 
 
 def _text_aggs() -> dict[str, str]:
@@ -95,7 +99,6 @@ def _text_aggs() -> dict[str, str]:
         "number_like_kept": having(NUMBER, without=SENTINEL),
         "not_boolean": f"count_if(f & {BOOLEAN} = 0)",
         "any_date": having(sum(DATES)),
-        "example": f"min(CASE WHEN f & {CURRENCY} <> 0 THEN t END)",
     }
     return out | {f"date_{i}": having(v) for i, v in enumerate(DATES)}
 
@@ -120,7 +123,7 @@ def _text_stats(df: DataFrame, columns: dict[int, T.StructField], text_rules: bo
     return values.groupBy("ord").agg(*_named(aggs))
 
 
-def _value_stats(df: DataFrame, columns: dict[int, T.StructField], cfg: LensConfig) -> DataFrame:
+def _value_stats(df: DataFrame, columns: dict[int, T.StructField], quartiles: bool, cfg: LensConfig) -> DataFrame:
     """Everything but text: numbers and booleans as double, dates as timestamp, and a hash for all types."""
     structs = []
     for i, f in columns.items():
@@ -135,7 +138,8 @@ def _value_stats(df: DataFrame, columns: dict[int, T.StructField], cfg: LensConf
         "single_value": "min(h) = max(h)",
         "min_num": "min(num)", "max_num": "max(num)", "mean": "avg(num)", "std": "stddev_samp(num)",
         "skewness": sample_skewness("num"),
-        "q": f"percentile_approx(num, array(0.25, 0.5, 0.75), {cfg.quantile_accuracy})",
+        "q": f"percentile_approx(num, array(0.25, 0.5, 0.75), {cfg.quantile_accuracy})" if quartiles
+             else "CAST(NULL AS ARRAY<DOUBLE>)",
         "min_ts": "min(ts)", "max_ts": "max(ts)",
     }
     return _long(df, structs).groupBy("ord").agg(*_named(aggs)).selectExpr(
@@ -165,8 +169,9 @@ def _as_stats(stats: DataFrame, schema: DataFrame) -> DataFrame:
         for n, t in STATS_FIELDS.items()])
 
 
-def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = True) -> DataFrame:
-    """One row per column. Counts, moments and extremes are exact; distinct counts and quartiles are sketches.
+def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = True, quartiles: bool = True) -> DataFrame:
+    """One row per column. Counts, moments and extremes are exact; distinct counts and quartiles are sketches
+    (without ``quartiles`` they stay empty, for callers that compute exact ones).
 
     Values are turned into (column, value) rows inside the scan and aggregated by column before the shuffle, so the
     generated code does not grow with the width of the table. Text and other columns, and blocks of columns in a
@@ -179,7 +184,7 @@ def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = Tr
     for group, is_text in ((other, False), (text, True)):
         for start in range(0, len(group), cfg.columns_per_pass):
             block = {i: fields[i] for i in group[start:start + cfg.columns_per_pass]}
-            stats = _text_stats(df, block, text_rules) if is_text else _value_stats(df, block, cfg)
+            stats = _text_stats(df, block, text_rules) if is_text else _value_stats(df, block, quartiles, cfg)
             names = [(i, f.name, f.dataType.simpleString(), kind_of(f.dataType)) for i, f in block.items()]
             schema = df.sparkSession.createDataFrame(names, "ord int, column string, type string, kind string")
             parts.append(_as_stats(stats, schema))
@@ -224,10 +229,16 @@ def _with_values(stats: DataFrame, values: dict[str, tuple], schema: str) -> Dat
     return stats.join(F.broadcast(known), "column", "left")
 
 
+def sizes(stats: DataFrame) -> dict[str, tuple[int, int]]:
+    """Values and (sketched) distinct values per column, as exact_quantiles takes them."""
+    return {r["column"]: (r["rows"] - r["nulls"], r["approx_distinct"])
+            for r in stats.select("column", "rows", "nulls", "approx_distinct").collect()}
+
+
 def with_exact_quartiles(df: DataFrame, stats: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
     """Replace the sketched quartiles of numeric columns by exact ones."""
     numeric = {f.name: finite(tx.ident(f.name), f.dataType) for f in df.schema if kind_of(f.dataType) in NUMERIC_KINDS}
-    found = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], cfg)
+    found = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], cfg, sizes(stats))
     return _with_values(stats.drop("q1", "median", "q3"), {c: tuple(q) for c, q in found.items() if q},
                         "q1 double, median double, q3 double")
 
@@ -259,7 +270,7 @@ def with_outliers(df: DataFrame, stats: DataFrame, k: float, cfg: LensConfig = D
 def pinned_stats(df: DataFrame, cfg: LensConfig = DEFAULT, distinct: str = "refine", exact_quartiles: bool = True,
                  text_rules: bool = True, outlier_k: float | None = None) -> DataFrame:
     """column_stats with the chosen refinements, run once and kept as a small local table."""
-    stats = with_distinct(df, pin_small(column_stats(df, cfg, text_rules)), distinct, cfg)
+    stats = with_distinct(df, pin_small(column_stats(df, cfg, text_rules, quartiles=not exact_quartiles)), distinct, cfg)
     if exact_quartiles:
         stats = with_exact_quartiles(df, stats, cfg)
     if outlier_k is not None:

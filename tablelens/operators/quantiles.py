@@ -20,6 +20,17 @@ from tablelens.functions.text import col, ident
 from tablelens.sources.tables import broadcast_if_small, cut_lineage
 
 GRID = [i / 200 for i in range(201)]
+GRID_ACCURACY = 1000  # the least that keeps the sketch error well below a grid step
+
+
+def _margin(limit: int, cfg: LensConfig) -> float:
+    """How far around a quantile its bracket reaches: twice the sketch error, and three values in a group that
+    only just exceeds the limit."""
+    return 2.0 / cfg.quantile_accuracy + 3.0 / limit
+
+
+def _limit(cfg: LensConfig, columns: int = 1) -> int:
+    return max(1000, cfg.exact_values_in_memory // max(1, columns))
 
 
 @dataclass
@@ -29,40 +40,48 @@ class _Bracket:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, str], probs: list[float], cfg: LensConfig = DEFAULT
+    df: DataFrame, columns: dict[str, str], probs: list[float], cfg: LensConfig = DEFAULT,
+    sizes: dict[str, tuple[int, int]] | None = None,
 ) -> dict[str, list[float] | None]:
-    """Quantiles of several numeric SQL expressions, by name; one short list per expression comes back."""
+    """Quantiles of several numeric SQL expressions, by name; one short list per expression comes back.
+
+    ``sizes`` gives values and distinct values per name where they are known; expressions with few distinct
+    values then need no sketch.
+    """
     out: dict[str, list[float] | None] = {}
     names = list(columns)
     for start in range(0, len(names), cfg.columns_per_pass):
         block = names[start:start + cfg.columns_per_pass]
         values = df.selectExpr(*[f"CAST({columns[n]} AS DOUBLE) AS v{i}" for i, n in enumerate(block)])
-        out.update(zip(block, _quantiles(values, len(block), probs, cfg)))
+        known = [(sizes or {}).get(n) for n in block]
+        out.update(zip(block, _quantiles(values, known, probs, cfg)))
     return out
 
 
-def _quantiles(values: DataFrame, n_cols: int, probs: list[float], cfg: LensConfig) -> list[list[float] | None]:
-    width = 2.0 / cfg.quantile_accuracy
+def _quantiles(values: DataFrame, known: list[tuple[int, int] | None], probs: list[float],
+               cfg: LensConfig) -> list[list[float] | None]:
+    per_task = _limit(cfg, len(known))
+    width = _margin(per_task, cfg)
     ends = ", ".join(str(max(0.0, min(1.0, p + s))) for p in probs for s in (-width, width))
+    crowded = [i for i, k in enumerate(known) if k is None or k[1] * 1.1 > per_task]
     first = values.agg(*[
-        F.expr(f"struct(count(v{i}) AS n, {approx_distinct(f'v{i}')} AS d, "
+        F.expr(f"struct(count(v{i}) AS n, {approx_distinct(f'v{i}') if known[i] is None else known[i][1]} AS d, "
                f"percentile_approx(v{i}, array({ends}), {cfg.quantile_accuracy}) AS ends) AS c{i}")
-        for i in range(n_cols)
-    ]).first()
-    per_task = max(1000, cfg.exact_values_in_memory // max(1, n_cols))
-    totals = [first[f"c{i}"].n for i in range(n_cols)]
-    brackets: dict[tuple[int, int], _Bracket | None] = {}
-    for i in range(n_cols):
-        s = first[f"c{i}"]
+        for i in crowded
+    ]).first() if crowded else None
+    totals, brackets = [], {}
+    for i, k in enumerate(known):
+        s = first[f"c{i}"] if i in crowded else None
+        totals.append(s.n if s else k[0])
+        too_many = bool(s) and s.n > 0 and s.d * 1.1 > per_task
         for j in range(len(probs)):
-            too_many = s.n > 0 and s.d * 1.1 > per_task
             brackets[i, j] = _Bracket(s.ends[2 * j], s.ends[2 * j + 1]) if too_many else None
     return _finish(values, probs, totals, _narrow(values, probs, totals, brackets, per_task, cfg))
 
 
 def _narrow(values, probs, totals, brackets, per_task, cfg):
     """Shrink every bracket that the sketch error alone leaves too full."""
-    share = 4.0 / cfg.quantile_accuracy
+    share, accuracy = 2 * _margin(per_task, cfg), max(GRID_ACCURACY, cfg.quantile_accuracy)
     grid = ", ".join(map(str, GRID))
     todo = [k for k, b in brackets.items() if b and b.lo < b.hi and totals[k[0]] * share > per_task]
     while todo:
@@ -72,7 +91,7 @@ def _narrow(values, probs, totals, brackets, per_task, cfg):
             inside = f"CASE WHEN v{i} >= {lo} AND v{i} <= {hi} THEN v{i} END"
             aggs.append(F.expr(
                 f"struct(count_if(v{i} < {lo}) AS below, count({inside}) AS m, {approx_distinct(inside)} AS d, "
-                f"percentile_approx({inside}, array({grid}), {cfg.quantile_accuracy}) AS grid) AS b{t}"))
+                f"percentile_approx({inside}, array({grid}), {accuracy}) AS grid) AS b{t}"))
         row = values.agg(*aggs).first()
         left = []
         for t, (i, j) in enumerate(todo):
@@ -127,32 +146,41 @@ def grouped_median(
     v = col(value).cast("double")
     distinct = F.expr(approx_distinct(f"CAST({ident(value)} AS DOUBLE)"))
     by = [col(k) for k in keys]
-    width = 2.0 / cfg.quantile_accuracy
+    limit = _limit(cfg)
+    width = _margin(limit, cfg)
     groups = df.groupBy(*by).agg(
         F.count(v).alias("_n"),
         distinct.alias("_d"),
-        F.percentile_approx(v, [0.5 - width, 0.5 + width], cfg.quantile_accuracy).alias("_ends"),
+        F.percentile_approx(v, [max(0.0, 0.5 - width), min(1.0, 0.5 + width)], cfg.quantile_accuracy).alias("_ends"),
     )
     top = groups.agg(F.max("_d").alias("d"), F.max("_n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
-    if (top.d or 0) * 1.1 <= cfg.exact_values_in_memory:
+    if (top.d or 0) * 1.1 <= limit:
         return df.groupBy(*by).agg(F.percentile(v, 0.5).alias(name))
 
-    # keys may be null, so the bracket table is joined on a null-safe rendering of them
-    big = F.col("_d") * 1.1 > cfg.exact_values_in_memory
+    # keys may be null, so the bracket table is joined null-safely
+    big = F.col("_d") * 1.1 > limit
     brackets = groups.select(
         *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n",
         F.when(big, F.col("_ends")[0]).alias("_lo"), F.when(big, F.col("_ends")[1]).alias("_hi"),
     )
-    full = top.n * 4.0 / cfg.quantile_accuracy
-    while full > cfg.exact_values_in_memory:
-        brackets = cut_lineage(_narrow_groups(_with_brackets(df, keys, brackets, top.groups, cfg), keys, value, cfg))
+    full = top.n * 2 * width
+    while full > limit:
+        joined = _with_brackets(df, keys, brackets, top.groups, cfg)
+        brackets = cut_lineage(_narrow_groups(joined, keys, value, limit, cfg))
         now = brackets.agg(F.max("_left")).first()[0] or 0
+        brackets = brackets.drop("_left")
         if now >= full:
             break
-        full, brackets = now, brackets.drop("_left")
+        full = now
     joined = _with_brackets(df, keys, brackets, top.groups, cfg)
     clamped = F.greatest(F.coalesce("_lo", v), F.least(F.coalesce("_hi", v), v))
-    return joined.groupBy(*by).agg(F.percentile(F.when(v.isNotNull(), clamped), 0.5).alias(name))
+    found = joined.groupBy(*by).agg(
+        F.percentile(F.when(v.isNotNull(), clamped), 0.5).alias(name), F.count(v).alias("_n"),
+        F.count_if(v < F.col("_lo")).alias("_below"), F.count_if(v > F.col("_hi")).alias("_above"))
+    middle = (F.col("_n") - 1) * 0.5
+    lost = (F.col("_below") > F.floor(middle)) | (F.col("_n") - F.col("_above") < F.ceil(middle) + 1)
+    return found.select(*by, F.when((F.col("_n") > 0) & lost, F.raise_error(F.lit("a bracket lost its median")))
+                        .otherwise(col(name)).alias(name))
 
 
 def _with_brackets(df, keys, brackets, groups, cfg):
@@ -161,7 +189,7 @@ def _with_brackets(df, keys, brackets, groups, cfg):
     return df.join(side, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def _narrow_groups(joined, keys, value, cfg):
+def _narrow_groups(joined, keys, value, limit, cfg):
     v = col(value).cast("double")
     inside_sql = f"CASE WHEN {ident(value)} >= _lo AND {ident(value)} <= _hi THEN CAST({ident(value)} AS DOUBLE) END"
     inside = F.expr(inside_sql)
@@ -170,11 +198,11 @@ def _narrow_groups(joined, keys, value, cfg):
         F.count_if(v < F.col("_lo")).alias("_below"),
         F.count(inside).alias("_m"),
         F.expr(approx_distinct(inside_sql)).alias("_d"),
-        F.percentile_approx(inside, GRID, cfg.quantile_accuracy).alias("_grid"),
+        F.percentile_approx(inside, GRID, max(GRID_ACCURACY, cfg.quantile_accuracy)).alias("_grid"),
     )
     rank = F.try_divide(F.floor((F.col("_n") - 1) * 0.5) - F.col("_below"), F.col("_m"))
     at = F.floor(rank * (len(GRID) - 1)).cast("int")
-    busy = F.col("_d") * 1.1 > cfg.exact_values_in_memory
+    busy = F.col("_d") * 1.1 > limit
     return s.select(
         *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n",
         F.when(busy, F.coalesce(F.get("_grid", at - 1), "_lo")).otherwise(F.col("_lo")).alias("_lo"),

@@ -111,38 +111,49 @@ def _named(aggs: dict[str, str]) -> list:
     return [F.expr(f"{e} AS {n}") for n, e in aggs.items()]
 
 
+def _by_column(values: DataFrame, plain: dict[str, str], sketched: DataFrame, sketches: dict[str, str]) -> DataFrame:
+    """Aggregate (column, value) rows in two branches, one row per column each, and put them side by side.
+
+    Counts and moments alone run in generated code; together with sketches or text extremes, which cannot, they
+    would all be interpreted. The branches run at the same time.
+    """
+    return values.groupBy("ord").agg(*_named(plain)).join(sketched.groupBy("ord").agg(*_named(sketches)), "ord")
+
+
 def _text_stats(df: DataFrame, columns: dict[int, T.StructField], text_rules: bool) -> DataFrame:
     values = _long(df, [f"struct({i} AS ord, {tx.ident(f.name)} AS t)" for i, f in columns.items()])
-    aggs = {
-        "rows": "count(1)", "nulls": "count_if(t IS NULL)", "approx_distinct": approx_distinct("t"),
-        "single_value": "min(t) = max(t)", "min_text": "min(t)", "max_text": "max(t)", "avg_length": "avg(length(t))",
-    }
+    plain = {"rows": "count(1)", "nulls": "count_if(t IS NULL)", "avg_length": "avg(length(t))"}
+    sketches = {"approx_distinct": approx_distinct("t"), "single_value": "min(t) = max(t)",
+                "min_text": "min(t)", "max_text": "max(t)"}
+    flagged = values
     if text_rules:
-        values = values.selectExpr("ord", "t", f"{_flag_word('t')} AS f")
-        aggs |= _text_aggs()
-    return values.groupBy("ord").agg(*_named(aggs))
+        flagged = values.selectExpr("ord", "t", f"{_flag_word('t')} AS f")
+        plain |= _text_aggs()
+    return _by_column(flagged, plain, values, sketches)
 
 
 def _value_stats(df: DataFrame, columns: dict[int, T.StructField], quartiles: bool, cfg: LensConfig) -> DataFrame:
     """Everything but text: numbers and booleans as double, dates as timestamp, and a hash for all types."""
-    structs = []
+    structs, marks = [], []
     for i, f in columns.items():
         kind = kind_of(f.dataType)
         c = finite(tx.ident(f.name), f.dataType)
         num = f"CAST({c} AS DOUBLE)" if kind in NUMERIC_KINDS or kind == "boolean" else "CAST(NULL AS DOUBLE)"
         ts = f"CAST({c} AS TIMESTAMP_NTZ)" if kind == "datetime" else "CAST(NULL AS TIMESTAMP_NTZ)"
         mark = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({comparable(c, f.dataType)}) END"
-        structs.append(f"struct({i} AS ord, {num} AS num, {ts} AS ts, {mark} AS h)")
-    aggs = {
-        "rows": "count(1)", "nulls": "count_if(h IS NULL)", "approx_distinct": approx_distinct("h"),
-        "single_value": "min(h) = max(h)",
+        structs.append(f"struct({i} AS ord, {num} AS num, {ts} AS ts, {c} IS NULL AS missing)")
+        marks.append(f"struct({i} AS ord, {mark} AS h" + (f", {num} AS num)" if quartiles else ")"))
+    plain = {
+        "rows": "count(1)", "nulls": "count_if(missing)",
         "min_num": "min(num)", "max_num": "max(num)", "mean": "avg(num)", "std": "stddev_samp(num)",
-        "skewness": sample_skewness("num"),
+        "skewness": sample_skewness("num"), "min_ts": "min(ts)", "max_ts": "max(ts)",
+    }
+    sketches = {
+        "approx_distinct": approx_distinct("h"), "single_value": "min(h) = max(h)",
         "q": f"percentile_approx(num, array(0.25, 0.5, 0.75), {cfg.quantile_accuracy})" if quartiles
              else "CAST(NULL AS ARRAY<DOUBLE>)",
-        "min_ts": "min(ts)", "max_ts": "max(ts)",
     }
-    return _long(df, structs).groupBy("ord").agg(*_named(aggs)).selectExpr(
+    return _by_column(_long(df, structs), plain, _long(df, marks), sketches).selectExpr(
         "*", "q[0] AS q1", "q[1] AS median", "q[2] AS q3", "timestampdiff(DAY, min_ts, max_ts) AS span_days")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT
@@ -22,9 +20,7 @@ from workload.common import (
 @query("csv_scan", """
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def csv_scan(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared}/csv-{spark.sparkContext.applicationId}" if shared else tempfile.mkdtemp(prefix="csv-")
-    path = f"{folder}/customer.csv"
+    path = f"{src.shared_folder(spark)}/{spark.sparkContext.applicationId}/customer.csv"
     table(spark, sf_dir, "customer").write.mode("overwrite").option("header", True).csv(path)
     read = src.read_table(spark, path)
     return read.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("int"),

@@ -9,6 +9,8 @@ from tablelens.operators.quantiles import exact_quantiles, grouped_median
 
 TIGHT = LensConfig(exact_values_in_memory=1000, quantile_accuracy=50)
 UNSENT = LensConfig(exact_values_in_memory=1000, quantile_accuracy=50, broadcast_rows=0)
+COARSE = LensConfig(exact_values_in_memory=1000, quantile_accuracy=200)
+TINY = LensConfig(exact_values_in_memory=50, quantile_accuracy=100, broadcast_rows=0)
 PROBS = [0.25, 0.5, 0.75]
 
 
@@ -24,7 +26,7 @@ def numbers(spark):
     ).persist()
 
 
-@pytest.mark.parametrize("cfg", [LensConfig(), TIGHT])
+@pytest.mark.parametrize("cfg", [LensConfig(), TIGHT, COARSE, TINY])
 def test_quantiles(numbers, cfg):
     columns = ["skewed", "tied", "few", "half"]
     found = exact_quantiles(numbers, {c: c for c in columns}, PROBS, cfg)
@@ -38,7 +40,7 @@ def test_no_values(spark):
     assert exact_quantiles(df, {"x": "x", "y": "y"}, PROBS) == {"x": None, "y": [1.0, 1.0, 1.0]}
 
 
-@pytest.mark.parametrize("cfg", [LensConfig(), TIGHT, UNSENT])
+@pytest.mark.parametrize("cfg", [LensConfig(), TIGHT, UNSENT, COARSE, TINY])
 @pytest.mark.parametrize("column", ["skewed", "tied", "half"])
 def test_grouped_median(numbers, cfg, column):
     rows = grouped_median(numbers, ["key"], column, "m", cfg).collect()

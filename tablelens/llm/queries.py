@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import packing
+from tablelens.llm import exact_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_dedup": exact_dedup.op3,
     "op10_best_fit_packing": packing.op10,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+}

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import exact_dedup, packing
+from tablelens.llm import exact_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3,
+    "op9_toxicity": toxicity.op9,
     "op10_best_fit_packing": packing.op10,
 }
 SQL: dict[str, str] = {

@@ -37,11 +37,12 @@ def attach(df: DataFrame, side: DataFrame, key: str, weight: str, rows: int) ->
     limit = max(1, rows // HOT_SHARE)
     values = [c for c in side.columns if c != key]
     hot = side.where(F.col(weight) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot"))
-    cold = side.where(F.col(weight) <= limit).select(F.col(key).alias("_ck"), F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_cold"))
+    cold = side.where(F.col(weight) <= limit).select(
+        F.col(key).alias("_ck"), F.xxhash64(key).alias("_deal"), F.struct(*values).alias("_cold"))
     served = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    salt = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)))
-    both = (served.withColumn("_s", salt)
-            .join(cold, (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_salt")), "left"))
+    deal = F.when(F.col("_hot").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(*df.columns))
+    both = (served.withColumn("_s", deal)
+            .join(cold, (F.col("_s") == F.col("_deal")) & (F.col(key) == F.col("_ck")), "left"))
     pick = [F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values]
     return both.select(*[F.col(f"`{c}`") for c in df.columns], *pick)
 

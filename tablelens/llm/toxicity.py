@@ -1,7 +1,7 @@
-"""Toxicity by subword bags: vectors of character n-grams, averaged over windows of words, into a linear softmax.
+"""Toxicity by subword bags: vectors of character n-grams, averaged over a bag of words, into a linear softmax.
 
-Vectors and softmax are trained jointly in numpy on a bounded sample of labelled documents. A document scores as its most toxic
-window, so that a few words in a long text count. As the last layer is linear, a trained model scores a word by one number.
+Vectors and softmax are trained jointly in numpy on a bounded sample of labelled documents. A document's bag is its few most toxic
+windows, so that a few words in a long text count. As the last layer is linear, a trained model scores a word by one number.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.bytes import LOWER, U64, mixed, per_text, slices, span_hashes, text_bytes, words
+from tablelens.llm.bytes import LOWER, U64, mixed, slices, span_hashes, text_bytes, words
 from tablelens.llm.spread import read
 
 #: Words end at ASCII bytes that are no letters.
@@ -29,10 +29,12 @@ class Shape:
     bits: int = 17
     size: int = 8
     grams: tuple[int, ...] = (3, 4, 5, 6)
-    window: int = 16
-    warm_steps: int = 40
-    steps: int = 120
-    rate: float = 0.5
+    window: int = 2  # words
+    windows: int = 4  # in a bag
+    warm_steps: int = 8
+    steps: int = 60
+    refresh: int = 4  # steps between choices of the windows
+    rate: float = 0.3
     seed: int = 5
 
 
@@ -84,24 +86,30 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray):
     return data, starts[one], ends[one], which, bounds
 
 
-def best_windows(scores: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text the window of words with the highest mean score: the mean, its first word, its words (none: 0, 0, 0)."""
+def top_windows(scores: np.ndarray, bounds: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each text's highest windows, as places of words and the texts they belong to."""
     n = np.diff(bounds)
-    sums = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    text = np.repeat(np.arange(len(n)), n)
-    size = np.minimum(n, window)[text]
-    at = np.arange(len(scores))
-    fits = at + size <= bounds[1:][text]
-    mean = np.where(fits, (sums[np.where(fits, at + size, at)] - sums[at]) / np.maximum(size, 1), -np.inf)
-    top = per_text(np.maximum, mean, bounds, 0.0)
-    hit = np.flatnonzero(fits & (mean == top[text]))
-    begin = np.zeros(len(n), np.int64)
-    begin[text[hit][::-1]] = hit[::-1]
-    return top, begin, np.minimum(n, window)
+    many = -(-n // shape.window)
+    first = np.concatenate([[0], np.cumsum(many)])
+    text = np.repeat(np.arange(len(n)), many)
+    begin = bounds[:-1][text] + (np.arange(first[-1]) - first[text]) * shape.window
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((-np.add.reduceat(scores, begin), text))
+    best = order[np.arange(first[-1]) - first[text] < shape.windows]
+    size = np.minimum(begin[best] + shape.window, bounds[1:][text[best]]) - begin[best]
+    place = np.repeat(begin[best] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    return place, np.repeat(text[best], size)
+
+
+def spans(of_word: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places of the features of the chosen words, one word after another."""
+    size = np.diff(of_word)[chosen]
+    return np.repeat(of_word[:-1][chosen] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
 def train(texts: list[str], labels: np.ndarray, shape: Shape = Shape()) -> Model:
-    """First on whole documents, then on each document's most toxic window and, for clean ones, on the whole text as well."""
+    """A few steps on whole documents, then on each document's most toxic windows as the model sees them meanwhile."""
     rng = np.random.default_rng(shape.seed)
     buckets = 1 << shape.bits
     vectors = rng.uniform(-1 / shape.size, 1 / shape.size, (buckets, shape.size))
@@ -114,11 +122,15 @@ def train(texts: list[str], labels: np.ndarray, shape: Shape = Shape()) -> Model
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     seen_v, seen_l, seen_b = np.full((buckets, shape.size), 1e-8), np.full(layer.shape, 1e-8), np.full(2, 1e-8)
 
-    def step(word_of: np.ndarray, doc_of: np.ndarray, size: np.ndarray) -> None:
-        """One step of Adagrad on bags: word_of and doc_of pair the words with documents, size counts each one's words."""
+    def step(word_of: np.ndarray, doc_of: np.ndarray) -> None:
+        """One step of Adagrad on bags; word_of and doc_of pair distinct words with documents."""
         nonlocal vectors, layer, bias
-        share = 1.0 / np.maximum(size, 1)
-        means = np.stack([np.add.reduceat(vectors[feature, k], of_word[:-1]) / per_word for k in range(shape.size)], 1)
+        used, word_of = np.unique(word_of, return_inverse=True)
+        grams = feature[spans(of_word, used)]
+        size = per_word[used]
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        share = 1.0 / np.maximum(np.bincount(doc_of, minlength=len(texts)), 1)
+        means = np.stack([np.add.reduceat(vectors[grams, k], first) / size for k in range(shape.size)], 1)
         bags = np.stack([np.bincount(doc_of, means[word_of, k], len(texts)) for k in range(shape.size)], 1) * share[:, None]
         logit = bags @ layer.T + bias
         p = np.exp(logit - logit.max(1, keepdims=True))
@@ -126,23 +138,23 @@ def train(texts: list[str], labels: np.ndarray, shape: Shape = Shape()) -> Model
         wrong = (p - np.eye(2)[labels]) * weight[:, None]
         grad_l, grad_b, pull = wrong.T @ bags, wrong.sum(0), wrong @ layer
         for k in range(shape.size):
-            on_word = np.bincount(word_of, (pull[:, k] * share)[doc_of], len(starts)) / per_word
-            grad = np.bincount(feature, np.repeat(on_word, per_word), buckets)
+            on_word = np.bincount(word_of, (pull[:, k] * share)[doc_of], len(used)) / size
+            grad = np.bincount(grams, np.repeat(on_word, size), buckets)
             seen_v[:, k] += grad ** 2
             vectors[:, k] -= shape.rate * grad / np.sqrt(seen_v[:, k])
         for value, grad, seen in ((layer, grad_l, seen_l), (bias, grad_b, seen_b)):
             seen += grad ** 2
             value -= shape.rate * grad / np.sqrt(seen)
 
+    if not len(which):
+        return Model(vectors, layer, bias, shape)
     for _ in range(shape.warm_steps):
-        step(which, text, n)
-    for _ in range(shape.steps):
-        by_bucket = vectors @ (layer[1] - layer[0])
-        by_word = np.add.reduceat(by_bucket[feature], of_word[:-1]) / per_word
-        _, begin, size = best_windows(by_word[which], bounds, shape.window)
-        doc_of = np.repeat(np.arange(len(texts)), size)
-        word = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        step(which[word], doc_of, size)
+        step(which, text)
+    for turn in range(shape.steps):
+        if turn % shape.refresh == 0:
+            by_bucket = (vectors @ (layer[1] - layer[0])).astype(np.float32)
+            place, doc_of = top_windows((np.add.reduceat(by_bucket[feature], of_word[:-1]) / per_word)[which], bounds, shape)
+        step(which[place], doc_of)
     return Model(vectors, layer, bias, shape)
 
 
@@ -183,17 +195,18 @@ class Scorer:
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         data, starts, ends, which, bounds = distinct_words(*text_bytes(column))
-        if not len(which):
-            by_word = np.zeros(0)
-        else:
+        logit = np.full(len(column), self.bias)
+        if len(which):
             feature, of_word = features(data, starts, ends, self.shape)
-            by_word = np.add.reduceat(self.by_bucket[feature], of_word[:-1]) / np.diff(of_word)
-        logit = best_windows(by_word[which] if len(which) else by_word, bounds, self.shape.window)[0] + self.bias
+            scores = (np.add.reduceat(self.by_bucket[feature], of_word[:-1]) / np.diff(of_word))[which]
+            place, doc_of = top_windows(scores, bounds, self.shape)
+            n = np.bincount(doc_of, minlength=len(column))
+            logit += np.bincount(doc_of, scores[place], len(column)) / np.maximum(n, 1)
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score for every row: 0 to 1 by the most toxic window of the whole text.
+    """doc_id, score for every row: 0 to 1 by the most toxic windows of the whole text.
 
     Null and empty texts, and texts without words, score by the bias alone. Without a model (no labelled rows of both classes)
     every score is 0. Repeated rows and null ids are scored as rows of their own; other columns are not read.

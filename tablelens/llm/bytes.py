@@ -31,7 +31,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES, rows: i
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts one after another, and where each begins and the last ends; null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
     data = column.buffers()[2] if n else None

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import exact_dedup, packing, toxicity
+from tablelens.llm import decontamination, exact_dedup, ngram_join, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.op1,
     "op3_exact_dedup": exact_dedup.op3,
+    "op6_ngram_jaccard_join": ngram_join.op6,
     "op9_toxicity": toxicity.op9,
     "op10_best_fit_packing": packing.op10,
 }

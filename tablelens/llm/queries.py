@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import decontamination, exact_dedup, ngram_join, packing, toxicity
+from tablelens.llm import context_tree, decontamination, exact_dedup, ngram_join, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
+    "op2_context_tree_weighting": context_tree.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op6_ngram_jaccard_join": ngram_join.op6,
     "op9_toxicity": toxicity.op9,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import context_tree, decontamination, exact_dedup, ngram_join, packing, pii, toxicity
+from tablelens.llm import context_tree, decontamination, exact_dedup, ngram_join, packing, pii, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
@@ -14,10 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3,
     "op4_pii": pii.op4,
     "op6_ngram_jaccard_join": ngram_join.op6,
+    "op8_secret_scan": secrets.op8,
     "op9_toxicity": toxicity.op9,
     "op10_best_fit_packing": packing.op10,
 }
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_pii": pii.OP4_SQL,
+    "op8_secret_scan": secrets.OP8_SQL,
 }

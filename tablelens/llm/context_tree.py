@@ -107,6 +107,7 @@ def gather(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def lgamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for positive values: Stirling's series after eight steps up."""
+    x = np.asarray(x, float)
     low = np.zeros_like(x)
     for k in range(8):
         low += np.log(x + k)
@@ -292,7 +293,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 of_rare = [sum(len(r[0]) for r in rare), np.concatenate([r[1] for r in rare])]
                 none = lambda kind, k: pa.nulls(k, kind)
                 whole = [pa.array(np.arange(row, row + many)), part.column(0), part.column(2), pa.array(np.diff(bounds) + 1),
-                         pa.array(seen), pa.array(base), pa.array(code), pa.array(np.diff(offsets)), none(pa.int64(), many),
+                         pa.array(seen), pa.array(base, pa.float64()), pa.array(code, pa.float64()), pa.array(np.diff(offsets)), none(pa.int64(), many),
                          none(pa.int64(), many), none(pa.int64(), many)]
                 yield pa.RecordBatch.from_arrays(whole, names)
                 k = of_rare[0]

@@ -15,7 +15,7 @@ from tablelens import fixed_values as fv
 from tablelens.config import DEFAULT, LensConfig
 from tablelens.functions import text as tx
 from tablelens.operators.column_stats import (
-    NUMERIC_KINDS, column_stats, comparable, fences,
+    NUMERIC_KINDS, column_stats, comparable, fences, hash_parts,
 )
 from tablelens.operators.quantiles import exact_quantiles
 from tablelens.sources.tables import CLEAN_VIEW, pin_small, register, without_nan
@@ -67,12 +67,11 @@ def row_groups(df: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
     Rows are grouped by two independent 64-bit fingerprints, so the shuffle carries 24 bytes per row however
     wide the table is, and copies collapse before it. ``exact_row_groups`` groups by the columns themselves.
     """
-    values = [tx.sql(comparable(tx.ident(f.name), f.dataType)) for f in df.schema]
     if cfg.exact_row_groups:
+        values = [tx.sql(comparable(tx.ident(f.name), f.dataType)) for f in df.schema]
         grouped = df.groupBy(*[v.alias(f"v{i}") for i, v in enumerate(values)]).count()
     else:
-        # hashing skips nulls, so the null pattern is hashed as well
-        parts = values + [v.isNull() for v in values]
+        parts = [tx.sql(p) for f in df.schema for p in hash_parts(tx.ident(f.name), f.dataType)]
         marks = [F.xxhash64(F.lit(salt), *parts).alias(name) for salt, name in ((11, "h1"), (23, "h2"))]
         grouped = df.select(*marks).groupBy("h1", "h2").count()
     zero = F.lit(0).cast("bigint")

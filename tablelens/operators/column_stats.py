@@ -63,6 +63,22 @@ def comparable(c: str, dtype: T.DataType) -> str:
     return f"to_json(named_struct('v', {c}))" if _holds_map(dtype) else c
 
 
+def hash_parts(c: str, dtype: T.DataType, depth: int = 0) -> list[str]:
+    """Expressions whose common hash differs where the values differ; hashing alone skips nulls at every level of a value."""
+    missing = f"{c} IS NULL"
+    if _holds_map(dtype):
+        return [comparable(c, dtype), missing]
+    if isinstance(dtype, T.StructType):
+        fields = [p for f in dtype.fields for p in hash_parts(f"{c}.{tx.ident(f.name)}", f.dataType, depth)]
+        return [missing, *fields]
+    if isinstance(dtype, T.ArrayType):
+        x = f"x{depth}"
+        if isinstance(dtype.elementType, (T.ArrayType, T.StructType)):
+            return [missing, f"transform({c}, {x} -> xxhash64({', '.join(hash_parts(x, dtype.elementType, depth + 1))}))"]
+        return [missing, c, f"transform({c}, {x} -> {x} IS NULL)"]
+    return [c, missing]
+
+
 # bits of the per-value flag word behind the text cleaning rules; date formats follow from bit 5 on
 SENTINEL, CURRENCY, CAST, NUMBER, BOOLEAN = 1, 2, 4, 8, 16
 DATES = [32 << i for i in range(len(DATE_FORMAT_NAMES))]
@@ -140,7 +156,7 @@ def _value_stats(df: DataFrame, columns: dict[int, T.StructField], quartiles: bo
         c = finite(tx.ident(f.name), f.dataType)
         num = f"CAST({c} AS DOUBLE)" if kind in NUMERIC_KINDS or kind == "boolean" else "CAST(NULL AS DOUBLE)"
         ts = f"CAST({c} AS TIMESTAMP_NTZ)" if kind == "datetime" else "CAST(NULL AS TIMESTAMP_NTZ)"
-        mark = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({comparable(c, f.dataType)}) END"
+        mark = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({', '.join(hash_parts(c, f.dataType))}) END"
         structs.append(f"struct({i} AS ord, {num} AS num, {ts} AS ts, {c} IS NULL AS missing)")
         marks.append(f"struct({i} AS ord, {mark} AS h" + (f", {num} AS num)" if quartiles else ")"))
     plain = {
@@ -203,35 +219,26 @@ def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = Tr
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exact distinct non-null values per column."""
+    """Exact distinct non-null values per column: (column, 128-bit fingerprint) rows, made distinct once and counted."""
     if not columns:
         return {}
     types = {f.name: f.dataType for f in df.schema}
-    row = df.agg(*[F.expr(f"count(DISTINCT {comparable(finite(tx.ident(c), types[c]), types[c])}) AS d{i}")
-                   for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
-
-
-def _near_a_threshold(r, cfg: LensConfig) -> bool:
-    """Could the sketch error move this count across a decision threshold?"""
-    seen = r["rows"] - r["nulls"]
-    marks = [1, cfg.near_constant, cfg.high_cardinality_min, cfg.low_cardinality, cfg.identifier_min_int,
-             cfg.identifier_min_text, r["rows"] * cfg.high_cardinality_ratio,
-             r["rows"] * cfg.identifier_ratio, seen * cfg.chart_identifier_ratio]
-    slack = 5 * cfg.distinct_rsd
-    return any(abs(r["approx_distinct"] - m) <= slack * max(m, 1) + 2 for m in marks)
-
-
-def with_distinct(df: DataFrame, stats: DataFrame, mode: str = "refine", cfg: LensConfig = DEFAULT) -> DataFrame:
-    """Add n_distinct: 'approx' keeps the sketch, 'exact' counts every column, and 'refine' counts exactly
-    only the columns whose sketch lies close enough to a threshold to change a decision."""
-    sketch = F.least("approx_distinct", F.col("rows") - F.col("nulls"))
+    marks = []
+    for i, name in enumerate(columns):
+        c = finite(tx.ident(name), types[name])
+        parts = ", ".join(hash_parts(c, types[name]))
+        marks.append(f"CASE WHEN {c} IS NOT NULL THEN struct({i} AS ord, xxhash64(11, {parts}) AS h1, xxhash64(23, {parts}) AS h2) END")
+    values = df.selectExpr(f"inline(filter(array({', '.join(marks)}), m -> m IS NOT NULL))").distinct()
+    found = {r["ord"]: r["n"] for r in values.groupBy("ord").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+
+
+def with_distinct(df: DataFrame, stats: DataFrame, mode: str = "exact", cfg: LensConfig = DEFAULT) -> DataFrame:
+    """Add n_distinct: 'exact' counts every column, 'approx' keeps the sketch of every column."""
     if mode == "approx":
-        return stats.withColumn("n_distinct", sketch)
-    rows = stats.select("column", "rows", "nulls", "approx_distinct").collect()
-    exact = distinct_counts(df, [r["column"] for r in rows if mode == "exact" or _near_a_threshold(r, cfg)])
-    return _with_values(stats, {c: (n,) for c, n in exact.items()}, "_exact bigint").withColumn(
-        "n_distinct", F.coalesce("_exact", sketch)).drop("_exact")
+        return stats.withColumn("n_distinct", F.least("approx_distinct", F.col("rows") - F.col("nulls")))
+    exact = distinct_counts(df, [r["column"] for r in stats.select("column").collect()])
+    return _with_values(stats, {c: (n,) for c, n in exact.items()}, "n_distinct bigint")
 
 
 def _with_values(stats: DataFrame, values: dict[str, tuple], schema: str) -> DataFrame:
@@ -278,7 +285,7 @@ def with_outliers(df: DataFrame, stats: DataFrame, k: float, cfg: LensConfig = D
                         "lower double, upper double, n_outside bigint")
 
 
-def pinned_stats(df: DataFrame, cfg: LensConfig = DEFAULT, distinct: str = "refine", exact_quartiles: bool = True,
+def pinned_stats(df: DataFrame, cfg: LensConfig = DEFAULT, distinct: str = "exact", exact_quartiles: bool = True,
                  text_rules: bool = True, outlier_k: float | None = None) -> DataFrame:
     """column_stats with the chosen refinements, run once and kept as a small local table."""
     stats = with_distinct(df, pin_small(column_stats(df, cfg, text_rules, quartiles=not exact_quartiles)), distinct, cfg)

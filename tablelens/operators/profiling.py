@@ -157,7 +157,7 @@ def _lowest_hashes(df: DataFrame, share: dict[str, float], cfg: LensConfig) -> D
 
 # ---------------------------------------------------------------- whole tables
 
-def profile(df: DataFrame, cfg: LensConfig = DEFAULT, distinct: str = "refine") -> tuple[DataFrame, DataFrame, DataFrame]:
+def profile(df: DataFrame, cfg: LensConfig = DEFAULT, distinct: str = "exact") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profile a table: (columns, table summary, warnings)."""
     df = without_nan(df)
     stats = pinned_stats(df, cfg, distinct=distinct, outlier_k=cfg.profile_iqr)

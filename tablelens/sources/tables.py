@@ -16,20 +16,30 @@ from tablelens.functions.text import ident
 
 RAW_VIEW = "raw_data"
 CLEAN_VIEW = "cleaned_data"
+DELIMITERS = (",", ";", "\t", "|")
 
 
 class TableLoadError(Exception):
     """The input could not be read as a table."""
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header row. Types are inferred unless a schema is given (which saves one scan).
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, schema: T.StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header row; quotes within quoted fields are doubled. Types are inferred unless a schema is given (which
+    saves one scan). Without a delimiter, the one that occurs most in the header is taken.
 
-    Repeated header names come back as name, name.1, name.2, so that screening can recognise them.
+    A line break within quotes needs ``multi_line``, which reads each file in one task; without it such a file is refused, as
+    its records would come apart. Repeated header names come back as name, name.1, name.2, so that screening can recognise them.
     """
     try:
-        header = _header_names(spark, path, delimiter)
-        reader = spark.read.option("header", True).option("sep", delimiter).option("timestampType", "TIMESTAMP_NTZ")
+        lines = spark.read.text(path)
+        sep = delimiter or _sniffed(lines)
+        if not multi_line and not lines.where(_quotes("value") % 2 == 1).isEmpty():
+            raise TableLoadError(f"Could not load CSV: a record of {path} ends inside quotes; set multi_line")
+        reader = (spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+                  .option("timestampType", "TIMESTAMP_NTZ"))
+        header = _header_names(reader, path)
+        reader = reader.option("header", True)
         with_types = reader.schema(schema) if schema else reader.option("inferSchema", True)
         df = with_types.csv(path)
     except (PySparkException, OSError) as e:
@@ -41,9 +51,19 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", schema: T.Str
     return df
 
 
-def _header_names(spark: SparkSession, path: str, delimiter: str) -> list[str]:
-    first = (spark.read.option("header", False).option("sep", delimiter).option("inferSchema", False)
-             .csv(path).limit(1).collect())
+def _quotes(c: str):
+    return F.length(c) - F.length(F.replace(F.col(c), F.lit('"'), F.lit("")))
+
+
+def _sniffed(lines: DataFrame) -> str:
+    """The delimiter of the header line, outside quotes; the comma if there is none."""
+    first = lines.limit(1).collect()
+    bare = re.sub(r'"(?:[^"]|"")*"', "", first[0][0] or "") if first else ""
+    return max(DELIMITERS, key=bare.count)
+
+
+def _header_names(reader, path: str) -> list[str]:
+    first = reader.option("header", False).option("inferSchema", False).csv(path).limit(1).collect()
     names = [v or "" for v in first[0]] if first else []
     if not names or any(re.search(r"[\x00�]", n) for n in names):
         raise TableLoadError(f"Could not load CSV: no readable header in {path}")
@@ -108,6 +128,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="tablelens-")
+        spark.conf.set("spark.checkpoint.dir", folder)  # one folder for the whole session
     return folder
 
 

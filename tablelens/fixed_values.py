@@ -31,6 +31,9 @@ DATE_FORMATS = (
     ("MM/dd/yyyy", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
     ("dd-MM-yyyy", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
     ("yyyyMMdd", r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    ("yyyy/MM/dd", r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    ("yyyy-MM-dd'T'HH:mm:ssXXX", r"^(\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?) ?(Z|[+-]\d{2}:?\d{2})$", "$1"),
+    ("MM/dd/yyyy HH:mm[:ss]", r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}:\d{2}(:\d{2})?)$", "$3-$1-$2 $4"),
 )
 
 # --- specs

@@ -79,6 +79,20 @@ def may_be_number_or_date(c: str) -> str:
     return f"ascii(ltrim({c})) NOT BETWEEN 58 AND 127"
 
 
+def is_plain_number(c: str) -> str:
+    """Digits with an optional point, by far the most frequent shape: an amount, a cast and a number at once."""
+    return f"{c} RLIKE '^[0-9]{{1,15}}([.][0-9]{{1,15}})?$'"
+
+
+def starts_like_date(c: str) -> str:
+    """Up to four digits and a mark between parts of a date; no amount or number has that."""
+    return f"{c} RLIKE {literal(chr(94) + chr(92) + 's*[0-9]{1,4}[-/]')}"
+
+
+def year_first(c: str) -> str:
+    return f"substr(ltrim({c}), 5, 1) IN ('-', '/')"
+
+
 def parse_number(c: str) -> str:
     """Text to double; anything that is not a plain number is null."""
     return f"CASE WHEN {c} RLIKE {literal(fv.NUMBER_SHAPE)} THEN try_cast(trim({c}) AS DOUBLE) END"

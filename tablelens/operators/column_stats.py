@@ -91,11 +91,14 @@ def _flag_word(c: str) -> str:
 
     words = f"{bit(tx.is_sentinel(c), SENTINEL)} + {bit(tx.is_boolean_word(c), BOOLEAN)}"
     dates = {f: bit(f"{tx.parse_date(c, f)} IS NOT NULL", v) for f, v in zip(DATE_FORMAT_NAMES, DATES)}
-    # what casts as a number can only be a date without separators, and nothing else can
-    plain = [d for f, d in dates.items() if not any(m in f for m in "/-")]
-    marked = [d for f, d in dates.items() if any(m in f for m in "/-")]
-    shaped = (f"{bit(tx.looks_like_currency(c), CURRENCY)} + CASE WHEN {tx.casts_as_currency(c)} "
-              f"THEN {' + '.join([str(CAST), bit(tx.casts_as_number(c), NUMBER), *plain])} ELSE {' + '.join(marked)} END")
+    # the first characters tell numbers from dates with marks, and those by the place of the year; so a value meets few patterns
+    plain = " + ".join(d for f, d in dates.items() if not any(m in f for m in "/-"))
+    by_year = [" + ".join(d for f, d in dates.items() if any(m in f for m in "/-") and f.startswith("yyyy") == first)
+               for first in (True, False)]
+    shaped = (f"CASE WHEN {tx.is_plain_number(c)} THEN {CURRENCY + CAST + NUMBER} + {plain} "
+              f"WHEN {tx.starts_like_date(c)} THEN CASE WHEN {tx.year_first(c)} THEN {by_year[0]} ELSE {by_year[1]} END "
+              f"ELSE {bit(tx.looks_like_currency(c), CURRENCY)} + CASE WHEN {tx.casts_as_currency(c)} "
+              f"THEN {CAST} + {bit(tx.casts_as_number(c), NUMBER)} + {plain} ELSE 0 END END")
     return (f"CASE WHEN {c} IS NULL THEN NULL ELSE "
             f"CASE WHEN {tx.could_be_listed_word(c)} THEN {words} ELSE 0 END + "
             f"CASE WHEN {tx.may_be_number_or_date(c)} THEN {shaped} ELSE 0 END END")

@@ -174,6 +174,11 @@ def table_summary(df: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
         F.col("duplicate_rows").alias("duplicate_row_count"))
 
 
+def table_shape(df: DataFrame) -> DataFrame:
+    """One row: rows and columns, by a plain count."""
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select("row_count", F.lit(len(df.columns)).alias("column_count"))
+
+
 def needs_quoting(c: Column) -> Column:
     return ~c.rlike(fv.PLAIN_IDENTIFIER)
 

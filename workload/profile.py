@@ -41,7 +41,7 @@ def _summary(stats):
     f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({n} AS INTEGER) AS column_count FROM {t}"
     for t, n in (("lineitem", 11), ("orders", 6), ("events", 6), ("embeddings", 3))]))
 def table_shape(spark, sf_dir):
-    return union([pf.table_summary(table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "row_count", "column_count")
+    return union([pf.table_shape(table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "row_count", "column_count")
                   for t in ("lineitem", "orders", "events", "embeddings")])
 
 

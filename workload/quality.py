@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT
@@ -138,6 +140,30 @@ def kept_columns(spark, sf_dir):
     return _decisions(dirty_lineitem(spark, sf_dir)).select("column", "kept")
 
 
+@query("nested_rows", """
+WITH n AS (SELECT CASE WHEN user_id % 3 = 0 THEN [event_type, NULL] WHEN user_id % 3 = 1 THEN [event_type] ELSE [NULL, event_type] END AS tags,
+  CASE WHEN user_id % 2 = 0 THEN {'a': event_type, 'b': NULL} ELSE {'a': NULL, 'b': event_type} END AS s FROM events),
+g AS (SELECT count(*) AS c FROM n GROUP BY tags, s)
+SELECT CAST(sum(c) AS BIGINT) AS rows, count(*) AS distinct_rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows,
+  count(*) FILTER (c > 1) AS duplicate_groups FROM g""")
+def nested_rows(spark, sf_dir):
+    """Rows of arrays and structs that differ only in where their nulls stand."""
+    return cl.row_groups(table(spark, sf_dir, "events").selectExpr(
+        "CASE user_id % 3 WHEN 0 THEN array(event_type, NULL) WHEN 1 THEN array(event_type) ELSE array(NULL, event_type) END AS tags",
+        "CASE WHEN user_id % 2 = 0 THEN named_struct('a', event_type, 'b', CAST(NULL AS STRING)) "
+        "ELSE named_struct('a', CAST(NULL AS STRING), 'b', event_type) END AS s"))
+
+
+@query("csv_dialects", """
+SELECT CAST(c_custkey AS INTEGER) AS c_custkey, concat(c_name, '; "', c_mktsegment, '", |', chr(10), 'x') AS note, c_acctbal FROM customer""")
+def csv_dialects(spark, sf_dir):
+    """Semicolons between fields; quotes, commas and line breaks within them; the delimiter is found in the header."""
+    path = f"{src.shared_folder(spark)}/csv-dialects-{uuid.uuid4().hex}"
+    (table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit('; "'), "c_mktsegment", F.lit('", |\nx')).alias("note"), "c_acctbal")
+     .write.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').csv(path))
+    return src.read_csv(spark, path, multi_line=True)
+
+
 @query("text_sample")
 def text_sample(spark, sf_dir):
     """A repeatable sample of text values (a sampling operator, so it has a size)."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT
 
+from tablelens.operators import chart_data as cd
 from tablelens.operators import profiling as pf
 from tablelens.operators.column_stats import pinned_stats
 from tablelens.plans import catalogue as ct
@@ -56,9 +57,8 @@ def spec_color_group(spark, sf_dir):
 SELECT c_mktsegment, round(avg(c_acctbal), 4) AS y, row_number() OVER (ORDER BY avg(c_acctbal), c_mktsegment) AS place FROM customer GROUP BY 1""")
 def spec_sorted(spark, sf_dir):
     ordered = sp.spec_frame(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "AVG", sort_order="asc")
-    placed = spark.createDataFrame(  # one row per category of the chart
-        [(r[0], r[1], i + 1) for i, r in enumerate(ordered.collect())], "c_mktsegment string, y double, place bigint")
-    return rounded(placed, "y")
+    # the rows of one partition are numbered as they come, so the query checks the order of the frame itself
+    return rounded(ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1), "y")
 
 
 @query("spec_top_k", """
@@ -92,7 +92,7 @@ FROM cleaned_data WHERE "o_orderstatus" <> 'no "P"' GROUP BY "o_orderpriority",
 @query("spec_sql", _SPEC_SQL.replace("cleaned_data", "orders"))
 def spec_sql(spark, sf_dir):
     _cleaned_orders(spark, sf_dir)
-    return sp.run_sql(spark, _SPEC_SQL).withColumn("year", F.col("year").cast("timestamp_ntz"))
+    return sp.run_sql(spark, _SPEC_SQL)
 
 
 @query("spec_histogram", _histogram_sql("orders", "o_totalprice"))
@@ -184,6 +184,44 @@ def dashboard_charts(spark, sf_dir):
     return spark.createDataFrame([(c.source, c.title) for c in board.charts], "source string, title string")
 
 
+@query("dashboard_rows", f"""
+SELECT 'Number of rows by event_type' AS title, event_type AS key, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY event_type
+UNION ALL SELECT 'Distribution of user_id', CAST(bin AS VARCHAR), CAST(n AS DOUBLE) FROM ({_histogram_sql("events", "user_id")})
+UNION ALL SELECT 'Average user_id by event_type', event_type, round(avg(user_id), 4) FROM events GROUP BY event_type
+UNION ALL SELECT 'Rows per month of ts', strftime(date_trunc('month', ts), '%Y-%m'), count(*) FROM events GROUP BY date_trunc('month', ts)""")
+def dashboard_rows(spark, sf_dir):
+    """What every chart of the one-call run over events shows."""
+    charts = build_dashboard(spark, table(spark, sf_dir, "events")).charts
+    key = {"Distribution of user_id": ("bin", "n"), "Rows per month of ts": ("date_format(month, 'yyyy-MM')", "n"),
+           "Average user_id by event_type": ("event_type", "round(result, 4)")}
+    return union([c.data.selectExpr(f"'{c.title}' AS title", f"CAST({k} AS STRING) AS key", f"CAST({v} AS DOUBLE) AS value")
+                  for c in charts for k, v in [key.get(c.title, ("event_type", "n"))]])
+
+
+@query("planned_scatter", f"""
+SELECT concat(x, ' and ', y) AS title, 'scatter' AS chart_type,
+  concat('SELECT "', x, '", "', y, '" FROM cleaned_data WHERE "', x, '" IS NOT NULL AND "', y, '" IS NOT NULL') AS sql_query
+FROM (SELECT 'net' AS x, 'gross' AS y, corr(net, gross) AS r FROM {PRICED_SQL}
+      UNION ALL SELECT 'l_extendedprice', 'net', corr(l_extendedprice, net) FROM {PRICED_SQL}
+      UNION ALL SELECT 'l_extendedprice', 'gross', corr(l_extendedprice, gross) FROM {PRICED_SQL}) ORDER BY r DESC LIMIT 1""")
+def planned_scatter(spark, sf_dir):
+    """The strongest pair of numeric columns becomes a scatter spec."""
+    df = priced_lineitem(spark, sf_dir).select("l_extendedprice", "net", "gross")
+    pairs = cd.correlations(df, [("l_extendedprice", "net"), ("l_extendedprice", "gross"), ("net", "gross")])
+    plan = sp.plan_specs(pf.column_profile(pinned_stats(df, outlier_k=DEFAULT.profile_iqr)), pairs)
+    return plan.where("chart_type = 'scatter'").select("title", "chart_type", "sql_query")
+
+
+_MEDIAN_SQL = 'SELECT "o_orderstatus", MEDIAN("o_totalprice") AS result FROM cleaned_data GROUP BY "o_orderstatus" ORDER BY result DESC LIMIT 10'
+
+
+@query("spec_planned_median", "SELECT o_orderstatus, round(median(o_totalprice), 4) AS result FROM orders GROUP BY 1")
+def spec_planned_median(spark, sf_dir):
+    """A MEDIAN statement as planning writes it, on groups that hold most rows; bracketed, not gathered."""
+    _cleaned_orders(spark, sf_dir)
+    return rounded(sp.run_sql(spark, _MEDIAN_SQL), "result")
+
+
 # ---------------------------------------------------------------- bulk validation: one spec per order
 # The same expressions in both engines turn every order into a spec; months and days vary lengths and texts.
 

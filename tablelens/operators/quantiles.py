@@ -79,6 +79,10 @@ def _quantiles(values: DataFrame, known: list[tuple[int, int] | None], probs: li
     return _finish(values, probs, totals, _narrow(values, probs, totals, brackets, per_task, cfg))
 
 
+def _middle(b) -> float:
+    return b.lo / 2 + b.hi / 2
+
+
 def _narrow(values, probs, totals, brackets, per_task, cfg):
     """Shrink every bracket that the sketch error alone leaves too full."""
     share, accuracy = 2 * _margin(per_task, cfg), max(GRID_ACCURACY, cfg.quantile_accuracy)
@@ -89,8 +93,9 @@ def _narrow(values, probs, totals, brackets, per_task, cfg):
         for t, (i, j) in enumerate(todo):
             lo, hi = number(brackets[i, j].lo), number(brackets[i, j].hi)
             inside = f"CASE WHEN v{i} >= {lo} AND v{i} <= {hi} THEN v{i} END"
+            half = f"count_if(v{i} >= {lo} AND v{i} < {number(_middle(brackets[i, j]))}) AS half"
             aggs.append(F.expr(
-                f"struct(count_if(v{i} < {lo}) AS below, count({inside}) AS m, {approx_distinct(inside)} AS d, "
+                f"struct(count_if(v{i} < {lo}) AS below, count({inside}) AS m, {half}, {approx_distinct(inside)} AS d, "
                 f"percentile_approx({inside}, array({grid}), {accuracy}) AS grid) AS b{t}"))
         row = values.agg(*aggs).first()
         left = []
@@ -102,9 +107,17 @@ def _narrow(values, probs, totals, brackets, per_task, cfg):
             g = math.floor(rank * (len(GRID) - 1))
             new = _Bracket(s.grid[g - 1] if g >= 1 else b.lo,
                            s.grid[g + 2] if 0 <= g and g + 2 < len(GRID) else b.hi)
-            moved = (new.lo, new.hi) != (b.lo, b.hi)
+            if (new.lo, new.hi) == (b.lo, b.hi):  # the grid does not part these values: their middle does
+                wanted = math.floor(probs[j] * (totals[i] - 1)) - s.below
+                middle = _middle(b)
+                if wanted + 1 < s.half and middle < b.hi:
+                    new = _Bracket(b.lo, middle)
+                elif wanted >= s.half and middle > b.lo:
+                    new = _Bracket(middle, b.hi)
+                else:
+                    raise RuntimeError(f"quantile {probs[j]} lies between values too close to part")
             brackets[i, j] = new
-            if new.lo < new.hi and moved:
+            if new.lo < new.hi:
                 left.append((i, j))
         todo = left
     return brackets

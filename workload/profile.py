@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT
@@ -131,9 +133,10 @@ def semantic_types(spark, sf_dir):
     """The meaning of every column of every table."""
     frames = {t: table(spark, sf_dir, t) for t in _KINDS}
     frames["yes_no"] = frames["lineitem"].select(F.when(F.col("l_linestatus") == "F", "yes").otherwise("no").alias("yes_no"))
-    return union([pinned_stats(df, exact_quartiles=False).select(F.lit(t).alias("table_name"), "column",
-                                                                 pf.semantic_type().alias("semantic_type"))
-                  for t, df in frames.items()])
+    with ThreadPool(4) as pool:  # small tables do not fill the cores, so a few are profiled at a time
+        stats = pool.map(lambda df: pinned_stats(df, exact_quartiles=False), frames.values())
+    return union([s.select(F.lit(t).alias("table_name"), "column", pf.semantic_type().alias("semantic_type"))
+                  for t, s in zip(frames, stats)])
 
 
 @query("semantic_type_summary", f"""

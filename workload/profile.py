@@ -225,3 +225,32 @@ def profile_json(spark, sf_dir):
     """The compact JSON document of each column of events."""
     columns, _, _ = pf.profile(table(spark, sf_dir, "events"))
     return pf.profile_documents(columns)
+
+
+# ---------------------------------------------------------------- properties of results that SQL cannot repeat
+
+@query("column_summary_approx_bounds", union_sql([f"SELECT '{c}' AS \"column\", true AS distinct_near, true AS median_near FROM lineitem HAVING count(*) > 0"
+                                                  for c in _LINEITEM_NUM]))
+def column_summary_approx_bounds(spark, sf_dir):
+    """Sketches against exact figures: distinct counts within four standard errors, the median's rank within its accuracy."""
+    df = table(spark, sf_dir, "lineitem").select(*_LINEITEM_NUM)
+    near = with_distinct(df, column_stats(df, text_rules=False), "approx").select("column", F.col("n_distinct").alias("a"), F.col("median").alias("m"))
+    exact = pinned_stats(df, distinct="exact", text_rules=False).select("column", "n_distinct", "median", "std")
+    return near.join(exact, "column").select(
+        "column", (F.abs(F.col("a") - F.col("n_distinct")) <= 4 * DEFAULT.distinct_rsd * F.col("n_distinct") + 1).alias("distinct_near"),
+        (F.abs(F.col("m") - F.col("median")) <= 0.05 * F.col("std") + 1e-9).alias("median_near"))
+
+
+_SAMPLED = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query("sample_values_members", union_sql([
+    f"SELECT '{c}' AS \"column\", least(5, count(DISTINCT {c})) AS n, least(5, count(DISTINCT {c})) AS members FROM documents" for c in _SAMPLED]))
+def sample_values_members(spark, sf_dir):
+    """Each sample has the size it should, and its values are values of the column."""
+    df = table(spark, sf_dir, "documents").select(*_SAMPLED)
+    stats = pinned_stats(df, distinct="approx", exact_quartiles=False, text_rules=False)
+    shown = pf.sample_values(df, stats).select("column", F.explode("values").alias("value"))
+    known = pf.value_counts(df, _SAMPLED).select("column", "value", F.lit(1).alias("known"))
+    return shown.join(known, ["column", "value"], "left").groupBy("column").agg(
+        F.count_distinct("value").alias("n"), F.count("known").alias("members"))

@@ -170,6 +170,14 @@ def text_sample(spark, sf_dir):
     return cl.sample_text(table(spark, sf_dir, "documents"), "source", 200)
 
 
+@query("text_sample_members", "SELECT least(200, count(source)) AS n, least(200, count(source)) AS members FROM documents")
+def text_sample_members(spark, sf_dir):
+    """The sample has its size, and its values are values of the column."""
+    docs = table(spark, sf_dir, "documents")
+    known = docs.select(F.col("source").alias("value"), F.lit(1).alias("known")).distinct()
+    return cl.sample_text(docs, "source", 200).join(known, "value", "left").agg(F.count("value").alias("n"), F.count("known").alias("members"))
+
+
 # ---------------------------------------------------------------- cleaning rules
 
 def _cleaned(df, *columns):

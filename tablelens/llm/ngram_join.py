@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablelens.llm.bytes import LOWER, U64, mixed, slices, span_hashes, text_bytes, words
@@ -26,9 +26,11 @@ from tablelens.llm.graph import components
 from tablelens.llm.spread import attach, read, written
 
 #: Counters of the sketch of frequencies, in blocks of a row each; bits of the filter for candidates.
-SKETCH_BITS, SKETCH_BLOCK, FILTER_BITS = 20, 1 << 15, 22
+SKETCH_BITS, SKETCH_BLOCK, FILTER_BITS = 22, 1 << 17, 22
 #: Bytes of shingle arrays that one comparing task group holds on average.
 TILE_BYTES = 16 << 20
+#: A shingle of more documents than this counts as frequent where pairs are formed; all are compared either way.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,14 @@ class Likeness:
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - -(-self.percent * n // 100) + 1
 
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many shingles the prefixes of two sets of these sizes share at least if the sets are alike.
+
+        The k-th of their common shingles in order has needed - k common ones after it, so it stands among the first
+        n - needed + k of either set.
+        """
+        return self.needed(a, b) + np.minimum(self.prefix(a) - a, self.prefix(b) - b)
+
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
 
@@ -97,15 +107,15 @@ def sketch(docs: DataFrame, like: Likeness) -> np.ndarray:
         for batch in batches:
             for part in slices(batch, 0):
                 h, _ = shingles(part.column(0), like.words)
-                counts += np.bincount((h >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, (h >> U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        counts = np.minimum(counts, 255).astype(np.uint8)  # a task's share of a count; only the order of shingles depends on it
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks), pa.int32()),
                                           pa.array([c.tobytes() for c in counts.reshape(blocks, -1)], pa.binary())], ["block", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_BLOCK, np.uint32)
         for c in table.column("counts"):
-            part = np.frombuffer(c.as_buffer(), np.uint32)
-            total = np.where(total > ~part, np.uint32(0xFFFFFFFF), total + part)
+            total += np.frombuffer(c.as_buffer(), np.uint8)
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     summed = (docs.select("text").mapInArrow(count, "block int, counts binary")
@@ -143,19 +153,19 @@ def cards(docs: DataFrame, like: Likeness) -> DataFrame:
 
 
 def postings(cards_: DataFrame) -> DataFrame:
-    """h, node, n, at (place of h in the document's order) for prefix shingles that two documents or more have."""
+    """h, node, n and left (shingles of the document from this one on) for prefix shingles; many are alone with theirs."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 size = np.array([len(x.as_buffer()) // 8 for x in part.column(2)], np.int64)
-                first = np.cumsum(size) - size
                 h = np.frombuffer(b"".join(x.as_buffer() for x in part.column(2)), np.int64)
+                n = np.repeat(part.column(1).to_numpy(), size)
+                left = n - (np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(np.repeat(part.column(0).to_numpy(), size)),
-                     pa.array(np.repeat(part.column(1).to_numpy(), size).astype(np.int32)),
-                     pa.array((np.arange(len(h)) - np.repeat(first, size)).astype(np.int32))], ["h", "node", "n", "at"])
+                     pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32))], ["h", "node", "n", "left"])
 
-    return cards_.where("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(spread, "h long, node long, n int, at int")
+    return cards_.where("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(spread, "h long, node long, n int, left int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -184,8 +194,18 @@ def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
                                       ["a", "b", "n_a", "n_b"])
 
 
+def _least(like: Likeness) -> Column:
+    """like.shared as a column expression over n_a and n_b."""
+    a, b, percent = F.col("n_a").cast("long"), F.col("n_b").cast("long"), like.percent
+    return (F.ceil(percent * (a + b) / (100 + percent))
+            + F.least(1 - F.ceil(percent * a / 100), 1 - F.ceil(percent * b / 100)))
+
+
 def first_pairs(shared: DataFrame, like: Likeness) -> DataFrame:
-    """Of each tile: its head with everyone in its band, the heads of neighbouring bands, and each with the next in size."""
+    """Of each tile: its head with everyone in its band, the heads of neighbouring bands, and each with the next in size.
+
+    Only pairs that meet in as many tiles as alike sets must; what this leaves out, remaining_pairs finds.
+    """
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
             h, node, n = (table.column(c).to_numpy() for c in ("h", "node", "n"))
@@ -202,20 +222,27 @@ def first_pairs(shared: DataFrame, like: Likeness) -> DataFrame:
             ok = (h[left] == h[right]) & (node[left] != node[right]) & like.fits(n[left], n[right])
             left, right = left[ok], right[ok]
             swap = node[left] < node[right]
-            a, b = np.where(swap, right, left), np.where(swap, left, right)
+            once = np.unique(np.where(swap, right, left) * len(h) + np.where(swap, left, right))
+            a, b = once // len(h), once % len(h)
             if len(a):
                 yield _pairs(node[a], node[b], n[a], n[b])
 
     sorted_ = shared.repartition("h").sortWithinPartitions("h", "n", "node")
-    return sorted_.mapInArrow(near, _PAIR).dropDuplicates(["a", "b"])
+    met = sorted_.select("h", "node", "n").mapInArrow(near, _PAIR).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("times"))
+    return met.where(F.col("times") >= _least(like)).drop("times")
 
 
 def remaining_pairs(shared: DataFrame, labels: DataFrame, like: Likeness) -> DataFrame:
-    """All pairs of a tile that are in different groups so far and could be alike by their sizes and places of the shingle."""
+    """All pairs in different groups so far whose prefixes may share as many shingles as alike sets must.
+
+    Shingles of a few documents give all their pairs, which are counted. A pair that shares too few of them can make up for it
+    with frequent shingles only, of which it shares no more than the one of the two has that has fewer; and a pair that shares
+    frequent ones alone comes from the first of these in order, from which on both sets must have enough left.
+    """
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
-            h, node, n, at, root = (table.column(c).to_numpy() for c in ("h", "node", "n", "at", "root"))
-            n = n.astype(np.int64)
+            h, node, n, left, c, hot, root = (table.column(x).to_numpy() for x in ("h", "node", "n", "left", "c", "hot", "root"))
+            n, left = n.astype(np.int64), left.astype(np.int64)
             end = np.searchsorted(h, h, "right")
             # rows of a run come by size, so those that fit row i end before the first that is too large
             upto = np.array([i + np.searchsorted(n[i:e], 100 * n[i] // like.percent, "right") for i, e in enumerate(end)])
@@ -225,19 +252,25 @@ def remaining_pairs(shared: DataFrame, labels: DataFrame, like: Likeness) -> Dat
                 high = low + max(1, int(np.searchsorted(np.cumsum(size[low:]), 1_000_000, "right")))
                 i = np.repeat(np.arange(low, min(high, len(h))), size[low:high])
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size[low:high]) - size[low:high], size[low:high])
-                most = np.minimum(n[i] - at[i], n[j] - at[j])
-                ok = (root[i] != root[j]) & (most >= like.needed(n[i], n[j])) & like.fits(n[i], n[j])
+                often = ((np.minimum(hot[i], hot[j]) >= like.shared(n[i], n[j]))
+                         & (np.minimum(left[i], left[j]) >= like.needed(n[i], n[j])))
+                ok = (root[i] != root[j]) & like.fits(n[i], n[j]) & ((c[i] <= FEW) | often)
                 i, j = i[ok], j[ok]
                 swap = node[i] < node[j]
                 a, b = np.where(swap, j, i), np.where(swap, i, j)
                 if len(a):
-                    yield _pairs(node[a], node[b], n[a], n[b])
+                    yield pa.RecordBatch.from_arrays(
+                        [*_pairs(node[a], node[b], n[a], n[b]).columns, pa.array(np.minimum(hot[a], hot[b])),
+                         pa.array((c[a] > FEW).astype(np.int64))], ["a", "b", "n_a", "n_b", "hot", "often"])
                 low = high
 
-    known = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_ = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    sorted_ = known.join(mixed_, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "node")
-    return sorted_.select("h", "node", "n", "at", "root").mapInArrow(across, _PAIR).dropDuplicates(["a", "b"])
+    nodes = (shared.groupBy("node").agg(F.count_if(F.col("c") > FEW).alias("hot")).join(labels, "node", "left")
+             .select("node", "hot", F.coalesce("root", "node").alias("root")))
+    known = shared.join(nodes, "node")
+    sorted_ = known.repartition("h").sortWithinPartitions("h", "n", "node")
+    met = (sorted_.select("h", "node", "n", "left", "c", "hot", "root").mapInArrow(across, _PAIR + ", hot long, often long")
+           .groupBy("a", "b", "n_a", "n_b").agg(F.count_if(F.col("often") == 0).alias("times"), F.max("hot").alias("hot")))
+    return met.where(F.col("times") + F.col("hot") >= _least(like)).select("a", "b", "n_a", "n_b")
 
 
 def _width(n: int) -> int:
@@ -250,26 +283,54 @@ def bitmap(h: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted arrays, neither of them empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
 def alike(a: np.ndarray, b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, like: Likeness) -> bool:
     """Each bit that differs stands for a shingle that only one of the sets has: that bounds the overlap before it is counted."""
     needed = int(like.needed(len(a), len(b)))
     if len(a) + len(b) - int(np.bitwise_count(bits_a ^ bits_b).sum()) < 2 * needed:
         return False
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) >= needed
+    return overlap(a, b) >= needed
 
 
-def compare(pairs: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness, spread: int) -> DataFrame:
-    """The pairs a, b that are alike. Arrays are made anew from the texts of the documents in question, once per task group."""
+def _tiled(pairs: DataFrame, spread: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs with their task group, and the nodes that each group needs; a group holds about TILE_BYTES of arrays."""
     size = pairs.agg(F.coalesce(F.sum(F.col("n_a") + F.col("n_b")), F.lit(0)).alias("n")).first()["n"]
     groups = max(1, math.ceil(size * 8 / TILE_BYTES))
     tiled = pairs.withColumn("tile", F.pmod(F.xxhash64("a", F.pmod("b", F.lit(spread))), F.lit(groups)))
-    wanted = (tiled.select("tile", F.col("a").alias("node")).union(tiled.select("tile", "b")).distinct()
-              .join(cards_.select("node", "d1", "d2"), "node"))
-    wanted = written(wanted)
+    return tiled, tiled.select("tile", F.col("a").alias("node")).union(tiled.select("tile", "b")).distinct()
+
+
+def _arrays_by_node(sets: pa.Table) -> dict[int, np.ndarray]:
+    return {k: np.frombuffer(v.as_buffer(), U64) for k, v in zip(sets.column("node").to_pylist(), sets.column("h"))}
+
+
+def promising(pairs: DataFrame, cards_: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs whose prefixes share as many shingles as alike sets must; prefixes are at hand and a quarter of the sets."""
+    tiled, wanted = _tiled(pairs, 1)
+    sets = written(wanted).join(cards_.select("node", F.col("prefix").alias("h")), "node")
+
+    def check(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
+        set_of = {k: np.sort(h) for k, h in _arrays_by_node(sets_).items()}
+        least = like.shared(pairs_.column("n_a").to_numpy().astype(np.int64), pairs_.column("n_b").to_numpy().astype(np.int64))
+        found = [overlap(set_of[a], set_of[b]) >= k
+                 for a, b, k in zip(pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist(), least.tolist())]
+        return pairs_.select(["a", "b", "n_a", "n_b"]).filter(pa.array(found, pa.bool_()))
+
+    return tiled.groupBy("tile").cogroup(sets.select("tile", "node", "h").groupBy("tile")).applyInArrow(check, _PAIR)
+
+
+def compare(pairs: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness, spread: int) -> DataFrame:
+    """The pairs a, b that are alike. Arrays are made anew from the texts of the documents in question, once per task group."""
+    tiled, wanted = _tiled(pairs, spread)
+    wanted = written(wanted.join(cards_.select("node", "d1", "d2"), "node"))
     slots = wanted.select(F.shiftrightunsigned("d1", 64 - FILTER_BITS).cast("int").alias("slot")).distinct().toArrow()
     filter_ = np.zeros(1 << FILTER_BITS, bool)
     filter_[slots.column(0).to_numpy()] = True
@@ -292,8 +353,7 @@ def compare(pairs: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness
     sets = wanted.join(made, ["d1", "d2"]).select("tile", "node", "h")
 
     def check(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
-        set_of = {k: np.frombuffer(v.as_buffer(), U64) for k, v in zip(sets_.column("node").to_pylist(), sets_.column("h"))}
-        bits, found = {}, []
+        set_of, bits, found = _arrays_by_node(sets_), {}, []
 
         def bits_of(node: int, width: int) -> np.ndarray:
             if (node, width) not in bits:
@@ -319,7 +379,7 @@ def similar_groups(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "
     all_ = written(cards(docs, like))
     rows = all_.count()
     alone = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    shared = written(postings(all_).withColumn("c", alone).where("c > 1").drop("c"))
+    shared = written(postings(all_).withColumn("c", alone).where("c > 1"))
     pairs = written(first_pairs(shared, like))
     links = written(compare(pairs, all_, docs, like, 1))
     # equal sets in different tasks are one node: the smallest
@@ -329,6 +389,7 @@ def similar_groups(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "
     labels = components(links.union(equal))
     left = written(remaining_pairs(shared, labels, like).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if not left.isEmpty():
+        left = written(promising(left, all_, like))
         more = written(compare(left, all_, docs, like, 16))
         if not more.isEmpty():
             labels = components(links.union(equal).union(more))

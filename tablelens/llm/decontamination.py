@@ -183,18 +183,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds(
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {item_type.simpleString()}, segments long, edits long"
     found = docs.sparkSession.createDataFrame([], schema)
     for index in blocks(benchmark, bounds):
-        found = found.unionByName(rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(index)), schema))
+        found = found.unionByName(rows.mapInArrow(_finder(index), schema))
     return found
 
 
-def _finder(index):
+def _finder(index: Index):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                hits = index.value.matches(part.column(1).to_pylist())
+                hits = index.matches(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array([h[0] for h in hits], pa.int32())),
-                     pa.array(index.value.items).take(pa.array([h[1] for h in hits], pa.int32())),
+                     pa.array(index.items).take(pa.array([h[1] for h in hits], pa.int32())),
                      pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.int64())],
                     ["doc_id", "item_id", "segments", "edits"])
 
@@ -205,16 +205,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bo
     """The rows of docs, with all their columns, that share no segment with the benchmark; decided where they are read."""
     at = docs.columns.index(text_col)
     for index in blocks(benchmark, bounds):
-        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index), at), docs.schema)
+        docs = docs.mapInArrow(_cleaner(index, at), docs.schema)
     return docs
 
 
-def _cleaner(index, at: int):
+def _cleaner(index: Index, at: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
                 keep = np.ones(part.num_rows, bool)
-                keep[[h[0] for h in index.value.matches(part.column(at).to_pylist())]] = False
+                keep[[h[0] for h in index.matches(part.column(at).to_pylist())]] = False
                 yield part.filter(pa.array(keep))
 
     return clean

@@ -255,6 +255,17 @@ def assemble_report(findings: DataFrame) -> DataFrame:
         "r.rule", "r.issue", "r.detail", "r.n")
 
 
+def _with_examples(df: DataFrame, decided: DataFrame, rows: list) -> DataFrame:
+    """min_text of amount columns becomes the smallest text that casts and is no sentinel word."""
+    amounts = [r["column"] for r in rows if r["action"] == "currency"]
+    if not amounts:
+        return decided
+    seen = df.agg(*[F.expr(f"min(CASE WHEN {tx.casts_as_currency(tx.ident(c))} AND NOT {tx.is_sentinel(tx.ident(c))} "
+                           f"THEN {tx.ident(c)} END) AS e{i}") for i, c in enumerate(amounts)]).first()
+    known = F.create_map(*[F.lit(x) for i, c in enumerate(amounts) for x in (c, seen[i])])
+    return decided.withColumn("min_text", F.coalesce(known[F.col("column")], F.col("min_text")))
+
+
 def clean(df: DataFrame, cfg: LensConfig = DEFAULT, check_rows: bool = True) -> Cleaned:
     """Screen and clean a table. One wide scan for the statistics, then one each for fences and duplicate rows."""
     df = without_nan(df)
@@ -264,7 +275,7 @@ def clean(df: DataFrame, cfg: LensConfig = DEFAULT, check_rows: bool = True) ->
     kept = set(table.columns)
     numeric = {r["column"]: _cleaned_column(r) for r in rows if r["column"] in kept
                and (r["kind"] in NUMERIC_KINDS or r["action"] == "number")}
-    findings = column_findings(decided, cfg)
+    findings = column_findings(_with_examples(df, decided, rows), cfg)
     if numeric:
         native = {r["column"]: (r["rows"] - r["nulls"], r["approx_distinct"]) for r in rows if r["kind"] in NUMERIC_KINDS}
         findings = findings.unionByName(_outlier_findings(extreme_outliers(df, numeric, cfg, native), decided, cfg))

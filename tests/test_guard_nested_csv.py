@@ -80,3 +80,19 @@ def test_line_breaks_in_quotes_are_read_or_refused(spark, tmp_path):
     with pytest.raises(TableLoadError, match="multi_line"):
         read_csv(spark, str(path))
     assert [tuple(r) for r in read_csv(spark, str(path), multi_line=True).collect()] == [("one\ntwo", 1), ("three", 2)]
+
+
+def test_amount_example_is_an_amount(spark):
+    df = spark.createDataFrame([(f"€{n}", n) for n in range(40, 90)] + [("N/A", 1)], "price string, id int")
+    detail = {r.rule: r.detail for r in clean(df).report.collect()}["currency"]
+    assert detail == "Example original value: '€40'"
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2020/03/09", "2020-03-09 00:00:00"), ("2020-03-09T10:20:30Z", "2020-03-09 10:20:30"), ("2020-03-09 10:20:30.5+02:00", "2020-03-09 10:20:30.5"),
+    ("12/31/2020 23:59", "2020-12-31 23:59:00")])
+def test_more_date_formats(spark, text, want):
+    df = spark.createDataFrame([(text, i) for i in range(30)], "d string, i int").selectExpr("CASE WHEN i < 2 THEN NULL ELSE d END AS d", "i")
+    df = df.unionByName(spark.createDataFrame([(text.replace("20", "19", 1), 99)], "d string, i int"))
+    out = clean(df).table
+    assert dict(out.dtypes)["d"] == "timestamp_ntz" and str(out.where("i = 5").selectExpr("CAST(d AS STRING)").first()[0]) == want

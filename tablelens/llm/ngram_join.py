@@ -248,8 +248,8 @@ def remaining_pairs(shared: DataFrame, labels: DataFrame, like: Likeness) -> Dat
             upto = np.array([i + np.searchsorted(n[i:e], 100 * n[i] // like.percent, "right") for i, e in enumerate(end)])
             size = upto - np.arange(len(h)) - 1
             low = 0
-            while low < len(h):  # pieces of about a million pairs
-                high = low + max(1, int(np.searchsorted(np.cumsum(size[low:]), 1_000_000, "right")))
+            while low < len(h):  # pieces of a bounded number of pairs
+                high = low + max(1, int(np.searchsorted(np.cumsum(size[low:]), 1 << 18, "right")))
                 i = np.repeat(np.arange(low, min(high, len(h))), size[low:high])
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size[low:high]) - size[low:high], size[low:high])
                 often = ((np.minimum(hot[i], hot[j]) >= like.shared(n[i], n[j]))
@@ -407,6 +407,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read(spark, sf_dir, "documents"))
 
 
+OP6_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON d.doc_id = c.doc_id
+"""
+
+
 def one_of_each_group(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their group; documents without an id all stay."""
     groups = similar_groups(docs, like, id_col, text_col)

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_pii": pii.OP4_SQL,
+    "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
     "op7_licence_scan": licences.OP7_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
 }

@@ -50,8 +50,28 @@ class Model:
         return (self.vectors @ (self.layer[1] - self.layer[0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+#: Words whose hashes or features are made at once.
+_AT_ONCE = 1 << 15
+
+
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's n-grams, with marks for its ends, and of the whole word; with the first feature of each word."""
+    parts = [_features(data, starts[i:i + _AT_ONCE], ends[i:i + _AT_ONCE], shape) for i in range(0, len(starts), _AT_ONCE)]
+    sizes = np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)])
+    return np.concatenate([b for b, _ in parts] or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """span_hashes of words in the order of the text, over a part of it at a time."""
+    out = np.empty(len(starts), U64)
+    for i in range(0, len(starts), _AT_ONCE):
+        part = slice(i, i + _AT_ONCE)
+        low, high = starts[part][0], ends[part][-1]
+        out[part] = span_hashes(data[low:high], starts[part] - low, ends[part] - low, seed)
+    return out
+
+
+def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     sizes = ends - starts + 2
     first = np.concatenate([[0], np.cumsum(sizes)])
     marked = np.empty(first[-1], U64)
@@ -63,7 +83,8 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shap
                          + np.arange((ends - starts).sum())]
     word = np.repeat(np.arange(len(starts)), sizes)
     left = first[1:][word] - np.arange(first[-1])  # places from here to the end of the word
-    owner, bucket = [np.arange(len(starts))], [span_hashes(data, starts, ends, 3)]
+    letters = np.concatenate([[0], np.cumsum(ends - starts)])
+    owner, bucket = [np.arange(len(starts))], [span_hashes(marked[inner].astype(np.uint8), letters[:-1], letters[1:], 3)]
     gram = np.zeros(len(marked), U64)
     for n in range(1, max(shape.grams) + 1):
         shifted = np.zeros(len(marked), U64)
@@ -75,14 +96,14 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shap
             bucket.append(mixed(gram[at] + U64(n)))
     owner, bucket = np.concatenate(owner), np.concatenate(bucket) >> U64(64 - shape.bits)
     order = np.argsort(owner, kind="stable")
-    return bucket[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(starts)))])
+    return bucket[order].astype(np.int32), np.bincount(owner, minlength=len(starts))
 
 
 def distinct_words(data: np.ndarray, offsets: np.ndarray):
     """Words of all texts: bytes in lower case, starts and ends of the distinct ones, which one each word is, words before each text."""
     data = LOWER[data]
     starts, ends, bounds = words(data, offsets, _OUTSIDE)
-    _, one, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    _, one, which = np.unique(_word_hashes(data, starts, ends, 1), return_index=True, return_inverse=True)
     return data, starts[one], ends[one], which, bounds
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.spans import before, joined, matches, matches_sql
+from tablelens.llm.spans import before, joined, located, matches_sql, proposed
 from tablelens.llm.spread import read
 
 #: Characters before a span in which context words count, and what they add to its score.
@@ -91,7 +91,7 @@ LEAST = 0.5
 
 
 def _spans(text: Column, kind: Kind, order: int) -> Column:
-    found = F.filter(matches(text, kind.regex), lambda s: kind.confirm(s["match"]))
+    found = F.filter(located(kind.name, kind.regex), lambda s: kind.confirm(s["match"]))
 
     def scored(s: Column) -> Column:
         near = F.lower(before(text, s["start"], NEARBY)).rlike(kind.words)
@@ -99,13 +99,7 @@ def _spans(text: Column, kind: Kind, order: int) -> Column:
                         F.round(F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, BONUS).otherwise(0.0)), 2).alias("score"))
 
     spans = F.transform(found, scored)
-    if not kind.base:
-        spans = F.filter(spans, lambda s: s["score"] >= LEAST)
-    mark = _MARK.get(kind.name)
-    if mark is None:
-        return spans
-    kept = "array<struct<start: int, ord: int, kind: string, end: int, score: double>>"
-    return F.when(text.contains(mark), spans).otherwise(F.array().cast(kept))
+    return spans if kind.base else F.filter(spans, lambda s: s["score"] >= LEAST)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,6 +110,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty table gives no rows, other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    marked = {k: F.col("text").contains(m) for k, m in _MARK.items()}
+    rows = proposed(rows, {k.name: (k.regex, 0, marked.get(k.name)) for k in KINDS})
     kinds = rows.select("doc_id", *[_spans(F.col("text"), k, i).alias(k.name) for i, k in enumerate(KINDS)])
     base = [k.name for k in KINDS if k.base]
     ordered = kinds.select(

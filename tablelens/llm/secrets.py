@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.spans import joined, matches, matches_sql
+from tablelens.llm.spans import joined, located, matches_sql, proposed
 from tablelens.llm.spread import read, written
 
 _parse = re._parser.parse  # the standard library's own reader of regular expressions
@@ -103,8 +103,8 @@ def trigram_query(regex: str) -> Query:
     return query if strings is None else _of_strings(strings)
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    found = matches(text, rule.regex, rule.group)
+def _spans(rule: Rule, order: int) -> Column:
+    found = located(rule.name, rule.regex, rule.group)
     if rule.least:
         found = F.filter(found, lambda s: F.length(s["part"]) >= rule.least)
     return F.transform(found, lambda s: F.struct(
@@ -144,15 +144,18 @@ def find(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", tex
     order = {r.name: i for i, r in enumerate(rules)}
     queries = {r.name: trigram_query(r.regex) for r in rules}
     indexed = [r for r in rules if queries[r.name] != ALL]
-    scanned = rows.select("key", "doc_id", *[_spans(F.col("text"), r, order[r.name]).alias(r.name) for r in rules if r not in indexed])
+    full = [r for r in rules if r not in indexed]
+    scanned = proposed(rows, {r.name: (r.regex, r.group, None) for r in full}).select(
+        "key", "doc_id", *[_spans(r, order[r.name]).alias(r.name) for r in full])
     none = F.array().cast("array<struct<start: int, ord: int, kind: string, end: int>>")
     found = scanned
     if indexed:
         trigrams = sorted({t for r in indexed for branch in queries[r.name] for t in branch})
         index = written(postings(rows, trigrams).distinct())
         chosen = candidates(index, {r.name: queries[r.name] for r in indexed})
-        verified = rows.select("key", "text").join(chosen, "key").select("key", F.struct(*[
-            F.when(F.array_contains("rules", r.name), _spans(F.col("text"), r, order[r.name])).alias(r.name) for r in indexed]).alias("v"))
+        asked = {r.name: (r.regex, r.group, F.array_contains("rules", r.name)) for r in indexed}
+        verified = proposed(rows.select("key", "text").join(chosen, "key"), asked).select(
+            "key", F.struct(*[_spans(r, order[r.name]).alias(r.name) for r in indexed]).alias("v"))
         one = verified.where(" OR ".join(f"size(v.{r.name}) > 0" for r in indexed)).groupBy("key").agg(F.first("v").alias("v"))
         found = scanned.join(one, "key", "left").select(
             *scanned.columns, *[F.coalesce(F.col(f"v.{r.name}"), none).alias(r.name) for r in indexed])

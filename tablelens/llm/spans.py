@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def matches(text: Column, regex: str, group: int | None = None) -> Column:
-    """Array of (start, end, match, part) for the leftmost non-overlapping matches; code points, end exclusive, part is a group.
+def proposed(rows: DataFrame, regexes: dict[str, tuple[str, int, Column | None]]) -> DataFrame:
+    """Adds for each name the matches of its expression in ``text`` and a group of each, as columns that located() reads.
 
-    The text between matches tells where they stand, so the text is only read by the regular expression.
+    They are columns of their own because they are used several times; the expression runs once per text, and not at all where the
+    given condition does not hold.
     """
-    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    parts = hits if group is None else F.regexp_extract_all(text, F.lit(regex), F.lit(group))
-    gaps = F.split(text, regex, -1)
+    columns = []
+    for name, (regex, group, where) in regexes.items():
+        for part, number in ((f"{name}_hits", 0), *([(f"{name}_parts", group)] if group else [])):
+            found = F.regexp_extract_all("text", F.lit(regex), F.lit(number))
+            columns.append((found if where is None else F.when(where, found)).alias(part))
+    return rows.select("*", *columns)
+
+
+def located(name: str, regex: str, group: int = 0) -> Column:
+    """Array of (start, end, match, part) for the leftmost non-overlapping matches; code points, end exclusive, part is the group.
+
+    The text between matches tells where they stand; texts without any are not split.
+    """
+    hits = F.col(f"{name}_hits")
+    parts = F.col(f"{name}_parts") if group else hits
+    gaps = F.split("text", regex, -1)
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("match"), parts.alias("part"))
     span = "struct<start: int, end: int, match: string, part: string>"
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"))

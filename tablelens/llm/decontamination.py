@@ -1,6 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping segments. A segment of w characters that stands in a text with at most e edits shares at
+Benchmark items are cut into overlapping segments: short ones that begin so close together that any passage a little longer holds one
+whole, wherever it begins, and long ones, which may hold more edits. A segment of w characters that stands in a text with at most e edits shares at
 least w + 1 - q (e + 1) of its q-grams with it, on diagonals no more than e apart. So shared q-grams are counted in overlapping
 bands of diagonals, regions that reach this bound are retained, and a banded alignment verifies them.
 """
@@ -20,7 +21,9 @@ from tablelens.llm.spread import read
 
 #: Bits of the first, cheap test of a q-gram; characters of benchmark text that one index holds.
 TEST_BITS, BLOCK_CHARS = 22, 1 << 22
-_SPACE = np.uint32(32)
+#: Shared q-grams, counted once for each segment they stand in, that are sorted at once (one segment with more is taken whole).
+REGION_HITS = 1 << 20
+_SPACE, _OUTSIDE = np.uint32(32), np.uint32(0xFFFFFFFF)
 _PLAIN = np.array([c if chr(c).isalnum() else 32 for c in range(128)], np.uint32)
 
 
@@ -29,11 +32,19 @@ class Bounds:
     q: int = 10
     segment: int = 160
     edits: float = 0.075
+    passage: int = 60
 
     def budget(self, width: int) -> int:
         """Edits allowed; few enough for the lemma to ask for a shared q-gram at least."""
         return min(int(self.edits * width), width // self.q - 1)
 
+    def lengths(self, n: int) -> list[tuple[int, int]]:
+        """Lengths of the segments of an item of n characters, and from one start to the next; an item no longer is one segment."""
+        if n < self.q:
+            return []
+        short = [(self.passage, self.budget(self.passage) + 1)]
+        return short + ([(self.segment, max(1, self.segment // 2))] if n >= self.segment else [(n, n)] if n > self.passage else [])
+
 
 def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points in lower case, each run of other ASCII than letters and digits as one space, and where each text begins."""
@@ -66,34 +77,39 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """Segments of a block of benchmark items and where their q-grams stand."""
+    """Segments of a block of benchmark items, and where the q-grams of the items stand.
+
+    Short segments begin at every (edits + 1)th character and at the last place; long ones, with more edits in all, every half.
+    """
 
     def __init__(self, items: list[tuple[object, str]], bounds: Bounds):
-        self.bounds, self.items, self.segments, owner = bounds, [i for i, _ in items], [], []
-        for number, (_, text) in enumerate(items):
-            codes, _ = characters([text])
-            if len(codes) and codes[-1] == _SPACE:
-                codes = codes[:-1]
-            if len(codes) < bounds.q:
-                continue
-            width = min(bounds.segment, len(codes))
-            for start in sorted({*range(0, len(codes) - width, max(1, width // 2)), len(codes) - width}):
-                self.segments.append(codes[start:start + width])
-                owner.append(number)
-        self.owner = np.array(owner, np.int64)
-        self.width = np.array([len(s) for s in self.segments], np.int64)
-        self.edits = np.array([bounds.budget(w) for w in self.width], np.int64)
+        self.bounds, self.items = bounds, [i for i, _ in items]
+        self.codes, at = characters([t for _, t in items])
+        ends = at[1:] - ((at[1:] > at[:-1]) & (self.codes[at[1:] - 1] == _SPACE) if len(self.codes) else 0)
+        begin, width, owner = [], [], []
+        for number, n in enumerate((ends - at[:-1]).tolist()):
+            for most, step in bounds.lengths(n):
+                w = min(most, n)
+                starts = sorted({*range(0, n - w, step), n - w})
+                begin.append(int(at[number]) + np.array(starts, np.int64))
+                width.append(np.full(len(starts), w))
+                owner.append(np.full(len(starts), number))
+        self.begin, self.width, self.owner = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (begin, width, owner))
+        self.edits = np.array([bounds.budget(w) for w in self.width.tolist()], np.int64)
         self.least = self.width + 1 - bounds.q * (self.edits + 1)
-        grams = [gram_hashes(s, bounds.q) for s in self.segments]
-        h = np.concatenate(grams) if grams else np.zeros(0, U64)
-        order = np.argsort(h, kind="stable")
-        self.segment_of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order].astype(np.int32)
-        self.place_of = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])[order].astype(np.int32)
+        h = gram_hashes(self.codes, bounds.q)
+        spot = np.flatnonzero(np.arange(len(h)) + bounds.q <= np.repeat(ends, np.diff(at))[:len(h)])
+        order = spot[np.argsort(h[spot], kind="stable")]
+        self.spot_of = order.astype(np.int32)
         self.gram, self.first = np.unique(h[order], return_index=True)
-        self.first = np.append(self.first, len(h))
+        self.first = np.append(self.first, len(order))
         self.test = np.zeros(1 << TEST_BITS, bool)
         self.test[(self.gram >> U64(64 - TEST_BITS)).astype(np.int64)] = True
 
+    @property
+    def segments(self) -> list[np.ndarray]:
+        return [self.codes[b:b + w] for b, w in zip(self.begin.tolist(), self.width.tolist())]
+
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """text number, item number, segments found, edits of the best, for each text and item that share a segment."""
         codes, at = characters(texts)
@@ -108,53 +124,66 @@ class Index:
             return []
         many = self.first[number + 1] - self.first[number]
         hit = np.repeat(self.first[number] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        segment, diagonal = self.segment_of[hit].astype(np.int64), np.repeat(place, many) - self.place_of[hit]
-        text = np.repeat(text, many)
-        step = self.edits[segment] + 1
-        band = diagonal // step  # band b holds the diagonals from b * step to (b + 2) * step
-        region = np.stack([np.concatenate([segment, segment]), np.concatenate([text, text]), np.concatenate([band, band - 1])])
-        order = np.lexsort(region[::-1])
-        region = region[:, order]
-        new = np.flatnonzero(np.concatenate([[True], (region[:, 1:] != region[:, :-1]).any(axis=0)]))
-        shared = np.diff(np.append(new, region.shape[1]))
-        segment, text, band = region[:, new]
-        kept = shared >= self.least[segment]
-        segment, text, band = segment[kept], text[kept], band[kept]
-        edits = self.align(codes, at, segment, text, band)
+        spot, place, text = self.spot_of[hit].astype(np.int64), np.repeat(place, many), np.repeat(text, many)
+        order = np.argsort(spot, kind="stable")
+        spot, place, text = spot[order], place[order], text[order]
+        low = np.searchsorted(spot, self.begin)
+        many = np.searchsorted(spot, self.begin + self.width - self.bounds.q, "right") - low
+        rich = np.flatnonzero(many >= self.least)
         best: dict[tuple[int, int], tuple[set, int]] = {}
-        for s, t, e in zip(segment.tolist(), text.tolist(), edits.tolist()):
-            if e <= self.edits[s]:
-                found, least = best.get((t, int(self.owner[s])), (set(), e))
-                best[t, int(self.owner[s])] = (found | {s}, min(e, least))
+        for part in np.split(rich, np.flatnonzero(np.diff(np.cumsum(many[rich]) // REGION_HITS)) + 1):
+            segment, n = np.repeat(part, many[part]), many[part]
+            hit = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            segment, of_text, band = self._regions(segment, text[hit], place[hit] - spot[hit] + self.begin[segment])
+            edits = self.align(codes, at, segment, of_text, band)
+            for s, t, e in zip(segment.tolist(), of_text.tolist(), edits.tolist()):
+                if e <= self.edits[s]:
+                    found, least = best.get((t, int(self.owner[s])), (set(), e))
+                    found.add(s)
+                    best[t, int(self.owner[s])] = (found, min(e, least))
         return [(t, i, len(found), e) for (t, i), (found, e) in sorted(best.items())]
 
+    def _regions(self, segment: np.ndarray, text: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """segment, text and band of the bands that hold enough shared q-grams."""
+        if not len(segment):
+            return np.zeros((3, 0), np.int64)
+        band = diagonal // (self.edits[segment] + 1)  # band b holds the diagonals from b * step to (b + 2) * step
+        least, bands, texts = band.min() - 1, int(band.max() - band.min()) + 2, int(text.max()) + 1
+        key = (segment * texts + text) * bands + (band - least)
+        key = np.sort(np.concatenate([key, key - 1]))
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        shared, key = np.diff(np.append(new, len(key))), key[new]
+        owner = key // bands
+        region = np.stack([owner // texts, owner % texts, key % bands + least])
+        return region[:, shared >= self.least[region[0]]]
+
     def align(self, codes: np.ndarray, at: np.ndarray, segment: np.ndarray, text: np.ndarray, band: np.ndarray) -> np.ndarray:
         """Least edits of each whole segment within its band; the text around it is free. All regions advance together."""
         if not len(segment):
             return np.zeros(0, np.int64)
         out = np.empty(len(segment), np.int64)
+        order = np.argsort(self.width[segment], kind="stable")
         for low in range(0, len(segment), 4096):
-            part = slice(low, low + 4096)
+            part = order[low:low + 4096]
             out[part] = self._align(codes, at, segment[part], text[part], band[part])
         return out
 
     def _align(self, codes, at, segment, text, band) -> np.ndarray:
         edits, width = self.edits[segment], self.width[segment]
         first = band * (edits + 1) - edits  # lowest diagonal, with room for the edits
-        columns = np.arange(int((4 * edits + 2).max()))
-        chars = np.zeros((len(segment), int(width.max())), np.uint32)
-        for i, s in enumerate(segment):
-            chars[i, :width[i]] = self.segments[s]
-        cost = np.zeros((len(segment), len(columns)), np.int64)
-        for row in range(chars.shape[1]):
-            place = first[:, None] + columns + row
-            inside = (place >= at[text][:, None]) & (place < at[text + 1][:, None])
-            same = inside & (codes[np.where(inside, place, 0)] == chars[:, row][:, None])
-            step = cost + ~same
-            step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
-            step = np.minimum.accumulate(step - columns, axis=1) + columns
-            cost = np.where((row < width)[:, None], step, cost)
-        return cost.min(axis=1)
+        columns, rows = int((4 * edits + 2).max()), int(width.max())
+        chars = self.codes[np.minimum(self.begin[segment] + np.arange(rows)[:, None], len(self.codes) - 1)]
+        place = first + np.arange(rows + columns)[:, None]
+        inside = (place >= at[text]) & (place < at[text + 1])
+        around = np.where(inside, codes[np.where(inside, place, 0)], _OUTSIDE)
+        slope = np.arange(columns, dtype=np.int32)[:, None]
+        cost = np.zeros((columns, len(segment)), np.int32)
+        for row in range(rows):
+            step = cost + (around[row:row + columns] != chars[row])
+            step[:-1] = np.minimum(step[:-1], cost[1:] + 1)
+            step = np.minimum.accumulate(step - slope, axis=0) + slope
+            cost = step if row < width.min() else np.where(row < width, step, cost)
+        return cost.min(axis=0)
 
 
 def blocks(benchmark: DataFrame, bounds: Bounds, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:

@@ -160,6 +160,33 @@ def test_decontamination_matches_full_alignment(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_partial_quotes_are_found_at_every_offset(spark):
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choice("etaoin") for _ in range(n))
+    item = " ".join(fresh(rng.randrange(2, 8)) for _ in range(50))
+    around = lambda quote: f"{fresh(30)} # {quote} # {fresh(30)}"
+    docs = [around(item[s:s + 66]) for s in range(len(item) - 65)]  # 64 without the blanks at the ends
+    verbatim = len(docs)
+    for _ in range(24):
+        start = rng.randrange(len(item) - 75)
+        body = list(item[start:start + rng.randrange(50, 75)])
+        for at in rng.sample(range(len(body)), rng.randrange(7)):
+            body[at] = rng.choice(["", "z", body[at] + "q"])
+        docs.append(around("".join(body)))
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id for r in decontamination.contaminated(frame, bench).collect()}
+    assert set(range(verbatim)) <= got
+    letters, kinds = [ord(c) for c in item], set()
+    for doc in range(verbatim, len(docs)):
+        codes = decontamination.characters([docs[doc]])[0].tolist()
+        must, may = (any(fitting(letters[s:s + n], codes) <= 4 for s in range(len(letters) - n + 1)) for n in (64, 60))
+        assert must <= (doc in got) <= may, docs[doc]
+        kinds.add((must, may))
+    assert {(True, True), (False, False)} <= kinds
+    assert {r.doc_id for r in decontamination.drop_contaminated(frame, bench).collect()} == set(range(len(docs))) - got
+
+
 def test_benchmark_blocks_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 100)
     bench = spark.createDataFrame([(i, f"item {i} " + "abcdefgh " * 6) for i in range(5)], "item_id long, text string")

@@ -1,12 +1,14 @@
 """Licence scan by canonical digest lookup.
 
 Texts are brought to a canonical form: lower case, no copyright lines, punctuation as spaces, one spelling of words that are
-spelled in several ways. A whole text, or a whole line of it, is a licence if its digest is that of a known licence. All of it is
+spelled in several ways, and of whole texts no title, no list numbers and no names of holders in the BSD terms. A whole text, or a whole line of it, is a licence if its digest is that of a known licence. All of it is
 DataFrame expressions and hash joins with the table of known digests, whose size is fixed.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +71,28 @@ KNOWN = [
     ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
     ("BSD-3-Clause", "notice", "Licensed under the BSD 3-Clause License."),
 ]
+#: Further bodies and whole files, not in OP7_SQL. Files stand with all of their text and up to the end of their terms.
+MORE = [
+    ("MIT", _MIT_GRANT.replace("this permission notice", "this permission notice (including the next paragraph)") + _AS_IS),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+     "provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_AS_IS),
+]
+FILES = Path(__file__).parent / "licence_texts"
+_END = "END OF TERMS AND CONDITIONS"
 #: Every known licence has one of these, so other texts and lines need no digest. Matched before spellings are made one.
 _MENTION = "licen[cs]|permi|redistribut|warrant"
 #: Copyright lines with the comment marks before them.
 _COPYRIGHT = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: The same without lines of a licence's own words that begin so where they are wrapped; a colon after the word makes it a notice again.
+_NOTICE = (r"(?m)^[ \t*#/;-]*(copyright(?!ed\b|able\b|s\b|[ \t]*([,.)]|\r?$|(notices?|holders?|owners?|licen[cs]es?)\b(?!:)|(ownership|laws?|"
+           r"statements?|on|resulting|interests?|permissions?|disclaimers?|doctrines?|treaty|and|or|if|in|to|of|is|as|for|under)\b|"
+           r"the([ \t]+(software|library|program)\b|[ \t]*\r?$)))|\(c\)(?![ \t]+(you|under|if|prohibiting)\b)|©|all rights reserved)[^\n]*$")
+#: Titles and list numbers of canonical texts, and what the BSD terms call the holder.
+_TITLE = (r"^((the )?((new |modified |simplified |revised )?([0-4] clause )?bsd( [0-4] clause| zero clause)?( (new|original|simplified|modified|"
+          r"revised)( or (new|simplified|modified|revised))*)?|mit|x11|expat|isc|0bsd|zero clause bsd|freebsd) license( (mit|isc|0bsd|bsd|x11|expat|"
+          r"mit expat|bsd [0-4] clause))?|(mit|isc|0bsd|bsd [0-4] clause)) (?=permission is hereby |permission to use |redistribution and use )")
+_NUMBER = r" ([1-4]|[a-d]|i{1,3}) (?=redistributions (of source|in binary)|neither the name)"
+_HOLDER = r"(?<=neither the name of ).{1,120}?(?= nor the names of its contributors)"
 _MARKS = r"[^\p{L}\p{N}]+"
 #: Words spelled in several ways, and the spelling that stands for all.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("non infringement", "noninfringement"),
@@ -80,17 +100,31 @@ SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("acknowledg
              ("non commercial", "noncommercial"), ("https", "http")]
 
 
-def canonical(text: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, " "), _MARKS, " ")
+def canonical(text: Column, kind: str) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), _NOTICE, " "), _MARKS, " ")
     for said, meant in SPELLINGS:
         plain = F.replace(plain, F.lit(said), F.lit(meant))
-    return F.trim(plain)
+    plain = F.trim(plain)
+    if kind == "text":
+        plain = F.regexp_replace(F.regexp_replace(plain, _TITLE, ""), _NUMBER, " ")
+        plain = F.regexp_replace(F.replace(plain, F.lit("copyright owner"), F.lit("copyright holder")), _HOLDER, "the copyright holder")
+    return plain
+
+
+def bodies(kind: str) -> list[tuple[str, str]]:
+    """Licence and body of all known forms of the kind."""
+    known_here = [(n, t) for n, k, t in KNOWN if k == kind]
+    if kind == "notice":
+        return known_here
+    files = [(f.name, f.read_text(encoding="utf-8")) for f in sorted(FILES.iterdir())]
+    ended = [(n, t[:t.index(_END) + len(_END)]) for n, t in files if _END in t]
+    return known_here + MORE + files + ended + [(n, t.removesuffix(_END)) for n, t in ended]
 
 
 def known(spark: SparkSession, kind: str) -> DataFrame:
     """known_digest, licence: one row per canonical form of the kind."""
-    rows = spark.createDataFrame([(n, t) for n, k, t in KNOWN if k == kind], "licence string, body string")
-    return rows.select(F.sha2(canonical(F.col("body")), 256).alias("known_digest"), "licence").dropDuplicates(["known_digest"])
+    rows = spark.createDataFrame(bodies(kind), "licence string, body string")
+    return rows.select(F.sha2(canonical(F.col("body"), kind), 256).alias("known_digest"), "licence").dropDuplicates(["known_digest"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,11 +138,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     mentions = F.lower(F.col("text")).rlike(_MENTION)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.concat_ws(
         ":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.length(text).cast("string"), F.xxhash64(text).cast("string")).alias("key"))
-    whole = (rows.withColumn("digest", F.when(mentions, F.sha2(canonical(F.col("text")), 256)))
+    whole = (rows.withColumn("digest", F.when(mentions, F.sha2(canonical(F.col("text"), "text"), 256)))
              .join(F.broadcast(known(spark, "text")), F.col("digest") == F.col("known_digest"), "left")
              .select("doc_id", "key", F.col("licence").alias("text_licence")))
     lines = rows.where(mentions).select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where(mentions)
-    hits = (lines.withColumn("digest", F.sha2(canonical(F.col("text")), 256))
+    hits = (lines.withColumn("digest", F.sha2(canonical(F.col("text"), "notice"), 256))
             .join(F.broadcast(known(spark, "notice")), F.col("digest") == F.col("known_digest"))
             .groupBy("key", "line").agg(F.first("licence").alias("licence"))  # rows that repeat share a key
             .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("line", "licence"))).alias("found")))

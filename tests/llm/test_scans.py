@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from tablelens.llm import licences, pii, secrets
 from llm_rows import ROWS
@@ -80,5 +81,34 @@ def test_licences(spark):
     assert out == {0: ("MIT", 0, ""), 1: (None, 1, "1:CC-BY-NC-4.0"), 2: (None, 0, ""), 3: (None, 0, "")}
 
 
+def test_whole_licence_files(spark):
+    body = {}
+    for n, k, t in licences.KNOWN:
+        if k == "text":
+            body.setdefault(n, t)
+    want, texts = [], []
+    titles = {"MIT": "The MIT License (MIT)", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License",
+              "ISC": "ISC License", "0BSD": "BSD Zero Clause License"}
+    for name, title in titles.items():
+        forms = [body[name], re.sub(r" [123]\. ", "\n\n* ", body[name]), re.sub(r" ([123])\. ", r"\n\n  \1) ", body[name])]
+        for form in [*forms, body[name].replace("the copyright holder nor", "Some Company, Inc. nor").replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")]:
+            for width in range(20, 90, 3):  # some of them begin lines with the word copyright
+                lines = [x for part in form.split("\n") for x in textwrap.wrap(part, width)]
+                texts += [f"{title}\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + "\n".join(lines), "Copyright Some One\n" + "\n".join(lines)]
+                want += [name, name]
+    for file in licences.FILES.iterdir():
+        text = file.read_text()
+        for w in (50, 65, 90):  # copyright lines stay as they are
+            texts.append("\n\n".join(p if re.search(r"copyright \(|copyright \[", p.lower()) else
+                                     textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")))
+        texts.append(text)
+        want += [file.name] * 4
+    texts += [body["BSD-2-Clause"] + " Provided that copyright holders agree.", body["MIT"].replace("without restriction", "with restriction")]
+    want += [None, None]
+    out = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "text_licence").collect()
+    got = dict(map(tuple, out))
+    assert [(i, w, got[i], texts[i][:300]) for i, w in enumerate(want) if got[i] != w] == []
+
+
 def test_every_known_licence_passes_the_first_test():
     assert all(re.search(licences._MENTION, t.lower()) for _, _, t in licences.KNOWN)

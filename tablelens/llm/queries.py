@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import context_tree, decontamination, exact_dedup, licences, ngram_join, packing, pii, secrets, sharding, toxicity
+from tablelens.llm import context_tree, decontamination, exact_dedup, licences, merkle, ngram_join, packing, pii, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets.op8,
     "op9_toxicity": toxicity.op9,
     "op10_best_fit_packing": packing.op10,
+    "op11_merkle_manifest": merkle.op11,
 }
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
@@ -26,4 +27,5 @@ SQL: dict[str, str] = {
     "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
     "op7_licence_scan": licences.OP7_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }

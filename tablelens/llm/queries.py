@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import context_tree, decontamination, exact_dedup, licences, merkle, ngram_join, packing, pii, secrets, sharding, toxicity
+from tablelens.llm import context_tree, decontamination, exact_dedup, licences, merkle, ngram_join, packing, phrases, pii, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9,
     "op10_best_fit_packing": packing.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_quality_neighbours": quality.op12,
+    "op13_phrase_mining": phrases.op13,
 }
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
@@ -28,4 +30,5 @@ SQL: dict[str, str] = {
     "op7_licence_scan": licences.OP7_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_phrase_mining": phrases.OP13_SQL,
 }

@@ -4,9 +4,11 @@ Tiles. Two sets with a Jaccard similarity of at least t share one of the first n
 for all documents. Shingles are ordered by a sketch of how frequent they are, rare ones first, so passages that many documents
 share stay out of these prefixes. Documents with such a shingle in common and sizes in the same or the next band form a tile.
 
-Links. In a tile only a few pairs are compared at first, with the tile's heads and the next in size; as links within a group need not
-be known all, that settles almost every tile. Then all pairs of a tile that are still in different groups are compared. A comparison
-first bounds the overlap from above by the bits that two hashed bitmaps differ in, and then intersects the sorted arrays.
+Links. Each document is first compared with the heads of its tiles, the documents that share most of their prefix with others; that settles
+almost every tile. Shingles whose documents are still in different groups are then dealt to tasks of a counted size. A task holds the sets
+of its documents once, bounds the overlap of a pair from above by the bits that two hashed bitmaps differ in, over whole blocks of pairs,
+and intersects the sorted arrays of those that remain. It knows the groups so far and joins them as it goes, so that pairs within a group
+are not compared; only links that join two groups leave it.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.bytes import LOWER, U64, mixed, slices, span_hashes, text_bytes, words
 from tablelens.llm.graph import components
-from tablelens.llm.spread import attach, read, written
+from tablelens.llm.spread import HOT_SHARE, attach, read, written
 
 #: Counters of the sketch of frequencies, in blocks of a row each; bits of the filter for candidates.
 SKETCH_BITS, SKETCH_BLOCK, FILTER_BITS = 22, 1 << 17, 22
 #: Bytes of shingle arrays that one comparing task group holds on average.
 TILE_BYTES = 16 << 20
-#: A shingle of more documents than this counts as frequent where pairs are formed; all are compared either way.
-FEW = 32
+#: Documents of one block of a tile that is dealt to several tasks, and of a run whose pairs are formed together with those of other runs.
+BLOCK_ROWS, FEW = 4096, 32
+#: Pairs, and bytes of their bitmaps, that are compared at once.
+PAIRS, PAIR_BYTES = 1 << 17, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -124,9 +128,20 @@ def sketch(docs: DataFrame, like: Likeness) -> np.ndarray:
                           [np.zeros(1 << SKETCH_BITS, np.uint32)])
 
 
-def cards(docs: DataFrame, like: Likeness) -> DataFrame:
-    """A row per document: node (a number of its own), doc_id, n, digest, and the prefix (null for a copy seen in the same task)."""
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, like))
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and two hashes of the text: rows that have all of these in common are copies of each other."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text).alias("m1"),
+                       F.xxhash64(F.lit(7), text).alias("m2"))
+
+
+def cards(docs: DataFrame, like: Likeness) -> tuple[DataFrame, np.ndarray]:
+    """A row per document: node (a number of its own), doc_id, n, digest, and the prefix (null for a copy seen in the same task).
+
+    Also the sketch of how frequent shingles are.
+    """
+    sketched = sketch(docs, like)
+    counts = docs.sparkSession.sparkContext.broadcast(sketched)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,54 +159,41 @@ def cards(docs: DataFrame, like: Likeness) -> DataFrame:
                     prefixes.append(None if known else h[bounds[i]:bounds[i] + like.prefix(n[i])].tobytes())
                     seen.add(key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(node, node + len(n))), part.column(0), pa.array(n), pa.array(d1), pa.array(d2),
-                     pa.array(prefixes, pa.binary())], ["node", "doc_id", "n", "d1", "d2", "prefix"])
+                    [pa.array(np.arange(node, node + len(n))), part.column(0), part.column(2), part.column(3), pa.array(n), pa.array(d1),
+                     pa.array(d2), pa.array(prefixes, pa.binary())], ["node", "doc_id", "m1", "m2", "n", "d1", "d2", "prefix"])
                 node += len(n)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        describe, f"node long, doc_id {id_type}, n long, d1 long, d2 long, prefix binary")
+    return docs.mapInArrow(
+        describe, f"node long, doc_id {id_type}, m1 long, m2 long, n long, d1 long, d2 long, prefix binary"), sketched
+
 
+def postings(cards_: DataFrame, sketched: np.ndarray, limit: int) -> DataFrame:
+    """h, node, n, left (shingles of the document from this one on) and hot (of more than ``limit`` documents, by the sketch) for prefixes."""
+    often = cards_.sparkSession.sparkContext.broadcast(np.packbits(sketched > limit))
 
-def postings(cards_: DataFrame) -> DataFrame:
-    """h, node, n and left (shingles of the document from this one on) for prefix shingles; many are alone with theirs."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_slots = np.unpackbits(often.value).view(bool)
         for batch in batches:
             for part in slices(batch, 2):
                 size = np.array([len(x.as_buffer()) // 8 for x in part.column(2)], np.int64)
                 h = np.frombuffer(b"".join(x.as_buffer() for x in part.column(2)), np.int64)
                 n = np.repeat(part.column(1).to_numpy(), size)
                 left = n - (np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size))
+                hot = hot_slots[(h.view(U64) >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(np.repeat(part.column(0).to_numpy(), size)),
-                     pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32))], ["h", "node", "n", "left"])
+                    [pa.array(h), pa.array(np.repeat(part.column(0).to_numpy(), size)), pa.array(n.astype(np.int32)),
+                     pa.array(left.astype(np.int32)), pa.array(hot)], ["h", "node", "n", "left", "hot"])
 
-    return cards_.where("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(spread, "h long, node long, n int, left int")
+    return cards_.where("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(spread, "h long, node long, n int, left int, hot boolean")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables that hold all rows of each of their values of h; the input is sorted by h."""
-    kept = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        kept = table if kept is None else pa.concat_tables([kept, table])
-        if not kept.num_rows:
-            continue
-        h = kept.column("h").to_numpy()
-        cut = int(np.searchsorted(h, h[-1], "left"))
-        if cut:
-            yield kept.slice(0, cut)
-            kept = kept.slice(cut)
-    if kept is not None and kept.num_rows:
-        yield kept
-
-
-_PAIR = "a long, b long, n_a int, n_b int"
-
-
-def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
-    a, b, n_a, n_b = columns
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n_a.astype(np.int32)), pa.array(n_b.astype(np.int32))],
-                                      ["a", "b", "n_a", "n_b"])
+def shared_postings(posts: DataFrame, rows: int) -> DataFrame:
+    """The postings of shingles that several documents have, with their number c; hot shingles are counted before they are shuffled."""
+    alone = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    cold = posts.where(~F.col("hot")).drop("hot").withColumn("c", alone).where("c > 1")
+    hot = posts.where("hot").drop("hot")
+    counts = hot.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return cold.unionByName(attach(hot, written(counts.withColumn("uses", F.col("c"))), "h", "uses", rows).where("c IS NOT NULL").drop("uses"))
 
 
 def _least(like: Likeness) -> Column:
@@ -201,76 +203,34 @@ def _least(like: Likeness) -> Column:
             + F.least(1 - F.ceil(percent * a / 100), 1 - F.ceil(percent * b / 100)))
 
 
-def first_pairs(shared: DataFrame, like: Likeness) -> DataFrame:
-    """Of each tile: its head with everyone in its band, the heads of neighbouring bands, and each with the next in size.
-
-    Only pairs that meet in as many tiles as alike sets must; what this leaves out, remaining_pairs finds.
-    """
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches):
-            h, node, n = (table.column(c).to_numpy() for c in ("h", "node", "n"))
-            band = like.band(n)
-            tile = np.concatenate([[True], (h[1:] != h[:-1]) | (band[1:] != band[:-1])])  # rows come by h and size
-            first = np.flatnonzero(tile)
-            number = np.cumsum(tile) - 1
-            least = np.lexsort((node, number))[first]  # the head has the smallest node of its tile
-            head = least[number]
-            i = np.arange(1, len(h))
-            j = np.arange(1, len(first))
-            left = np.concatenate([head, i - 1, least[j - 1]])
-            right = np.concatenate([np.arange(len(h)), i, least[j]])
-            ok = (h[left] == h[right]) & (node[left] != node[right]) & like.fits(n[left], n[right])
-            left, right = left[ok], right[ok]
-            swap = node[left] < node[right]
-            once = np.unique(np.where(swap, right, left) * len(h) + np.where(swap, left, right))
-            a, b = once // len(h), once % len(h)
-            if len(a):
-                yield _pairs(node[a], node[b], n[a], n[b])
-
-    sorted_ = shared.repartition("h").sortWithinPartitions("h", "n", "node")
-    met = sorted_.select("h", "node", "n").mapInArrow(near, _PAIR).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("times"))
-    return met.where(F.col("times") >= _least(like)).drop("times")
+def _band(like: Likeness) -> Column:
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / like.percent) + 1e-9).cast("int")
 
 
-def remaining_pairs(shared: DataFrame, labels: DataFrame, like: Likeness) -> DataFrame:
-    """All pairs in different groups so far whose prefixes may share as many shingles as alike sets must.
+def first_pairs(shared: DataFrame, rows: int, like: Likeness) -> DataFrame:
+    """Each document with the heads of its tiles: a, b, n_a, n_b.
 
-    Shingles of a few documents give all their pairs, which are counted. A pair that shares too few of them can make up for it
-    with frequent shingles only, of which it shares no more than the one of the two has that has fewer; and a pair that shares
-    frequent ones alone comes from the first of these in order, from which on both sets must have enough left.
+    Head of a tile is the document with the smallest share of prefix shingles of its own, as other versions of a text have more of these
+    than the text that they come from. Only pairs that meet in as many tiles as alike sets must are compared; what this leaves out,
+    remaining_links finds.
     """
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches):
-            h, node, n, left, c, hot, root = (table.column(x).to_numpy() for x in ("h", "node", "n", "left", "c", "hot", "root"))
-            n, left = n.astype(np.int64), left.astype(np.int64)
-            end = np.searchsorted(h, h, "right")
-            # rows of a run come by size, so those that fit row i end before the first that is too large
-            upto = np.array([i + np.searchsorted(n[i:e], 100 * n[i] // like.percent, "right") for i, e in enumerate(end)])
-            size = upto - np.arange(len(h)) - 1
-            low = 0
-            while low < len(h):  # pieces of a bounded number of pairs
-                high = low + max(1, int(np.searchsorted(np.cumsum(size[low:]), 1 << 18, "right")))
-                i = np.repeat(np.arange(low, min(high, len(h))), size[low:high])
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size[low:high]) - size[low:high], size[low:high])
-                often = ((np.minimum(hot[i], hot[j]) >= like.shared(n[i], n[j]))
-                         & (np.minimum(left[i], left[j]) >= like.needed(n[i], n[j])))
-                ok = (root[i] != root[j]) & like.fits(n[i], n[j]) & ((c[i] <= FEW) | often)
-                i, j = i[ok], j[ok]
-                swap = node[i] < node[j]
-                a, b = np.where(swap, j, i), np.where(swap, i, j)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [*_pairs(node[a], node[b], n[a], n[b]).columns, pa.array(np.minimum(hot[a], hot[b])),
-                         pa.array((c[a] > FEW).astype(np.int64))], ["a", "b", "n_a", "n_b", "hot", "often"])
-                low = high
-
-    nodes = (shared.groupBy("node").agg(F.count_if(F.col("c") > FEW).alias("hot")).join(labels, "node", "left")
-             .select("node", "hot", F.coalesce("root", "node").alias("root")))
-    known = shared.join(nodes, "node")
-    sorted_ = known.repartition("h").sortWithinPartitions("h", "n", "node")
-    met = (sorted_.select("h", "node", "n", "left", "c", "hot", "root").mapInArrow(across, _PAIR + ", hot long, often long")
-           .groupBy("a", "b", "n_a", "n_b").agg(F.count_if(F.col("often") == 0).alias("times"), F.max("hot").alias("hot")))
-    return met.where(F.col("times") + F.col("hot") >= _least(like)).select("a", "b", "n_a", "n_b")
+    prefix = F.col("n") - F.ceil(like.percent * F.col("n") / 100) + 1
+    own = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("uses")).select("node", (1 - F.col("uses") / prefix).alias("own"))
+    tiled = written(shared.select("h", "node", "n", "c", _band(like).alias("band")).join(own, "node"))
+    heads = tiled.groupBy("h", "band").agg(F.min(F.struct("own", "node", "n")).alias("head"), F.count(F.lit(1)).alias("uses"))
+    heads = written(heads)
+    bands = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+    near = heads.select("h", F.explode(bands).alias("band"), "head").groupBy("h", "band").agg(F.collect_list("head").alias("heads"))
+    side = heads.select("h", "band", "uses").join(near, ["h", "band"]).select(F.struct("h", "band").alias("tile"), "heads", "uses")
+    met = attach(tiled.select("node", "n", F.struct("h", "band").alias("tile")), written(side), "tile", "uses", rows)
+    pairs = met.select("node", "n", F.explode("heads").alias("head")).where("node <> head.node")
+    swap = F.col("node") > F.col("head.node")
+    end = lambda first, c: F.when(swap if first else ~swap, F.col(c)).otherwise(F.col(f"head.{c}"))
+    pairs = pairs.select(end(True, "node").alias("a"), end(False, "node").alias("b"), end(True, "n").alias("n_a"), end(False, "n").alias("n_b"))
+    pairs = pairs.where(100 * F.least("n_a", "n_b") >= like.percent * F.greatest("n_a", "n_b"))
+    # a document that is met as a head and meets its head back is counted twice in a tile
+    met = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("times"))
+    return met.where(F.col("times") >= _least(like)).drop("times")
 
 
 def _width(n: int) -> int:
@@ -312,24 +272,8 @@ def _arrays_by_node(sets: pa.Table) -> dict[int, np.ndarray]:
     return {k: np.frombuffer(v.as_buffer(), U64) for k, v in zip(sets.column("node").to_pylist(), sets.column("h"))}
 
 
-def promising(pairs: DataFrame, cards_: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs whose prefixes share as many shingles as alike sets must; prefixes are at hand and a quarter of the sets."""
-    tiled, wanted = _tiled(pairs, 1)
-    sets = written(wanted).join(cards_.select("node", F.col("prefix").alias("h")), "node")
-
-    def check(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
-        set_of = {k: np.sort(h) for k, h in _arrays_by_node(sets_).items()}
-        least = like.shared(pairs_.column("n_a").to_numpy().astype(np.int64), pairs_.column("n_b").to_numpy().astype(np.int64))
-        found = [overlap(set_of[a], set_of[b]) >= k
-                 for a, b, k in zip(pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist(), least.tolist())]
-        return pairs_.select(["a", "b", "n_a", "n_b"]).filter(pa.array(found, pa.bool_()))
-
-    return tiled.groupBy("tile").cogroup(sets.select("tile", "node", "h").groupBy("tile")).applyInArrow(check, _PAIR)
-
-
-def compare(pairs: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness, spread: int) -> DataFrame:
-    """The pairs a, b that are alike. Arrays are made anew from the texts of the documents in question, once per task group."""
-    tiled, wanted = _tiled(pairs, spread)
+def sets_of(wanted: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """Adds h, the sorted shingles of each row's node; arrays are made anew from the texts of the documents in question."""
     wanted = written(wanted.join(cards_.select("node", "d1", "d2"), "node"))
     slots = wanted.select(F.shiftrightunsigned("d1", 64 - FILTER_BITS).cast("int").alias("slot")).distinct().toArrow()
     filter_ = np.zeros(1 << FILTER_BITS, bool)
@@ -350,7 +294,13 @@ def compare(pairs: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness
                      pa.array([h[bounds[i]:bounds[i + 1]].tobytes() for i in hit], pa.binary())], ["d1", "d2", "h"])
 
     made = docs.select("text").mapInArrow(arrays, "d1 long, d2 long, h binary").dropDuplicates(["d1", "d2"])
-    sets = wanted.join(made, ["d1", "d2"]).select("tile", "node", "h")
+    return wanted.join(made, ["d1", "d2"]).drop("d1", "d2")
+
+
+def compare(pairs: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs a, b that are alike."""
+    tiled, wanted = _tiled(pairs, 1)
+    sets = sets_of(wanted, cards_, docs, like).select("tile", "node", "h")
 
     def check(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
         set_of, bits, found = _arrays_by_node(sets_), {}, []
@@ -368,39 +318,177 @@ def compare(pairs: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness
     return tiled.select("tile", "a", "b").groupBy("tile").cogroup(sets.groupBy("tile")).applyInArrow(check, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles (size of its set), component_id (smallest doc_id of its group, itself included).
-
-    Two documents are linked if 100 * intersection >= percent * union of their sets; equal sets are one node throughout. Null and
-    empty texts, and texts without words, have no shingles and stay alone. Repeated rows are linked as equal texts are; a group
-    whose ids are all null has a null component_id. An empty table gives no rows; other columns are not read.
+class Tile:
+    """The documents of a task: their sets, groups so far, and the links that joined some of these."""
+
+    def __init__(self, nodes: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, like: Likeness):
+        self.nodes, self.sets, self.like, self.links, self.unlike = nodes, sets, like, [], set()
+        _, self.group = np.unique(roots, return_inverse=True)
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.width = np.array([_width(int(n)) for n in self.n], np.int64)
+        self.bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bits_at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of this width, of the documents that may be compared at it, and each document's row among them."""
+        if width not in self.bits:
+            mine = np.flatnonzero((self.width >= width) & (self.width <= 2 * width))
+            row = np.full(len(self.n), -1, np.int64)
+            row[mine] = np.arange(len(mine))
+            self.bits[width] = np.stack([bitmap(self.sets[i], width) for i in mine]), row
+        return self.bits[width]
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Compare pairs of documents of different groups, and join the groups of those that are alike."""
+        apart = (self.group[i] != self.group[j]) & self.like.fits(self.n[i], self.n[j])
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return
+        both = np.unique(np.minimum(i, j) * len(self.n) + np.maximum(i, j))
+        i, j = both // len(self.n), both % len(self.n)
+        width = np.minimum(self.width[i], self.width[j])
+        most = self.n[i] + self.n[j] - 2 * self.like.needed(self.n[i], self.n[j])  # shingles that one set alone may have
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            bits, row = self.bits_at(w)
+            step = max(1, PAIR_BYTES // (w // 8))
+            for low in range(0, len(at), step):
+                part = at[low:low + step]
+                part = part[self.group[i[part]] != self.group[j[part]]]
+                apart = np.bitwise_count(bits[row[i[part]]] ^ bits[row[j[part]]]).sum(1, dtype=np.int64)
+                part = part[apart <= most[part]]
+                for a, b in zip(i[part].tolist(), j[part].tolist()):
+                    self.link(a, b)
+
+    def link(self, a: int, b: int) -> None:
+        x, y = self.group[a], self.group[b]
+        if x == y or (a, b) in self.unlike:
+            return
+        if overlap(self.sets[a], self.sets[b]) < int(self.like.needed(self.n[a], self.n[b])):
+            self.unlike.add((a, b))
+            return
+        self.group[self.group == y] = x
+        self.links.append((self.nodes[a], self.nodes[b]))
+
+    def run(self, members: np.ndarray, left: np.ndarray, side: np.ndarray | None) -> None:
+        """The documents of one shingle; pairs of which one has too few shingles left from it on meet at another, or are not alike.
+
+        With ``side`` given, only pairs of different sides are wanted.
+        """
+        size = len(members)
+        done = np.zeros(size, bool)
+        while True:
+            group = self.group[members]
+            value, count = np.unique(group, return_counts=True)
+            rest = np.flatnonzero((group != value[np.argmax(count)]) & ~done)
+            if not len(rest):
+                # the others have met everyone; those of the largest group need not meet each other
+                return
+            rest = rest[:max(1, PAIRS // size)]
+            i, j = np.repeat(rest, size), np.tile(np.arange(size), len(rest))
+            self.join(*self._wanted(members, left, side, i, j))
+            done[rest] = True
+
+    def _wanted(self, members, left, side, i, j):
+        ok = (members[i] != members[j]) & (np.minimum(left[i], left[j]) >= self.like.needed(self.n[members[i]], self.n[members[j]]))
+        if side is not None:
+            ok &= side[i] != side[j]
+        return members[i[ok]], members[j[ok]]
+
+
+def remaining_links(shared: DataFrame, rows: int, labels: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """Links a, b that join all documents in different groups so far which are alike, directly or through others.
+
+    Shingles whose documents are all in one group are done. The others are kept with those of the same smallest group, as versions of a
+    text share many, so that few tasks need a set. Where the sets of such a lead have too many bytes or rows for a task, its documents are
+    cut into blocks, and each pair of blocks is a task. So a task holds about TILE_BYTES, and the sum over tasks of their rows is the only
+    bound on the links that leave them.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    all_ = written(cards(docs, like))
+    known = written(shared.select("h", "node", "n", "left").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    runs = known.groupBy("h").agg(F.min("root").alias("lead"), F.max("root").alias("top"), F.count(F.lit(1)).alias("uses")).where("lead <> top")
+    mixed = written(attach(known, written(runs.drop("top")), "h", "uses", rows).where("lead IS NOT NULL"))
+    count = mixed.count()
+    if not count:
+        return labels.sparkSession.createDataFrame([], "a long, b long")
+    held = mixed.groupBy("lead", "node", "n").agg(F.count(F.lit(1)).alias("posts"))
+    leads = held.groupBy("lead").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("nodes"), F.sum("posts").alias("uses"))
+    blocks = F.greatest(F.ceil(2 * F.col("bytes") / TILE_BYTES), F.ceil(F.col("nodes") / BLOCK_ROWS), F.lit(1)).cast("long")
+    leads = written(leads.select("lead", blocks.alias("blocks"), "bytes", "uses"))
+    load = leads.agg(F.sum(F.col("bytes") * F.col("blocks")).alias("bytes"), F.sum(F.col("uses") * F.col("blocks")).alias("rows")).first()
+    slots = max(1, math.ceil(load["bytes"] / TILE_BYTES), math.ceil(load["rows"] * 64 / TILE_BYTES))
+    cut = attach(mixed.drop("uses"), leads.drop("bytes"), "lead", "uses", count).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = written(dealt.withColumn("slot", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(slots)))
+                    .select("slot", "h", "i", "j", "block", "node", "left", "root"))
+    sets = sets_of(dealt.select("slot", "node").distinct(), cards_, docs, like).select("slot", "node", F.col("h").alias("set"))
+
+    def link(posts: pa.Table, sets_: pa.Table) -> pa.Table:
+        nodes = sets_.column("node").to_numpy()
+        order = np.argsort(nodes)
+        nodes, sets_of_ = nodes[order], [np.frombuffer(x.as_buffer(), U64) for x in sets_.column("set")]
+        h, i, j, block, node, left, root = (posts.column(c).to_numpy() for c in ("h", "i", "j", "block", "node", "left", "root"))
+        member = np.searchsorted(nodes, node)
+        roots = np.zeros(len(nodes), np.int64)
+        roots[member] = root
+        tile = Tile(nodes, [sets_of_[k] for k in order], roots, like)
+        rank = np.lexsort((tile.n[member], j, i, h))
+        h, i, j, block, member, left = h[rank], i[rank], j[rank], block[rank], member[rank], left[rank]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.diff(np.concatenate([first, [len(h)]]))
+        for low, many in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+            part = slice(low, low + many)
+            tile.run(member[part], left[part], block[part] if i[low] != j[low] else None)
+        small, many = first[size <= FEW], size[size <= FEW]
+        for low in range(0, len(small), max(1, 2 * PAIRS // FEW ** 2)):  # all pairs of a number of small runs
+            start, n = small[low:low + 2 * PAIRS // FEW ** 2], many[low:low + 2 * PAIRS // FEW ** 2]
+            row = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            after = np.repeat(start + n, n) - row - 1
+            a = np.repeat(row, after)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+            ok = (np.minimum(left[a], left[b]) >= like.needed(tile.n[member[a]], tile.n[member[b]])) & ((i[a] == j[a]) | (block[a] != block[b]))
+            tile.join(member[a[ok]], member[b[ok]])
+        return pa.table({"a": pa.array([x for x, _ in tile.links], pa.int64()), "b": pa.array([x for _, x in tile.links], pa.int64())})
+
+    return dealt.groupBy("slot").cogroup(sets.groupBy("slot")).applyInArrow(link, "a long, b long")
+
+
+def grouped(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
+    """node, doc_id, m1, m2, n, root for every row of marked documents, and their number; root is the same for rows of one group."""
+    made, sketched = cards(docs, like)
+    all_ = written(made)
     rows = all_.count()
-    alone = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    shared = written(postings(all_).withColumn("c", alone).where("c > 1"))
-    pairs = written(first_pairs(shared, like))
-    links = written(compare(pairs, all_, docs, like, 1))
+    shared = written(shared_postings(written(postings(all_, sketched, max(1, rows // HOT_SHARE))), rows))
+    posts = shared.count()
+    pairs = written(first_pairs(shared, posts, like))
+    links = written(compare(pairs, all_, docs, like))
     # equal sets in different tasks are one node: the smallest
     sets = written(all_.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")))
     firsts = all_.where("prefix IS NOT NULL").select("d1", "d2", F.col("node").alias("b"))
-    equal = firsts.join(sets, ["d1", "d2"]).where("b <> node").select(F.col("node").alias("a"), "b")
+    equal = written(firsts.join(sets, ["d1", "d2"]).where("b <> node").select(F.col("node").alias("a"), "b"))
     labels = components(links.union(equal))
-    left = written(remaining_pairs(shared, labels, like).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    if not left.isEmpty():
-        left = written(promising(left, all_, like))
-        more = written(compare(left, all_, docs, like, 16))
-        if not more.isEmpty():
-            labels = components(links.union(equal).union(more))
+    more = written(remaining_links(shared, posts, labels, all_, docs, like))
+    if not more.isEmpty():
+        labels = components(links.union(equal).union(more))
     keyed = sets.join(labels, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "copies")
-    # documents to their set, sets to their group: both joins are safe for hot keys
+    # documents to their set: this join is safe for hot keys
     key = F.struct("d1", "d2")
-    named = attach(all_.select("node", "doc_id", "n", key.alias("key")),
+    named = attach(all_.select("node", "doc_id", "m1", "m2", "n", key.alias("key")),
                    keyed.select(key.alias("key"), "root", "copies"), "key", "copies", rows)
-    named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+    return written(named.select("node", "doc_id", "m1", "m2", "n", F.coalesce("root", "node").alias("root"))), rows
+
+
+def similar_groups(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles (size of its set), component_id (smallest doc_id of its group, itself included).
+
+    Two documents are linked if 100 * intersection >= percent * union of their sets; equal sets are one node throughout. Null and
+    empty texts, and texts without words, have no shingles and stay alone. Repeated rows are linked as equal texts are, and rows that
+    repeat an id with another text are documents of their own; a group whose ids are all null has a null component_id. An empty table
+    gives no rows; other columns are not read.
+    """
+    named, rows = grouped(marked(docs, id_col, text_col), like)
     groups = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    return attach(named, written(groups), "root", "members", rows).select("doc_id", "n_shingles", "component_id")
+    return attach(named.select("doc_id", F.col("n").alias("n_shingles"), "root"), written(groups), "root", "members", rows).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,7 +510,24 @@ JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON d
 
 
 def one_of_each_group(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their group; documents without an id all stay."""
-    groups = similar_groups(docs, like, id_col, text_col)
-    other = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_llm_other"))
-    return docs.join(other, F.col(id_col) == F.col("_llm_other"), "left_anti")
+    """One row of each group of docs, with all its columns: the one with the smallest id (null ids come last).
+
+    Rows are told apart by id and text: if an id stands on rows with different texts, each is judged by its own. Of rows that have both in
+    common one stays. Texts without words are in no group, so all of them stay, repeated ones too.
+    """
+    named, _ = grouped(marked(docs, id_col, text_col), like)
+    first = named.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first"))
+    stays = first.select(F.col("first.node").alias("node"), F.lit(True).alias("stays"))
+    judged = named.where("n > 0").join(stays, "node", "left").groupBy("doc_id", "m1", "m2").agg(
+        F.coalesce(F.bool_or("stays"), F.lit(False)).alias("stays"), F.count(F.lit(1)).alias("copies"))
+    judged = written(judged.select(F.col("doc_id").alias("k0"), F.col("m1").alias("k1"), F.col("m2").alias("k2"), "stays", "copies"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"),
+                        F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(7), text).alias("m2"))
+    same = [keyed["doc_id"].eqNullSafe(F.col("k0")), keyed["m1"] == F.col("k1"), keyed["m2"] == F.col("k2")]
+    kept = keyed.join(judged.where("NOT stays OR copies > 1"), same, "left_anti").select("row")
+    repeated = judged.where("stays AND copies > 1")
+    if not repeated.isEmpty():
+        once = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "m1", "m2").agg(F.first("row").alias("row"))
+        kept = kept.unionByName(once.select("row"))
+    return kept.select("row.*")

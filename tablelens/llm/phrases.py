@@ -1,11 +1,12 @@
 """Phrase mining: an FM-index per shard over word ids enumerates n-grams by extending intervals to either side; shards are summed.
 
 A shard is a bounded run of words of a task with its own word ids; separators stand between pieces. Two orders of its places, by the
-words that follow and by the words that precede, are kept only as deep as phrases are long. An interval in both stands for a phrase;
-the words next to its places, counted in one pass over all intervals of a length, give every longer phrase with its interval and count.
+words that follow and by the words that precede, are kept only as deep as they are used. An interval in both stands for a phrase; the
+words next to its places, counted in one pass over all intervals of a length, give every longer phrase with its interval and count.
 
 Lengths are mined one after another: a phrase is frequent only if the two that are one word shorter are, so the next pass extends only
-what fixed-size bitmaps of the frequent ones let through. A full bitmap lets more through and changes no result.
+what fixed-size bitmaps of the frequent ones let through. A full bitmap lets more through and changes no result. Across shards a word is
+the 64-bit hash of its language and itself; the first pass, which counts all words by their texts, makes sure that no two words share one.
 """
 
 from __future__ import annotations
@@ -15,22 +16,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.bytes import LOWER, U64, mixed, slices, span_hashes, text_bytes, words
+from tablelens.llm.bytes import LOWER, U64, mixed, slices, text_bytes, words
 from tablelens.llm.spread import attach, read, written
 
 #: Bits of one block of a bitmap.
-BLOCK_BITS = 17
+BLOCK_BITS = 20
 #: Parts of a language that are ranked apart before their best phrases meet.
 SALTS = 64
 _ENDS = np.zeros(256, bool)  # what ends a piece
 _ENDS[[*b".,;:!?", *range(10, 14)]] = True
 _OUTSIDE = _ENDS.copy()
 _OUTSIDE[[32, 9]] = True
-_GRAMS = "lang string, phrase string, h long, c long"
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class Rules:
     min_count: int = 10
     covered_percent: int = 50  # a phrase goes if a longer one around it has this share of its occurrences
     keep: int = 2000  # of each language
-    shard_words: int = 1 << 20  # about; one longer text is a shard of its own
+    shard_words: int = 1 << 18  # about; one longer text is a shard of its own
     filter_bits: int = 27  # 2^27 bits in the bitmap of each length's frequent phrases
 
 
@@ -50,11 +50,11 @@ class Side:
     """One direction of the index: the symbol beyond each place of an order, and how often each occurs before any place."""
 
     def __init__(self, symbols: np.ndarray, first: np.ndarray):
-        at = np.argsort(symbols, kind="stable")
-        self.symbols, self.first, self.n = symbols, first, len(symbols)
-        self.keys = symbols[at] * self.n + at
+        self.symbols, self.first, self.n, self.keys = symbols, first, len(symbols), None
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            self.keys = np.sort(self.symbols * self.n + np.arange(self.n))
         return np.searchsorted(self.keys, symbol * self.n + place) - self.first[symbol]
 
 
@@ -73,26 +73,31 @@ class Intervals:
 
 def ordered(ids: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the ``depth`` symbols from each on; the end is followed by the beginning."""
-    rank, span = ids, 1
+    n, rank, span = len(ids), ids, 1
     while span < depth:
         step = min(span, depth - span)
         key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
         span += step
-        if span >= depth:
-            return np.argsort(key, kind="stable")
         _, rank = np.unique(key, return_inverse=True)
-    return np.argsort(rank, kind="stable")
+    return np.sort(rank * n + np.arange(n)) % n
 
 
 class Index:
-    """The FM-index in both directions of symbols from 0 on, of which 0 is the separator and no part of phrases."""
+    """The FM-index in both directions of symbols from 0 on, of which 0 is the separator and no part of phrases.
+
+    ``depth`` is the length of the longest phrases whose intervals are asked for; they can be extended by one more word.
+    """
 
     def __init__(self, ids: np.ndarray, depth: int):
-        self.of = int(ids.max()) + 1
+        self.ids, self.depth, self.of = ids, depth, int(ids.max()) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=self.of))])
-        self.left = Side(ids[ordered(ids, depth) - 1], self.first)
-        turned = ids[::-1]
-        self.right = Side(turned[ordered(turned, depth) - 1], self.first)
+        self.sides: dict[bool, Side] = {}
+
+    def side(self, to_right: bool) -> Side:
+        if to_right not in self.sides:
+            ids = self.ids[::-1] if to_right else self.ids
+            self.sides[to_right] = Side(ids[ordered(ids, self.depth) - 1], self.first)
+        return self.sides[to_right]
 
     def words(self) -> Intervals:
         ids = np.arange(1, self.of)
@@ -100,19 +105,22 @@ class Index:
 
     def extended(self, found: Intervals, to_right: bool) -> Intervals:
         """All phrases that are one word longer on that side."""
-        side = self.right if to_right else self.left
+        side = self.side(to_right)
         own, other = (found.back, found.low) if to_right else (found.low, found.back)
         parent = np.repeat(np.arange(len(own)), found.count)
-        place = np.arange(len(parent)) - np.repeat(np.cumsum(found.count) - found.count, found.count) + own[parent]
+        place = np.arange(len(parent)) - np.repeat(np.cumsum(found.count) - found.count - own, found.count)
         key, count = np.unique(parent * self.of + side.symbols[place], return_counts=True)
         parent, symbol = key // self.of, key % self.of
-        before = np.cumsum(count) - count
-        smaller = before - before[np.searchsorted(parent, parent, "left")]  # places of the parent with a smaller symbol
         word = symbol > 0
-        parent, symbol, smaller, count = parent[word], symbol[word], smaller[word], count[word]
-        moved, shifted = self.first[symbol] + side.rank(symbol, own[parent]), other[parent] + smaller
-        ids = np.hstack([found.ids[parent], symbol[:, None]] if to_right else [symbol[:, None], found.ids[parent]])
-        return Intervals(ids, *((shifted, moved) if to_right else (moved, shifted)), count)
+        moved = shifted = count  # of phrases that are extended no further
+        if found.ids.shape[1] < self.depth:
+            before = np.cumsum(count) - count
+            shifted = other[parent] + before - before[np.searchsorted(parent, parent, "left")]  # places of the parent with a smaller symbol
+            moved = self.first[symbol] + side.rank(symbol, own[parent])
+        parent, symbol = parent[word], symbol[word][:, None]
+        ids = np.hstack([found.ids[parent], symbol] if to_right else [symbol, found.ids[parent]])
+        low, back = (shifted, moved) if to_right else (moved, shifted)
+        return Intervals(ids, low[word], back[word], count[word])
 
 
 # ---------------------------------------------------------------- shards
@@ -132,13 +140,21 @@ class Filters:
         return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def phrase_hash(word: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    h = np.full(len(ids), ids.shape[1], U64)
-    for k in range(ids.shape[1]):
-        h = mixed(h * U64(0x9FB21C651E98DF25) + word[ids[:, k]])
+def phrase_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of the hashes of a phrase's words, of which there is a column each."""
+    h = np.full(len(columns[0]), len(columns), U64)
+    for word in columns:
+        h = mixed(h * U64(0x9FB21C651E98DF25) + word)
     return h
 
 
+def _numbered(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values below ``top`` that occur, and each value's number among them."""
+    there = np.zeros(top, bool)
+    there[values] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[values]
+
+
 class Shard:
     """Words of texts as they are gathered: their bytes, lengths, pieces and languages."""
 
@@ -156,13 +172,12 @@ class Shard:
         self.parts.append((inside, ends - starts, piece, names.indices.to_numpy(zero_copy_only=False)[own].astype(np.int64), names.dictionary))
         self.n += len(starts)
 
-    def mined(self, size: int, filters: Filters) -> Iterator[pa.RecordBatch]:
-        """The phrases of ``size`` words with their hashes and counts."""
+    def mined(self, size: int, filters: Filters, seed: int) -> Iterator[pa.RecordBatch]:
+        """The phrases of ``size`` words: the hashes of their words and their count in the shard; for single words, texts as well."""
         if not self.n:
             return
-        langs, lang_of, low = {}, [], 0
-        piece = []
-        for _, lengths, pieces, lang, names in self.parts:
+        langs, lang_of, low, piece = {}, [], 0, []
+        for _, _, pieces, lang, names in self.parts:
             table = np.array([langs.setdefault(name, len(langs)) for name in names.to_pylist()] or [0], np.int64)
             lang_of.append(table[lang])
             piece.append(pieces + low)
@@ -173,55 +188,46 @@ class Shard:
         whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
         coded = whole.dictionary_encode()  # ids are given by the words themselves, not by hashes
         texts, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        key, ids = np.unique(lang_of * len(texts) + ids, return_inverse=True)  # the same word in two languages is two
-        lang_of, text_of = key // len(texts), key % len(texts)
-        names = pa.array(list(langs), pa.string())
-        raw, at = text_bytes(texts)
-        of_lang = span_hashes(*_spans(text_bytes(names)), 13)
-        h = np.concatenate([np.zeros(1, U64), mixed(span_hashes(raw, at[:-1], at[1:], 17)[text_of] + of_lang[lang_of])])
-
-        single = np.arange(1, len(key) + 1)[:, None]
-        frequent = np.concatenate([[False], filters.has(phrase_hash(h, single), 1)])
-        ids = np.where(frequent[ids + 1], ids + 1, 0)
+        key, ids = _numbered(ids * len(langs) + lang_of, len(texts) * len(langs))  # the same word in two languages is two
+        text_of, lang_of = key // len(langs), key % len(langs)
+        marks = [f"{len(name)}:{name}".encode() for name in langs]
+        texts_ = texts.to_pylist()
+        h = np.array([xxhash.xxh64_intdigest(marks[a] + texts_[b], seed) for a, b in zip(lang_of.tolist(), text_of.tolist())], U64)
         if size == 1:
-            count = np.bincount(ids, minlength=len(key) + 1)[1:]
-            found = Intervals(single, count, count, count).where(count > 0)
-        else:
-            # one separator where the piece changes, and none of the rare words but one in a row
-            cut = np.concatenate([[True], piece[1:] != piece[:-1]])
-            spaced = np.zeros(len(ids) + int(cut.sum()), np.int64)
-            spaced[np.arange(len(ids)) + np.cumsum(cut)] = ids
-            spaced = spaced[(spaced > 0) | (np.concatenate([[1], spaced[:-1]]) > 0)]
-            used, spaced = np.unique(spaced, return_inverse=True)  # frequent words alone, close together
-            if len(used) < 2:
-                return
-            index, h = Index(spaced, size), h[used]
-            lang_of, text_of = lang_of[used[1:] - 1], text_of[used[1:] - 1]
-            found = index.words()
-            for n in range(2, size + 1):
-                to_right = n % 2 == 0
-                found = index.extended(found, to_right)
-                if n > 2:  # the phrase without the word at the other end
-                    found = found.where(filters.has(phrase_hash(h, found.ids[:, 1:] if to_right else found.ids[:, :-1]), n - 1))
-                if n < size:
-                    found = found.where(filters.has(phrase_hash(h, found.ids), n))
-        ids = found.ids
-        for low in range(0, len(ids), 1 << 16):
-            rows = ids[low:low + (1 << 16)]
-            columns = [texts.take(pa.array(text_of[rows[:, k] - 1])) for k in range(size)]
-            phrase = columns[0] if size == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))
             yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(lang_of[rows[:, 0] - 1])), phrase.cast(pa.large_string()).cast(pa.string()),
-                 pa.array(phrase_hash(h, rows).view(np.int64)), pa.array(found.count[low:low + (1 << 16)])], ["lang", "phrase", "h", "c"])
-
-
-def _spans(bytes_: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, offsets = bytes_
-    return data, offsets[:-1], offsets[1:]
-
-
-def counted(rows: DataFrame, size: int, filters: Filters, rules: Rules) -> DataFrame:
-    """lang, phrase, h, f for the phrases of ``size`` words that the filters let through; rows has lang, text."""
+                [pa.array(list(langs), pa.string()).take(pa.array(lang_of)), texts.take(pa.array(text_of)).cast(pa.large_string()).cast(pa.string()),
+                 pa.array(h.view(np.int64)), pa.array(np.bincount(ids, minlength=len(key)))], ["lang", "phrase", "h", "c"])
+            return
+        ids = np.where(filters.has(phrase_hash([h]), 1)[ids], ids + 1, 0)
+        cut = np.concatenate([[True], piece[1:] != piece[:-1]])  # a separator where the piece changes; rare words are separators too
+        spaced = np.zeros(len(ids) + int(cut.sum()), np.int64)
+        spaced[np.arange(len(ids)) + np.cumsum(cut)] = ids
+        spaced = spaced[(spaced > 0) | (np.concatenate([[1], spaced[:-1]]) > 0)]
+        used, spaced = _numbered(spaced, len(key) + 1)  # frequent words alone, close together
+        if len(used) < 2:
+            return
+        h = np.concatenate([np.zeros(1, U64), h])[used]
+        index = Index(spaced, size - 1)
+        found = index.words()
+        for n in range(2, size + 1):
+            to_right = n % 2 == 0
+            found = index.extended(found, to_right)
+            columns = [h[found.ids[:, k]] for k in range(n)]
+            kept = np.ones(len(found.ids), bool)
+            if n > 2:  # the phrase without the word at the other end
+                kept &= filters.has(phrase_hash(columns[1:] if to_right else columns[:-1]), n - 1)
+            if n < size:
+                kept &= filters.has(phrase_hash(columns), n)
+            found = found.where(kept)
+        names = [f"w{k}" for k in range(size)]
+        for low in range(0, len(found.ids), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            yield pa.RecordBatch.from_arrays([*[pa.array(h[found.ids[part, k]].view(np.int64)) for k in range(size)],
+                                              pa.array(found.count[part])], [*names, "c"])
+
+
+def counted(rows: DataFrame, size: int, filters: Filters, rules: Rules, seed: int) -> DataFrame:
+    """f for the phrases of ``size`` words that the filters let through, by w0, w1, ..., or by lang, phrase with h for words."""
     carried = rows.sparkSession.sparkContext.broadcast(filters)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,22 +236,31 @@ def counted(rows: DataFrame, size: int, filters: Filters, rules: Rules) -> DataF
             for part in slices(batch, 1):
                 shard.add(part.column(1), part.column(0))
                 if shard.n >= rules.shard_words:
-                    yield from shard.mined(size, carried.value)
+                    yield from shard.mined(size, carried.value, seed)
                     shard = Shard()
-        yield from shard.mined(size, carried.value)
+        yield from shard.mined(size, carried.value, seed)
+
+    if size == 1:
+        made = rows.mapInArrow(mine, "lang string, phrase string, h long, c long")
+        return made.groupBy("lang", "phrase").agg(F.sum("c").alias("f"), F.first("h").alias("w0"))
+    names = [f"w{k}" for k in range(size)]
+    return rows.mapInArrow(mine, ", ".join(f"{c} long" for c in [*names, "c"])).groupBy(*names).agg(F.sum("c").alias("f"))
 
-    return rows.mapInArrow(mine, _GRAMS).groupBy("lang", "phrase").agg(F.sum("c").alias("f"), F.first("h").alias("h"))
 
+def bitmap(grams: DataFrame, size: int, width: int) -> np.ndarray:
+    """One bit for the hash of every phrase, in blocks that tasks make; its size is fixed."""
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(phrase_hash([c.to_numpy().view(U64) for c in batch.columns]) >> U64(64 - width)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> BLOCK_BITS).astype(np.int32)),
+                                              pa.array((slot & ((1 << BLOCK_BITS) - 1)).astype(np.int32))], ["block", "bit"])
 
-def bitmap(grams: DataFrame, width: int) -> np.ndarray:
-    """One bit for the hash of every row, in blocks that tasks make; its size is fixed."""
     def block(table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << BLOCK_BITS, bool)
         bits[table.column("bit").to_numpy()] = True
         return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    slot = grams.select(F.shiftrightunsigned("h", 64 - width).alias("slot")).distinct()
-    parts = slot.select(F.shiftright("slot", BLOCK_BITS).cast("int").alias("block"), F.col("slot").bitwiseAND((1 << BLOCK_BITS) - 1).alias("bit"))
+    parts = grams.select(*[f"w{k}" for k in range(size)]).mapInArrow(slots, "block int, bit int").distinct()
     made = parts.groupBy("block").applyInArrow(block, "block int, bits binary").toArrow()
     out = np.zeros((1 << max(0, width - BLOCK_BITS), 1 << BLOCK_BITS - 3), np.uint8)
     for at, bits in zip(made.column("block").to_pylist(), made.column("bits")):
@@ -256,41 +271,45 @@ def bitmap(grams: DataFrame, width: int) -> np.ndarray:
 # ---------------------------------------------------------------- phrases
 
 
-def _scored(found: list[DataFrame]) -> DataFrame:
-    """lang, phrase, size, a, l, r, score of all candidates by their lowest cut."""
-    grams = found[0].select("lang", "phrase", F.col("f").alias("a"), F.lit(1).alias("size"))
-    for size, more in enumerate(found[1:], 2):
-        grams = grams.unionByName(more.select("lang", "phrase", F.col("f").alias("a"), F.lit(size).alias("size")))
-    word = F.split("phrase", " ", -1)
-    part = lambda first, n: F.struct("lang", F.array_join(F.slice(word, first, n), " ").alias("phrase"))
-    cuts = grams.where("size > 1").select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = written(cuts.select("lang", "phrase", "a", "size", "k", part(F.lit(1), F.col("k")).alias("left"),
-                               part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right")))
-    rows = cuts.count()
-    for end, name in (("left", "l"), ("right", "r")):  # a frequent word begins a large share of all phrases
-        uses = cuts.groupBy(f"{end}.lang", f"{end}.phrase").agg(F.count(F.lit(1)).alias("uses"))
-        side = grams.select("lang", "phrase", F.col("a").alias(name)).join(uses, ["lang", "phrase"])
-        side = written(side.select(F.struct("lang", "phrase").alias(end), name, "uses"))
-        cuts = attach(cuts, side, end, "uses", rows).drop("uses")
+def _looked_up(rows: DataFrame, base: DataFrame, count: int, at: list[str], grams: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Adds values of the phrases that stand in the columns ``at``; a frequent word stands in a large share of all rows.
+
+    ``base`` is the written table, of ``count`` rows, that the rows come from.
+    """
+    uses = base.groupBy(*at).agg(F.count(F.lit(1)).alias("_uses"))
+    side = grams.select(*[F.col(f"w{k}").alias(c) for k, c in enumerate(at)], *[F.col(v).alias(name) for v, name in values.items()])
+    side = side.join(uses, at).select(F.struct(*at).alias("_key"), *values.values(), "_uses")
+    return attach(rows.withColumn("_key", F.struct(*at)), written(side), "_key", "_uses", count).drop("_key", "_uses")
+
+
+def _scored(found: list[DataFrame], size: int) -> DataFrame:
+    """lang, phrase, w0, w1, ..., a, l, r, score of the candidates of a size by their lowest cut."""
+    names, base = [f"w{k}" for k in range(size)], found[size - 1]
+    rows, count = base.withColumnRenamed("f", "a"), base.count()
+    for k in range(1, size):
+        for part, name in ((names[:k], f"l{k}"), (names[k:], f"r{k}")):
+            if len(part) > 1:
+                rows = _looked_up(rows, base, count, part, found[len(part) - 1], {"f": name})
+    for k, name in enumerate(names):  # words bring their texts, and their counts where they are a part of a cut
+        values = {"phrase": f"t{k}"} | ({"f": "l1" if k == 0 else f"r{size - 1}"} if k in (0, size - 1) else {}) | ({"lang": "lang"} if k == 0 else {})
+        rows = _looked_up(rows, base, count, [name], found[0], values)
     number = lambda c: f"cast({c} AS decimal(14, 0))"
-    score = F.expr(f"(cast(1000000 AS decimal(7, 0)) * {number('a')} * {number('a')}) div ({number('l')} * {number('r')})")
-    best = cuts.select("lang", "phrase", "a", "size", F.struct(score.alias("score"), "k", "l", "r").alias("cut"))
-    best = best.groupBy("lang", "phrase", "a", "size").agg(F.min("cut").alias("cut"))
-    return best.select("lang", "phrase", "size", "a", "cut.l", "cut.r", "cut.score")
+    cuts = [F.struct(F.expr(f"(cast(1000000 AS decimal(7, 0)) * {number('a')} * {number('a')}) div ({number(f'l{k}')} * {number(f'r{k}')})")
+                     .alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, size)]
+    best = rows.withColumn("cut", F.array_min(F.array(*cuts)))
+    return best.select("lang", F.concat_ws(" ", *[f"t{k}" for k in range(size)]).alias("phrase"), *names, "a", "cut.l", "cut.r", "cut.score")
 
 
-def _covers(found: list[DataFrame]) -> DataFrame | None:
-    """lang, phrase, most: the count of the most frequent candidate that is a word longer and holds the phrase.
+def _uncovered(scored: DataFrame, longer: DataFrame, size: int, rules: Rules) -> DataFrame:
+    """Candidates without one a word longer around them that is frequent enough.
 
     Candidates that are longer still are no more frequent than one of these, so they need not be looked at.
     """
-    all_ = None
-    for size, more in enumerate(found[2:], 3):
-        word = F.split("phrase", " ", -1)
-        both = F.array(F.array_join(F.slice(word, 1, size - 1), " "), F.array_join(F.slice(word, 2, size - 1), " "))
-        part = more.select("lang", F.explode(both).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("most"))
-        all_ = part if all_ is None else all_.unionByName(part)
-    return all_
+    names = [f"w{k}" for k in range(size)]
+    inner = [longer.select(*[F.col(f"w{k + low}").alias(f"w{k}") for k in range(size)], "f") for low in (0, 1)]
+    most = inner[0].unionByName(inner[1]).groupBy(*names).agg(F.max("f").alias("most"))
+    return scored.join(most, names, "left").where(
+        F.coalesce(100 * F.col("most") < rules.covered_percent * F.col("a"), F.lit(True))).drop("most")
 
 
 def mine(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -302,26 +321,29 @@ def mine(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_c
     empty table give no rows. A piece is never split, so memory grows with the longest text. Other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    filters, found, sizes = Filters(rules.filter_bits), [], None
-    for size in range(1, rules.max_words + 1):
-        grams = counted(rows, size, filters, rules)
-        if size == 1:
-            grams = written(grams)
-            sizes = written(grams.groupBy("lang").agg(F.sum("f").alias("n")))
-            found.append(grams.where(F.col("f") >= rules.min_count))
-        else:
-            found.append(written(grams.where(F.col("f") >= rules.min_count)))
+    filters, seed = Filters(rules.filter_bits), 0
+    while True:
+        every = written(counted(rows, 1, filters, rules, seed))
+        if every.groupBy("w0").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+        seed += 1  # two words share a hash: another one for all
+    sizes = every.groupBy("lang").agg(F.sum("f").alias("n"))
+    found = [written(every.where(F.col("f") >= rules.min_count))]
+    for size in range(2, rules.max_words + 1):
+        filters.maps[size - 1] = bitmap(found[-1], size - 1, rules.filter_bits)
+        found.append(written(counted(rows, size, filters, rules, seed).where(F.col("f") >= rules.min_count)))
+    best = None
+    for size in range(2, rules.max_words + 1):
+        part = _scored(found, size)
         if size < rules.max_words:
-            filters.maps[size] = bitmap(found[-1], rules.filter_bits)
-    scored, covers = _scored(found), _covers(found)
-    if covers is not None:
-        scored = scored.join(covers, ["lang", "phrase"], "left").where(
-            F.coalesce(100 * F.col("most") < rules.covered_percent * F.col("a"), F.lit(True))).drop("most")
+            part = _uncovered(part, found[size], size, rules)
+        part = part.select("lang", "phrase", "a", "l", "r", "score")
+        best = part if best is None else best.unionByName(part)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    best = best.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     for part in (["lang", "_salt"], ["lang"]):  # of each salt as many as of the whole, then of these
-        salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("rank") <= rules.keep)
-    return salted.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("rank") <= rules.keep)
+    return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from tablelens.sources.tables import shared_folder
 
 #: A key with more than one row in so many is hot. There can be no more hot keys than this number.
 HOT_SHARE = 2_000
+#: Tables of up to so many rows are joined as they are: whatever their keys, a task holds no more rows.
+PLAIN_ROWS = 20_000
 #: Rows that one bucket of a numbering holds on average.
 BUCKET_ROWS = 50_000
 
@@ -34,6 +36,8 @@ def attach(df: DataFrame, side: DataFrame, key: str, weight: str, rows: int) ->
     Keys with over rows/HOT_SHARE rows are at most HOT_SHARE in number, so they are broadcast; the rest is a shuffle join in
     which no key is larger than that share. Rows already served get a key of their own there, and so spread evenly.
     """
+    if rows <= PLAIN_ROWS:
+        return df.join(side, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], *[c for c in side.columns if c != key])
     limit = max(1, rows // HOT_SHARE)
     values = [c for c in side.columns if c != key]
     hot = side.where(F.col(weight) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot"))

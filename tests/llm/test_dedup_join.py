@@ -3,9 +3,10 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tablelens.llm import exact_dedup, graph, ngram_join
+from tablelens.llm import exact_dedup, graph, ngram_join, spread
 from llm_rows import ROWS, blank_words
 
 
@@ -64,9 +65,11 @@ def test_hot_copies(spark):
     assert kept.count() == 6001 and kept.where("group_size = 3000").first().keep_id == 0
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("plain", [20_000, 0])
+def test_components_match_union_find(spark, monkeypatch, plain):
+    monkeypatch.setattr(spread, "PLAIN_ROWS", plain)
     rng = random.Random(3)
-    links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)]
+    links = [(i, i + 1) for i in range(20)] + [(1000, 1000 + i) for i in range(1, 200)]
     links += [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(300)]
     root = {n: n for link in links for n in link}
 

@@ -5,7 +5,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from tablelens.llm import phrases
+from tablelens.llm import phrases, spread
 
 
 def pieces(text):
@@ -61,7 +61,8 @@ def test_mined_phrases_match_brute_force(spark, rules):
     assert len(got) > 20 and len(set(got)) == len(got) and set(got) == brute(rows, rules)
 
 
-def test_a_full_filter_changes_nothing(spark):
+def test_a_full_filter_and_hot_words_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(spread, "PLAIN_ROWS", 0)
     rows, rules = corpus(4, 150), phrases.Rules(filter_bits=1)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
     assert {tuple(r) for r in phrases.mine(docs, rules).collect()} == brute(rows, rules)
@@ -71,7 +72,7 @@ def test_index_extends_to_both_sides():
     rng = np.random.default_rng(5)
     for depth in (1, 2, 3, 5):
         ids = np.concatenate([[0], rng.integers(0, 4, 200), [0]])
-        index, text = phrases.Index(ids, depth), ids.tolist()
+        index, text = phrases.Index(ids, max(1, depth - 1)), ids.tolist()
         found = index.words()
         for n in range(1, depth + 1):
             want = Counter(tuple(text[i:i + n]) for i in range(len(text) - n + 1) if 0 not in text[i:i + n])

@@ -105,9 +105,10 @@ def _flag_word(c: str) -> str:
 
 
 def _text_aggs() -> dict[str, str]:
-    """Counts over the flag word f of text t."""
+    """Counts of texts from rows (f: flag word, null for a null; n: values that have it; chars: their length in all)."""
     def having(bits: int, without: int = 0) -> str:
-        return f"count_if(f & {bits} <> 0" + (f" AND f & {without} = 0)" if without else ")")
+        test = f"f & {bits} <> 0" + (f" AND f & {without} = 0" if without else "")
+        return f"sum(CASE WHEN {test} THEN n ELSE 0 END)"
 
     out = {
         "sentinels": having(SENTINEL),
@@ -116,7 +117,7 @@ def _text_aggs() -> dict[str, str]:
         "currency_cast_kept": having(CAST, without=SENTINEL),
         "number_like": having(NUMBER),
         "number_like_kept": having(NUMBER, without=SENTINEL),
-        "not_boolean": f"count_if(f & {BOOLEAN} = 0)",
+        "not_boolean": f"sum(CASE WHEN f & {BOOLEAN} = 0 THEN n ELSE 0 END)",
         "any_date": having(sum(DATES)),
     }
     return out | {f"date_{i}": having(v) for i, v in enumerate(DATES)}
@@ -130,25 +131,27 @@ def _named(aggs: dict[str, str]) -> list:
     return [F.expr(f"{e} AS {n}") for n, e in aggs.items()]
 
 
-def _by_column(values: DataFrame, plain: dict[str, str], sketched: DataFrame, sketches: dict[str, str]) -> DataFrame:
-    """Aggregate (column, value) rows in two branches, one row per column each, and put them side by side.
+def _by_column(plain: DataFrame, sketched: DataFrame, sketches: dict[str, str]) -> DataFrame:
+    """Two aggregates of (column, value) rows, one row per column each, side by side.
 
     Counts and moments alone run in generated code; together with sketches or text extremes, which cannot, they
     would all be interpreted. The branches run at the same time.
     """
-    return values.groupBy("ord").agg(*_named(plain)).join(sketched.groupBy("ord").agg(*_named(sketches)), "ord")
+    return plain.join(sketched.groupBy("ord").agg(*_named(sketches)), "ord")
 
 
 def _text_stats(df: DataFrame, columns: dict[int, T.StructField], text_rules: bool) -> DataFrame:
+    """Values are counted by column and flag word, of which there are few, and every count is a sum over these rows."""
     values = _long(df, [f"struct({i} AS ord, {tx.ident(f.name)} AS t)" for i, f in columns.items()])
-    plain = {"rows": "count(1)", "nulls": "count_if(t IS NULL)", "avg_length": "avg(length(t))"}
     sketches = {"approx_distinct": approx_distinct("t"), "single_value": "min(t) = max(t)",
                 "min_text": "min(t)", "max_text": "max(t)"}
-    flagged = values
-    if text_rules:
-        flagged = values.selectExpr("ord", "t", f"{_flag_word('t')} AS f")
-        plain |= _text_aggs()
-    return _by_column(flagged, plain, values, sketches)
+    flags = _flag_word("t") if text_rules else "CASE WHEN t IS NOT NULL THEN 0 END"
+    histogram = values.selectExpr("ord", f"{flags} AS f", "length(t) AS size").groupBy("ord", "f").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    counts = {"rows": "sum(n)", "nulls": "sum(CASE WHEN f IS NULL THEN n ELSE 0 END)",
+              "avg_length": "try_divide(CAST(sum(chars) AS DOUBLE), sum(CASE WHEN f IS NOT NULL THEN n END))"}
+    counts |= _text_aggs() if text_rules else {}
+    return _by_column(histogram.groupBy("ord").agg(*_named(counts)), values, sketches)
 
 
 def _value_stats(df: DataFrame, columns: dict[int, T.StructField], quartiles: bool, cfg: LensConfig) -> DataFrame:
@@ -172,7 +175,8 @@ def _value_stats(df: DataFrame, columns: dict[int, T.StructField], quartiles: bo
         "q": f"percentile_approx(num, array(0.25, 0.5, 0.75), {cfg.quantile_accuracy})" if quartiles
              else "CAST(NULL AS ARRAY<DOUBLE>)",
     }
-    return _by_column(_long(df, structs), plain, _long(df, marks), sketches).selectExpr(
+    moments = _long(df, structs).groupBy("ord").agg(*_named(plain))
+    return _by_column(moments, _long(df, marks), sketches).selectExpr(
         "*", "q[0] AS q1", "q[1] AS median", "q[2] AS q3", "timestampdiff(DAY, min_ts, max_ts) AS span_days")
 
 
@@ -250,16 +254,10 @@ def _with_values(stats: DataFrame, values: dict[str, tuple], schema: str) -> Dat
     return stats.join(F.broadcast(known), "column", "left")
 
 
-def sizes(stats: DataFrame) -> dict[str, tuple[int, int]]:
-    """Values and (sketched) distinct values per column, as exact_quantiles takes them."""
-    return {r["column"]: (r["rows"] - r["nulls"], r["approx_distinct"])
-            for r in stats.select("column", "rows", "nulls", "approx_distinct").collect()}
-
-
 def with_exact_quartiles(df: DataFrame, stats: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
     """Replace the sketched quartiles of numeric columns by exact ones."""
     numeric = {f.name: finite(tx.ident(f.name), f.dataType) for f in df.schema if kind_of(f.dataType) in NUMERIC_KINDS}
-    found = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], cfg, sizes(stats))
+    found = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], cfg)
     return _with_values(stats.drop("q1", "median", "q3"), {c: tuple(q) for c, q in found.items() if q},
                         "q1 double, median double, q3 double")
 

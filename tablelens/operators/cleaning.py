@@ -205,20 +205,24 @@ def column_findings(decided: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
             .select("f.rank", "f.ord", "step", "f.column", "f.rule", "f.detail", "f.n"))
 
 
-def extreme_outliers(df: DataFrame, columns: dict[str, str], cfg: LensConfig = DEFAULT,
-                     sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Exact quartiles, 3-IQR fences, extremes and counts outside, for numeric SQL expressions with a spread."""
-    quartiles = {n: q for n, q in exact_quantiles(df, columns, [0.25, 0.75], cfg, sizes).items() if q and q[1] > q[0]}
+def extreme_outliers(df: DataFrame, columns: dict[str, str], cfg: LensConfig = DEFAULT) -> DataFrame:
+    """Exact quartiles, 3-IQR fences, extremes and counts outside, for numeric SQL expressions with a spread.
+
+    The extremes are the quantiles 0 and 1, so that one selection gives them with the quartiles; the counts take one more scan.
+    """
+    found = exact_quantiles(df, columns, [0.0, 0.25, 0.75, 1.0], cfg)
+    quartiles = {n: q[1:3] for n, q in found.items() if q and q[2] > q[1]}
     schema = ("column string, q1 double, q3 double, lower double, upper double, min_num double, max_num double, "
               "n_outside bigint")
     if not quartiles:
         return df.sparkSession.createDataFrame([], schema)
     edges = fences(quartiles, cfg.extreme_iqr)
     values = df.selectExpr(*[f"CAST({columns[n]} AS DOUBLE) AS v{i}" for i, n in enumerate(edges)])
-    seen = values.agg(*[
-        F.struct(F.min(f"v{i}"), F.max(f"v{i}"), F.count_if((F.col(f"v{i}") < lo) | (F.col(f"v{i}") > hi))).alias(f"e{i}")
-        for i, (lo, hi) in enumerate(edges.values())]).first()
-    rows = [(n, *quartiles[n], lo, hi, *seen[f"e{i}"]) for i, (n, (lo, hi)) in enumerate(edges.items())]
+    beyond = {i: e for i, (n, e) in enumerate(edges.items()) if found[n][0] < e[0] or found[n][3] > e[1]}  # the extremes tell
+    seen = values.agg(*[F.count_if((F.col(f"v{i}") < lo) | (F.col(f"v{i}") > hi)).alias(f"e{i}")
+                        for i, (lo, hi) in beyond.items()]).first() if beyond else {}
+    rows = [(n, *quartiles[n], lo, hi, found[n][0], found[n][3], seen[f"e{i}"] if i in beyond else 0)
+            for i, (n, (lo, hi)) in enumerate(edges.items())]
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -277,8 +281,7 @@ def clean(df: DataFrame, cfg: LensConfig = DEFAULT, check_rows: bool = True) ->
                and (r["kind"] in NUMERIC_KINDS or r["action"] == "number")}
     findings = column_findings(_with_examples(df, decided, rows), cfg)
     if numeric:
-        native = {r["column"]: (r["rows"] - r["nulls"], r["approx_distinct"]) for r in rows if r["kind"] in NUMERIC_KINDS}
-        findings = findings.unionByName(_outlier_findings(extreme_outliers(df, numeric, cfg, native), decided, cfg))
+        findings = findings.unionByName(_outlier_findings(extreme_outliers(df, numeric, cfg), decided, cfg))
     if check_rows:
         findings = findings.unionByName(_row_findings(row_groups(df.select(*[tx.col(c) for c in table.columns]), cfg)))
     report = pin_small(assemble_report(findings))

@@ -1,224 +1,125 @@
-"""Exact quantiles (linear interpolation) whose memory does not grow with the table.
+"""Exact quantiles (linear interpolation) by radix selection: bounded memory and at most four passes, whatever the distribution.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch first
-brackets each quantile; values outside the bracket are clamped to its ends, which leaves the order
-statistics inside untouched, so ``percentile`` only ever holds the bracket's values. Brackets that would
-still hold too many are narrowed by further sketch passes.
+Spark's ``percentile`` keeps every distinct value of a group in one task. Here doubles are taken in the order of a 64-bit image of theirs:
+values are counted by its top 16 bits, the bucket that holds a wanted rank is found, and only that bucket is counted by the next 16. Counts
+combine before the shuffle, so no task holds more than 65,536 rows of a group, and columns and groups of any number go together.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT, LensConfig
-from tablelens.functions.stats import approx_distinct, number
 from tablelens.functions.text import col, ident
 from tablelens.sources.tables import broadcast_if_small, cut_lineage
 
-GRID = [i / 200 for i in range(201)]
-GRID_ACCURACY = 1000  # the least that keeps the sketch error well below a grid step
+DIGIT_BITS = 16
+
+
+def with_image(rows: DataFrame) -> DataFrame:
+    """Adds img, a 64-bit integer in the order of the double v: its exponent and fraction as IEEE 754 has them, signed like v.
+
+    The exponent comes from a logarithm, which may be off by one next to powers of two, and is put right by comparing.
+    """
+    rough = rows.selectExpr("*", "abs(v) AS _a", "greatest(-1022, CAST(floor(log2(least(abs(v), 1.7976931348623157E308D))) AS INT)) AS _r")
+    near = rough.selectExpr("*", "_r + CASE WHEN _a >= pow(2D, _r + 1) THEN 1 WHEN _r > -1022 AND _a < pow(2D, _r) THEN -1 ELSE 0 END AS _e")
+    # 2^-e is taken in two steps, as it may be too large for one
+    share = "_a * pow(2D, -shiftright(_e, 1)) * pow(2D, shiftright(_e, 1) - _e) * 4503599627370496D"
+    size = (f"CASE WHEN _a = 0 THEN 0L WHEN _a > 1.7976931348623157E308D THEN {2047 << 52}L "
+            f"ELSE (_e + 1022) * 4503599627370496L + CAST({share} AS BIGINT) END")
+    return near.selectExpr(*[ident(c) for c in rows.columns], f"CASE WHEN v < 0 THEN -({size}) ELSE {size} END AS img")
+
 
+def ranks(probs: list[float]) -> str:
+    """SQL for an array of the ranks (from 0) between which the quantiles of n values lie."""
+    return "array(" + ", ".join(f"CAST({f}({p}D * (n - 1)) AS BIGINT)" for p in probs for f in ("floor", "ceil")) + ")"
 
-def _margin(limit: int, cfg: LensConfig) -> float:
-    """How far around a quantile its bracket reaches: twice the sketch error, and three values in a group that
-    only just exceeds the limit."""
-    return 2.0 / cfg.quantile_accuracy + 3.0 / limit
 
+def _pick(counts: DataFrame, keys: list[str], first: str) -> DataFrame:
+    """Of counted buckets those that hold a wanted rank: keys, target, rank (within the bucket), prefix, lo, hi.
 
-def _limit(cfg: LensConfig, columns: int = 1) -> int:
-    return max(1000, cfg.exact_values_in_memory // max(1, columns))
+    ``first`` is the array of (target, rank) that is wanted among a group's buckets.
+    """
+    before = Window.partitionBy(*[col(k) for k in keys], *(["parent"] if "parent" in counts.columns else [])).orderBy("prefix")
+    placed = counts.withColumn("_upto", F.sum("n").over(before)).withColumn("_wanted", F.expr(first))
+    inside = F.filter("_wanted", lambda w: (w["rank"] < F.col("_upto")) & (w["rank"] >= F.col("_upto") - F.col("n")))
+    each = placed.withColumn("_w", F.explode(inside))
+    return each.select(*[col(k) for k in keys], F.col("_w.target").alias("target"),
+                       (F.col("_w.rank") - F.col("_upto") + F.col("n")).alias("rank"), "prefix", "lo", "hi")
 
 
-@dataclass
-class _Bracket:
-    lo: float
-    hi: float
+def _counted(rows: DataFrame, by: list, digit: int) -> DataFrame:
+    shift = 64 - DIGIT_BITS * digit
+    return rows.groupBy(*by, F.shiftright("img", shift).alias("prefix") if shift else F.col("img").alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def exact_quantiles(
-    df: DataFrame, columns: dict[str, str], probs: list[float], cfg: LensConfig = DEFAULT,
-    sizes: dict[str, tuple[int, int]] | None = None,
-) -> dict[str, list[float] | None]:
-    """Quantiles of several numeric SQL expressions, by name; one short list per expression comes back.
+def selected(values: DataFrame, keys: list[str], probs: list[float], cfg: LensConfig = DEFAULT) -> DataFrame:
+    """Exact quantiles of v per group: keys, n, q (an array in the order of probs); NaN and null do not count.
 
-    ``sizes`` gives values and distinct values per name where they are known; expressions with few distinct
-    values then need no sketch.
+    A group without values has no row. Infinite values are the largest and smallest. -0 is 0.
     """
-    out: dict[str, list[float] | None] = {}
+    by = [col(k) for k in keys]
+    rows = with_image(values.where("v IS NOT NULL AND NOT isnan(v)").withColumn("v", F.col("v") + F.lit(0.0)))
+    counts = cut_lineage(_counted(rows, by, 1))
+    total = counts.withColumn("n_all", F.sum("n").over(Window.partitionBy(*by)))
+    wanted = f"transform({ranks(probs).replace('(n - 1)', '(n_all - 1)')}, (r, i) -> named_struct('target', i, 'rank', r))"
+    sizes = counts.groupBy(*by).agg(F.sum("n").alias("n"))
+    open_, done = _pick(total, keys, wanted), []
+    for digit in range(2, 64 // DIGIT_BITS + 1):
+        open_ = cut_lineage(open_)
+        done.append(open_.where("lo = hi"))
+        open_ = open_.where("lo < hi")
+        targets = open_.groupBy(*by, "prefix").agg(F.collect_list(F.struct("target", "rank")).alias("_targets"))
+        targets = targets.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("prefix").alias("parent"), "_targets")
+        n = targets.count()
+        if not n:
+            open_ = None
+            break
+        on = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        above = F.shiftright("img", 64 - DIGIT_BITS * (digit - 1)) == F.col("parent")
+        inner = rows.join(broadcast_if_small(targets.drop("_targets"), n, cfg), [*on, above]).drop(*[f"_k{i}" for i in range(len(keys))])
+        finer = _counted(inner, [*by, F.col("parent")], digit)
+        mine = finer.join(broadcast_if_small(targets.withColumnRenamed("parent", "_parent"), n, cfg),
+                          [*on, F.col("parent") == F.col("_parent")]).drop("_parent", *[f"_k{i}" for i in range(len(keys))])
+        open_ = _pick(mine, keys, "_targets")
+    if open_ is not None:
+        done.append(open_)  # all bits are known, so lo = hi
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    ends = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("target", "lo"))).alias("_v"))
+    named = ends.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_v")
+    joined = sizes.join(named, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    at = [f"{p}D * (n - 1)" for p in probs]
+    q = [f"CASE WHEN floor({a}) = ceil({a}) THEN _v[{2 * i}] "
+         f"ELSE (ceil({a}) - ({a})) * _v[{2 * i}] + (({a}) - floor({a})) * _v[{2 * i + 1}] END" for i, a in enumerate(at)]
+    return joined.select(*by, "n", F.expr(f"array({', '.join(q)})").alias("q"))
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, str], probs: list[float],
+                    cfg: LensConfig = DEFAULT) -> dict[str, list[float] | None]:
+    """Quantiles of several numeric SQL expressions, by name; one short list per expression comes back, None without values.
+
+    Values become (column, value) rows inside the scan; wide tables go in blocks of columns.
+    """
+    out: dict[str, list[float] | None] = dict.fromkeys(columns)
     names = list(columns)
     for start in range(0, len(names), cfg.columns_per_pass):
         block = names[start:start + cfg.columns_per_pass]
-        values = df.selectExpr(*[f"CAST({columns[n]} AS DOUBLE) AS v{i}" for i, n in enumerate(block)])
-        known = [(sizes or {}).get(n) for n in block]
-        out.update(zip(block, _quantiles(values, known, probs, cfg)))
-    return out
-
-
-def _quantiles(values: DataFrame, known: list[tuple[int, int] | None], probs: list[float],
-               cfg: LensConfig) -> list[list[float] | None]:
-    per_task = _limit(cfg, len(known))
-    width = _margin(per_task, cfg)
-    ends = ", ".join(str(max(0.0, min(1.0, p + s))) for p in probs for s in (-width, width))
-    crowded = [i for i, k in enumerate(known) if k is None or k[1] * 1.1 > per_task]
-    first = values.agg(*[
-        F.expr(f"struct(count(v{i}) AS n, {approx_distinct(f'v{i}') if known[i] is None else known[i][1]} AS d, "
-               f"percentile_approx(v{i}, array({ends}), {cfg.quantile_accuracy}) AS ends) AS c{i}")
-        for i in crowded
-    ]).first() if crowded else None
-    totals, brackets = [], {}
-    for i, k in enumerate(known):
-        s = first[f"c{i}"] if i in crowded else None
-        totals.append(s.n if s else k[0])
-        too_many = bool(s) and s.n > 0 and s.d * 1.1 > per_task
-        for j in range(len(probs)):
-            brackets[i, j] = _Bracket(s.ends[2 * j], s.ends[2 * j + 1]) if too_many else None
-    return _finish(values, probs, totals, _narrow(values, probs, totals, brackets, per_task, cfg))
-
-
-def _middle(b) -> float:
-    return b.lo / 2 + b.hi / 2
-
-
-def _narrow(values, probs, totals, brackets, per_task, cfg):
-    """Shrink every bracket that the sketch error alone leaves too full."""
-    share, accuracy = 2 * _margin(per_task, cfg), max(GRID_ACCURACY, cfg.quantile_accuracy)
-    grid = ", ".join(map(str, GRID))
-    todo = [k for k, b in brackets.items() if b and b.lo < b.hi and totals[k[0]] * share > per_task]
-    while todo:
-        aggs = []
-        for t, (i, j) in enumerate(todo):
-            lo, hi = number(brackets[i, j].lo), number(brackets[i, j].hi)
-            inside = f"CASE WHEN v{i} >= {lo} AND v{i} <= {hi} THEN v{i} END"
-            half = f"count_if(v{i} >= {lo} AND v{i} < {number(_middle(brackets[i, j]))}) AS half"
-            aggs.append(F.expr(
-                f"struct(count_if(v{i} < {lo}) AS below, count({inside}) AS m, {half}, {approx_distinct(inside)} AS d, "
-                f"percentile_approx({inside}, array({grid}), {accuracy}) AS grid) AS b{t}"))
-        row = values.agg(*aggs).first()
-        left = []
-        for t, (i, j) in enumerate(todo):
-            s, b = row[f"b{t}"], brackets[i, j]
-            if s.d * 1.1 <= per_task:
-                continue
-            rank = (math.floor(probs[j] * (totals[i] - 1)) - s.below) / max(1, s.m)
-            g = math.floor(rank * (len(GRID) - 1))
-            new = _Bracket(s.grid[g - 1] if g >= 1 else b.lo,
-                           s.grid[g + 2] if 0 <= g and g + 2 < len(GRID) else b.hi)
-            if (new.lo, new.hi) == (b.lo, b.hi):  # the grid does not part these values: their middle does
-                wanted = math.floor(probs[j] * (totals[i] - 1)) - s.below
-                middle = _middle(b)
-                if wanted + 1 < s.half and middle < b.hi:
-                    new = _Bracket(b.lo, middle)
-                elif wanted >= s.half and middle > b.lo:
-                    new = _Bracket(middle, b.hi)
-                else:
-                    raise RuntimeError(f"quantile {probs[j]} lies between values too close to part")
-            brackets[i, j] = new
-            if new.lo < new.hi:
-                left.append((i, j))
-        todo = left
-    return brackets
-
-
-def _finish(values, probs, totals, brackets):
-    """One pass: exact percentiles, over clamped values where a bracket applies, with a check of its rank."""
-    aggs = []
-    for i, n in enumerate(totals):
-        if n > 0 and brackets[i, 0] is None:
-            aggs.append(F.expr(f"percentile(v{i}, array({', '.join(map(str, probs))})) AS w{i}"))
-    for (i, j), b in brackets.items():
-        if b is not None:
-            lo, hi = number(b.lo), number(b.hi)
-            aggs.append(F.expr(
-                f"struct(percentile(CASE WHEN v{i} IS NOT NULL THEN greatest({lo}, least({hi}, v{i})) END, {probs[j]}) "
-                f"AS q, count_if(v{i} < {lo}) AS below, count_if(v{i} <= {hi}) AS upto) AS t{i}_{j}"))
-    row = values.agg(*aggs).first() if aggs else None
-    out: list[list[float] | None] = []
-    for i, n in enumerate(totals):
-        if n == 0:
-            out.append(None)
-        elif brackets[i, 0] is None:
-            out.append(list(row[f"w{i}"]))
-        else:
-            found = [row[f"t{i}_{j}"] for j in range(len(probs))]
-            for p, t in zip(probs, found):
-                pos = p * (n - 1)
-                if t.below > math.floor(pos) or t.upto < math.ceil(pos) + 1:
-                    raise ValueError(f"the bracket of quantile {p} lost its rank; the input changed between passes")
-            out.append([t.q for t in found])
+        values = ", ".join(f"struct({i} AS ord, CAST({columns[n]} AS DOUBLE) AS v)" for i, n in enumerate(block))
+        for r in selected(df.selectExpr(f"inline(array({values}))"), ["ord"], probs, cfg).collect():
+            out[block[r["ord"]]] = list(r["q"])
     return out
 
 
 def grouped_median(
     df: DataFrame, keys: list[str], value: str, name: str = "median", cfg: LensConfig = DEFAULT
 ) -> DataFrame:
-    """Exact median of one column per group; a group may hold any share of the rows."""
-    v = col(value).cast("double")
-    distinct = F.expr(approx_distinct(f"CAST({ident(value)} AS DOUBLE)"))
-    by = [col(k) for k in keys]
-    limit = _limit(cfg)
-    width = _margin(limit, cfg)
-    groups = df.groupBy(*by).agg(
-        F.count(v).alias("_n"),
-        distinct.alias("_d"),
-        F.percentile_approx(v, [max(0.0, 0.5 - width), min(1.0, 0.5 + width)], cfg.quantile_accuracy).alias("_ends"),
-    )
-    top = groups.agg(F.max("_d").alias("d"), F.max("_n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
-    if (top.d or 0) * 1.1 <= limit:
-        return df.groupBy(*by).agg(F.percentile(v, 0.5).alias(name))
-
-    # keys may be null, so the bracket table is joined null-safely
-    big = F.col("_d") * 1.1 > limit
-    brackets = groups.select(
-        *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n",
-        F.when(big, F.col("_ends")[0]).alias("_lo"), F.when(big, F.col("_ends")[1]).alias("_hi"),
-    )
-    full = top.n * 2 * width
-    while full > limit:
-        joined = _with_brackets(df, keys, brackets, top.groups, cfg)
-        brackets = cut_lineage(_narrow_groups(joined, keys, value, limit, cfg))
-        now = brackets.agg(F.max("_left")).first()[0] or 0
-        brackets = brackets.drop("_left")
-        if now >= full:
-            break
-        full = now
-    joined = _with_brackets(df, keys, brackets, top.groups, cfg)
-    clamped = F.greatest(F.coalesce("_lo", v), F.least(F.coalesce("_hi", v), v))
-    found = joined.groupBy(*by).agg(
-        F.percentile(F.when(v.isNotNull(), clamped), 0.5).alias(name), F.count(v).alias("_n"),
-        F.count_if(v < F.col("_lo")).alias("_below"), F.count_if(v > F.col("_hi")).alias("_above"))
-    middle = (F.col("_n") - 1) * 0.5
-    lost = (F.col("_below") > F.floor(middle)) | (F.col("_n") - F.col("_above") < F.ceil(middle) + 1)
-    return found.select(*by, F.when((F.col("_n") > 0) & lost, F.raise_error(F.lit("a bracket lost its median")))
-                        .otherwise(col(name)).alias(name))
-
-
-def _with_brackets(df, keys, brackets, groups, cfg):
-    on = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    side = broadcast_if_small(brackets, groups, cfg)
-    return df.join(side, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
-
-
-def _narrow_groups(joined, keys, value, limit, cfg):
-    v = col(value).cast("double")
-    inside_sql = f"CASE WHEN {ident(value)} >= _lo AND {ident(value)} <= _hi THEN CAST({ident(value)} AS DOUBLE) END"
-    inside = F.expr(inside_sql)
-    s = joined.groupBy(*[col(k) for k in keys]).agg(
-        F.first("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-        F.count_if(v < F.col("_lo")).alias("_below"),
-        F.count(inside).alias("_m"),
-        F.expr(approx_distinct(inside_sql)).alias("_d"),
-        F.percentile_approx(inside, GRID, max(GRID_ACCURACY, cfg.quantile_accuracy)).alias("_grid"),
-    )
-    rank = F.try_divide(F.floor((F.col("_n") - 1) * 0.5) - F.col("_below"), F.col("_m"))
-    at = F.floor(rank * (len(GRID) - 1)).cast("int")
-    busy = F.col("_d") * 1.1 > limit
-    return s.select(
-        *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n",
-        F.when(busy, F.coalesce(F.get("_grid", at - 1), "_lo")).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(busy, F.coalesce(F.get("_grid", at + 2), "_hi")).otherwise(F.col("_hi")).alias("_hi"),
-        F.when(busy, F.col("_m") * (4.0 / (len(GRID) - 1))).otherwise(F.lit(0.0)).alias("_left"),
-    )
+    """Exact median of one column per group, null for groups without values; a group may hold any share of the rows."""
+    groups = df.select(*[col(k) for k in keys]).distinct()
+    values = df.select(*[col(k).alias(f"g{i}") for i, k in enumerate(keys)], col(value).cast("double").alias("v"))
+    found = selected(values, [f"g{i}" for i in range(len(keys))], [0.5], cfg)
+    on = [col(k).eqNullSafe(F.col(f"g{i}")) for i, k in enumerate(keys)]
+    return groups.join(found, on, "left").select(*[col(k) for k in keys], F.col("q")[0].alias(name))

@@ -59,10 +59,11 @@ class LensConfig:
 
     # execution
     columns_per_pass: int = 50       # columns in one wide aggregate (generated-code size)
-    pairs_per_pass: int = 300        # column pairs in one wide aggregate
+    gram_columns: int = 300          # columns of one block of a Gram matrix
+    gram_bytes: int = 64 << 20       # bytes of the Gram matrices that one task adds up
     distinct_rsd: float = 0.008      # relative error of the distinct sketch
     quantile_accuracy: int = 10_000  # percentile sketch size
-    exact_values_in_memory: int = 100_000  # distinct values one exact percentile may hold per task
+    frequent_counters: int = 1024    # values that a task counts per column for the most frequent ones
     broadcast_rows: int = 200_000    # a keyed side is broadcast only when counted below this
     exact_row_groups: bool = False   # True: compare whole rows instead of 128-bit row fingerprints
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT, LensConfig
 from tablelens.functions import text as tx
-from tablelens.functions.stats import correlation_p_value, from_sums, number, t_statistic
+from tablelens.functions.stats import correlation_p_value, finite, from_sums, t_statistic
 from tablelens.operators.column_stats import kind_of
-from tablelens.operators.profiling import value_counts
 from tablelens.operators.quantiles import exact_quantiles, grouped_median
+from tablelens.operators.summaries import most_frequent
 
 
 # ---------------------------------------------------------------- overview
@@ -85,14 +88,10 @@ def has_outliers(cfg: LensConfig = DEFAULT) -> Column:
 # ---------------------------------------------------------------- categories
 
 def top_values(df: DataFrame, columns: list[str], cfg: LensConfig = DEFAULT) -> DataFrame:
-    """The most frequent values of several columns in one job: column, rank, value, n.
-
-    Counts are combined before the shuffle, and the rank filter is pushed below the ranking shuffle, so a
-    near-unique column sends at most top_n rows per task to its ranking.
-    """
-    ranked = value_counts(df, columns).selectExpr(
-        "*", "row_number() OVER (PARTITION BY column ORDER BY n DESC, value) AS rank")
-    return ranked.where(F.col("rank") <= cfg.top_n).select("column", F.col("rank").cast("bigint").alias("rank"), "value", "n")
+    """The most frequent values of several columns: column, rank, value, n; never shuffles all values of a column."""
+    found = most_frequent(df, [tx.col(c) for c in columns], cfg)
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (i, c)])
+    return found.select(names[F.col("ord")].alias("column"), "rank", "value", "n")
 
 
 def by_category(df: DataFrame, value: str, category: str, median: bool = False, cfg: LensConfig = DEFAULT) -> DataFrame:
@@ -156,47 +155,71 @@ def average_over_time(df: DataFrame, column: str, value: str, unit: str | None =
 PAIR_SCHEMA = "ord int, x string, y string, n bigint, r double"
 
 
-def correlations(df: DataFrame, pairs: list[tuple[str, str]], nullable: set[str] | None = None,
-                 cfg: LensConfig = DEFAULT) -> DataFrame:
+def correlations(df: DataFrame, pairs: list[tuple[str, str]], cfg: LensConfig = DEFAULT) -> DataFrame:
     """r of column pairs over the rows where both are present: ord, x, y, n, r; null without spread.
 
-    Two scans for all pairs (more in blocks of pairs_per_pass when there are very many): column means first,
-    then plain sums of products of deviations, which combine before the shuffle and stay accurate. Columns known
-    to have no nulls share their own sums across pairs.
+    Two scans for all pairs: column means first, then masked Gram matrices of the deviations. A task adds up the matrices of its Arrow blocks,
+    and its sums meet those of other tasks by column pair. Very many columns take more scans, each for as many pairs of column blocks
+    as fit gram_bytes.
     """
     place = {c: i for i, c in enumerate(dict.fromkeys(c for p in pairs for c in p))}
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    values = df.selectExpr(*[f"CAST({tx.ident(c)} AS DOUBLE) AS v{i}" for c, i in place.items()])
+    values = df.selectExpr(*[f"CAST({finite(tx.ident(c), df.schema[c].dataType)} AS DOUBLE) AS v{i}" for c, i in place.items()])
     centre = values.agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in place.values()]).first()
-    moved = values.selectExpr(*[f"v{i} - {number(centre[f'v{i}'] or 0.0)} AS v{i}" for i in place.values()])
-    found = []
-    for start in range(0, len(pairs), cfg.pairs_per_pass):
-        block = pairs[start:start + cfg.pairs_per_pass]
-        wanted = [_pair_sums(f"v{place[x]}", f"v{place[y]}", nullable is None or x in nullable,
-                             nullable is None or y in nullable) for x, y in block]
-        sums = {e: f"s{k}" for k, e in enumerate(dict.fromkeys(e for w in wanted for e in w))}
-        row = moved.agg(*[F.expr(f"{e} AS {name}") for e, name in sums.items()]).first()
-        for k, ((x, y), w) in enumerate(zip(block, wanted)):
-            n, sx, sy, sxx, syy, sxy = (row[sums[e]] for e in w)
-            mx, my = (centre[f"v{place[c]}"] for c in (x, y))
-            found.append((start + k, x, y, n, mx, my, *((None,) * 5 if not n else (sx, sy, sxx, syy, sxy))))
-    rows = df.sparkSession.createDataFrame(
-        found, "ord int, x string, y string, n bigint, mx double, my double, sx double, sy double, sxx double, syy double, sxy double")
-    return rows.select("ord", "x", "y", "n", from_sums().alias("r"))
-
-
-def _pair_sums(x: str, y: str, x_nullable: bool, y_nullable: bool) -> list[str]:
-    """n, sum x, sum y, sum xx, sum yy, sum xy over the rows where both are present."""
-    a = f"CASE WHEN {y} IS NOT NULL THEN {x} END" if y_nullable else x
-    b = f"CASE WHEN {x} IS NOT NULL THEN {y} END" if x_nullable else y
-    n = f"count({a})" if x_nullable or y_nullable else "count(1)"
-    return [n, f"sum({a})", f"sum({b})", f"sum({a} * {a})", f"sum({b} * {b})", f"sum({x} * {y})"]
-
-
-def strong_pairs(df: DataFrame, columns: list[str], nullable: set[str] | None = None, cfg: LensConfig = DEFAULT) -> DataFrame:
+    means = np.array([centre[f"v{i}"] or 0.0 for i in place.values()])
+    sums = None
+    for tiles in _tiles(len(place), {(min(place[x], place[y]), max(place[x], place[y])) for x, y in pairs}, cfg):
+        part = gram_sums(values, means, tiles)
+        sums = part if sums is None else sums.unionByName(part)
+    wanted = [(k, x, y, *sorted((place[x], place[y])), float(means[place[x]]), float(means[place[y]]), place[x] > place[y])
+              for k, (x, y) in enumerate(pairs)]
+    named = df.sparkSession.createDataFrame(wanted, "ord int, x string, y string, i int, j int, mx double, my double, turned boolean")
+    found = named.join(sums, ["i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    ends = [F.when(F.col("turned"), F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("sx", "sy"), ("sy", "sx"), ("sxx", "syy"), ("syy", "sxx"))]
+    return found.select("ord", "x", "y", "n", "mx", "my", *ends, "sxy").select("ord", "x", "y", "n", from_sums().alias("r"))
+
+
+def _tiles(columns: int, wanted: set[tuple[int, int]], cfg: LensConfig) -> list[list[tuple[range, range]]]:
+    """Pairs of column blocks that hold wanted pairs, in lists whose matrices fit a task together."""
+    size = cfg.gram_columns
+    blocks = [range(low, min(low + size, columns)) for low in range(0, columns, size)]
+    tiles = [(blocks[a], blocks[b]) for a, b in sorted({(i // size, j // size) for i, j in wanted})]
+    many = max(1, cfg.gram_bytes // (6 * 8 * size * size))
+    return [tiles[low:low + many] for low in range(0, len(tiles), many)]
+
+
+def gram_sums(values: DataFrame, means: np.ndarray, tiles: list[tuple[range, range]]) -> DataFrame:
+    """i, j, n, sx, sy, sxx, syy, sxy of the deviations of columns i <= j over the rows that have both, for the given column blocks."""
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((6, len(a), len(b))) for a, b in tiles]
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float) - means
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            mask = there.astype(float)
+            square = x * x
+            for total, (a, b) in zip(totals, tiles):
+                a, b = slice(a.start, a.stop), slice(b.start, b.stop)
+                total += np.stack([mask[:, a].T @ mask[:, b], x[:, a].T @ mask[:, b], mask[:, a].T @ x[:, b],
+                                   square[:, a].T @ mask[:, b], mask[:, a].T @ square[:, b], x[:, a].T @ x[:, b]])
+        for total, (a, b) in zip(totals, tiles):
+            i, j = (m.reshape(-1) for m in np.meshgrid(np.arange(a.start, a.stop), np.arange(b.start, b.stop), indexing="ij"))
+            flat = total.reshape(6, -1)
+            seen = (i <= j) & (flat[0] > 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i[seen], pa.int32()), pa.array(j[seen], pa.int32()), pa.array(np.rint(flat[0][seen]).astype(np.int64)),
+                 *[pa.array(f[seen]) for f in flat[1:]]], ["i", "j", *names])
+
+    rows = values.mapInArrow(add, "i int, j int, n bigint, " + ", ".join(f"{c} double" for c in names[1:]))
+    return rows.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def strong_pairs(df: DataFrame, columns: list[str], cfg: LensConfig = DEFAULT) -> DataFrame:
     """Pairs with enough rows and |r| at or above the threshold, the strongest first."""
-    pairs = correlations(df, list(combinations(columns, 2)), nullable, cfg)
+    pairs = correlations(df, list(combinations(columns, 2)), cfg)
     return pairs.where((F.col("n") >= cfg.pair_min_rows) & (F.abs("r") >= cfg.pair_r)).orderBy(F.desc(F.abs("r")), "ord")
 
 
@@ -214,7 +237,7 @@ def heatmap(df: DataFrame, columns: list[str], listwise: bool = True, mask: bool
     """
     rows = df.dropna(subset=[tx.ident(c) for c in columns]) if listwise else df
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    half = correlations(rows, pairs, set() if listwise else None, cfg)
+    half = correlations(rows, pairs, cfg)
     full = half.unionByName(half.where("x <> y").select(
         "ord", F.col("y").alias("x"), F.col("x").alias("y"), "n", "r"))
     shown = F.when((F.abs("r") >= cfg.heatmap_r) | F.lit(not mask), F.col("r"))

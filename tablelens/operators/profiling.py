@@ -14,6 +14,7 @@ from tablelens.functions import text as tx
 from tablelens.functions.stats import finite
 from tablelens.operators.cleaning import row_groups
 from tablelens.operators.column_stats import NUMERIC_KINDS, pinned_stats
+from tablelens.operators.summaries import smallest_hashes
 from tablelens.sources.tables import pin_small, without_nan
 
 
@@ -119,40 +120,21 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def sample_values(df: DataFrame, stats: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
-    """Up to five distinct values per column, those with the lowest hash: column, values.
-
-    Columns with many values first keep only the hash range that holds a few hundred of them, so that the
-    shuffle stays small; if such a range proves too thin, that column is read again without it.
-    """
-    distinct = {r["column"]: max(1, r["n_distinct"]) for r in stats.select("column", "n_distinct").collect()}
-    found = pin_small(_lowest_hashes(df, {c: min(1.0, 300.0 / n) for c, n in distinct.items()}, cfg))
-    got = {r["column"]: len(r["values"]) for r in found.collect()}
-    thin = [c for c, n in distinct.items() if n > 300 and got.get(c, 0) < cfg.sample_size]
-    if thin:
-        again = pin_small(_lowest_hashes(df, {c: 1.0 for c in thin}, cfg))
-        found = found.where(~F.col("column").isin(*thin)).unionByName(again)
-    return found
-
-
-def _lowest_hashes(df: DataFrame, share: dict[str, float], cfg: LensConfig) -> DataFrame:
+    """Up to five distinct values per column, those with the lowest hash: column, values. One scan, in which tasks keep no more than these."""
+    names = [r["column"] for r in stats.select("column", "ord").orderBy("ord").collect()]
     types = {f.name: f.dataType for f in df.schema}
-    pairs = []
-    for c, keep in share.items():
+    shown = []
+    for c in names:
         v = tx.sql(finite(tx.ident(c), types[c]))
         if isinstance(types[c], (T.DoubleType, T.FloatType)):
             v = F.round(v, 4)
         if not isinstance(types[c], T.AtomicType):
-            v = F.to_json(F.struct(v.alias("v")))
-        top = int(-(2**63) + keep * (2**64 - 1))
-        pairs.append(F.struct(F.lit(c).alias("column"), v.cast("string").alias("value"),
-                              F.lit(min(top, 2**63 - 1)).cast("bigint").alias("top")))
-    rows = df.select(F.inline(F.array(*pairs))).where("value IS NOT NULL")
-    hashed = rows.withColumn("h", F.xxhash64("value")).where("h <= top")
-    lowest = hashed.groupBy("column", "h", "value").agg(F.count(F.lit(1)).alias("n"))
-    # the rank filter is applied before the shuffle as well, so no task receives a whole column
-    ranked = lowest.selectExpr("*", "row_number() OVER (PARTITION BY column ORDER BY h, value) AS place")
-    return ranked.where(F.col("place") <= cfg.sample_size).groupBy("column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("values"))
+            v = F.when(v.isNotNull(), F.to_json(F.struct(v.alias("v"))))
+        shown.append(v)
+    found = smallest_hashes(df, shown, cfg.sample_size)
+    named = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (i, c)])
+    return pin_small(found.groupBy(named[F.col("ord")].alias("column")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("values")))
 
 
 # ---------------------------------------------------------------- whole tables

@@ -133,10 +133,10 @@ def _pool_sections(lists: DataFrame, cfg: LensConfig) -> list[DataFrame]:
 
 def _pair_sections(df: DataFrame, roles: DataFrame, pool: bool, cfg: LensConfig) -> list[DataFrame]:
     rows = roles.where("role = 'numeric'").orderBy("ord").collect()
-    numerics, nullable = [r["column"] for r in rows], {r["column"] for r in rows if r["nulls"]}
+    numerics = [r["column"] for r in rows]
     if len(numerics) < 2:
         return []
-    strong = pin_small(cd.strong_pairs(df, numerics, nullable, cfg).select("ord", "x", "y", F.abs("r").alias("strength")))
+    strong = pin_small(cd.strong_pairs(df, numerics, cfg).select("ord", "x", "y", F.abs("r").alias("strength")))
     ranked = strong.selectExpr("*", "row_number() OVER (ORDER BY strength DESC, ord) AS place")
     title = _text("Scatter: ", F.col("x"), " vs ", F.col("y"))
     out = [_section(ranked.where("place = 1"), 7, "R05", title, F.col("x"), F.col("y"))]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import tempfile
+import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from tablelens.config import DEFAULT, LensConfig
 from tablelens.functions.stats import finite
 from tablelens.functions.text import ident
+from tablelens.sources.csv_records import OpenQuotes, record_lines
 
 RAW_VIEW = "raw_data"
 CLEAN_VIEW = "cleaned_data"
@@ -23,25 +26,26 @@ class TableLoadError(Exception):
     """The input could not be read as a table."""
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, schema: T.StructType | None = None,
-             multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header row; quotes within quoted fields are doubled. Types are inferred unless a schema is given (which
     saves one scan). Without a delimiter, the one that occurs most in the header is taken.
 
-    A line break within quotes needs ``multi_line``, which reads each file in one task; without it such a file is refused, as
-    its records would come apart. Repeated header names come back as name, name.1, name.2, so that screening can recognise them.
+    Line breaks within quotes are kept; such files are split like any others: their records are found in parallel and written once, as
+    lines, to the shared folder. A file that ends within quotes is refused. Repeated header names come back as name, name.1, name.2, so
+    that screening can recognise them.
     """
     try:
-        lines = spark.read.text(path)
-        sep = delimiter or _sniffed(lines)
-        if not multi_line and not lines.where(_quotes("value") % 2 == 1).isEmpty():
-            raise TableLoadError(f"Could not load CSV: a record of {path} ends inside quotes; set multi_line")
-        reader = (spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-                  .option("timestampType", "TIMESTAMP_NTZ"))
-        header = _header_names(reader, path)
-        reader = reader.option("header", True)
-        with_types = reader.schema(schema) if schema else reader.option("inferSchema", True)
-        df = with_types.csv(path)
+        sep = delimiter or _sniffed(spark.read.text(path))
+        reader = (spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("timestampType", "TIMESTAMP_NTZ"))
+        broken = record_lines(spark, path, sep) if len(sep) == 1 else None
+        if broken:
+            df, header = _from_records(spark, reader, *broken, sep, schema)
+        else:
+            header = _header_names(reader, path)
+            reader = reader.option("header", True)
+            df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    except OpenQuotes as e:
+        raise TableLoadError(f"Could not load CSV: {e} ends inside quotes") from e
     except (PySparkException, OSError) as e:
         raise TableLoadError(f"Could not load CSV: {e}") from e
     if not df.columns:
@@ -51,8 +55,19 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, schem
     return df
 
 
-def _quotes(c: str):
-    return F.length(c) - F.length(F.replace(F.col(c), F.lit('"'), F.lit("")))
+def _from_records(spark, reader, rows: DataFrame, mark: str, sep: str, schema) -> tuple[DataFrame, list[str]]:
+    """The table of records that are lines with ``mark`` for their line breaks, and its header."""
+    first = rows.where("first").select("line").first()
+    header = next(csv.reader([first["line"].replace(mark, "\n")], delimiter=sep)) if first else []
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows.where("NOT first").select("line").write.text(folder)
+    if schema is None and rows.where("NOT first").isEmpty():
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(folder)
+    if schema is None and len(header) == len(df.columns):
+        df = df.toDF(*number_repeats(header))
+    return df.select(*[F.translate(F.col(ident(f.name)), mark, "\n").alias(f.name) if isinstance(f.dataType, T.StringType)
+                       else F.col(ident(f.name)) for f in df.schema]), header
 
 
 def _sniffed(lines: DataFrame) -> str:

@@ -1,5 +1,8 @@
 """SQL that specs may not run, nulls inside nested values, and CSV dialects."""
 
+import csv
+import random
+
 import pytest
 
 from tablelens.operators.cleaning import clean, row_groups
@@ -74,12 +77,44 @@ def test_delimiter_and_doubled_quotes(spark, tmp_path, sep):
     assert [r[0] for r in df.collect()] == ['O\'Dwyer, "Nellie"', f"x{sep}y"]
 
 
-def test_line_breaks_in_quotes_are_read_or_refused(spark, tmp_path):
+def test_line_breaks_in_quotes(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_text('name,n\n"one\ntwo",1\nthree,2\n')
-    with pytest.raises(TableLoadError, match="multi_line"):
+    path.write_text('name,"n\nm"\r\n"one\ntwo",1\r\nthree,2\n"say ""\n\n"", x",3\n5" pipe,4\n')
+    df = read_csv(spark, str(path))
+    assert df.columns == ["name", "n\nm"]
+    assert sorted(tuple(r) for r in df.collect()) == [('5" pipe', 4), ("one\ntwo", 1), ('say "\n\n", x', 3), ("three", 2)]
+    path.write_text('name,n\n"one\ntwo,1\nthree,2\n')
+    with pytest.raises(TableLoadError, match="inside quotes"):
         read_csv(spark, str(path))
-    assert [tuple(r) for r in read_csv(spark, str(path), multi_line=True).collect()] == [("one\ntwo", 1), ("three", 2)]
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 27])
+def test_records_across_splits_match_the_serial_reader(spark, tmp_path, split):
+    """Fields with breaks, separators and quotes, some longer than a split, over several files."""
+    rng = random.Random(split)
+    folder, n = tmp_path / "t", 0
+    folder.mkdir()
+    for k in range(3):
+        with open(folder / f"{k}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(["id", "note", "x"])
+            for _ in range(60):
+                note = "".join(rng.choice(["a", "b c", '"', ",", "\n", '""', "é"]) for _ in range(rng.choice([0, 1, 3, 9, 200])))
+                out.writerow([n, note or "-", rng.randrange(9)])
+                n += 1
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+              if spark.conf.get(c, None)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        got = sorted(tuple(r) for r in read_csv(spark, str(folder)).collect())
+        serial = spark.read.option("multiLine", True).option("header", True).option("escape", '"').option("inferSchema", True).csv(str(folder))
+        want = sorted(tuple(r) for r in serial.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == want and len(got) == 180
 
 
 def test_amount_example_is_an_amount(spark):

@@ -161,7 +161,7 @@ def csv_dialects(spark, sf_dir):
     path = f"{src.shared_folder(spark)}/csv-dialects-{uuid.uuid4().hex}"
     (table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit('; "'), "c_mktsegment", F.lit('", |\nx')).alias("note"), "c_acctbal")
      .write.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').csv(path))
-    return src.read_csv(spark, path, multi_line=True)
+    return src.read_csv(spark, path)
 
 
 @query("text_sample")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.spans import before, joined, located, matches_sql, proposed
+from tablelens.llm.spans import joined, located, matches_sql, proposed
 from tablelens.llm.spread import read
 
 #: Characters before a span in which context words count, and what they add to its score.
@@ -90,11 +90,11 @@ _MARK = {"email": "@", "phone": "+"}
 LEAST = 0.5
 
 
-def _spans(text: Column, kind: Kind, order: int) -> Column:
-    found = F.filter(located(kind.name, kind.regex), lambda s: kind.confirm(s["match"]))
+def _spans(kind: Kind, order: int) -> Column:
+    found = located(kind.name, kind.regex, confirm=lambda m: kind.confirm(m["match"]), nearby=NEARBY)
 
     def scored(s: Column) -> Column:
-        near = F.lower(before(text, s["start"], NEARBY)).rlike(kind.words)
+        near = F.lower(s["before"]).rlike(kind.words)
         return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), s["end"].alias("end"),
                         F.round(F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, BONUS).otherwise(0.0)), 2).alias("score"))
 
@@ -112,7 +112,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = {k: F.col("text").contains(m) for k, m in _MARK.items()}
     rows = proposed(rows, {k.name: (k.regex, 0, marked.get(k.name)) for k in KINDS})
-    kinds = rows.select("doc_id", *[_spans(F.col("text"), k, i).alias(k.name) for i, k in enumerate(KINDS)])
+    kinds = rows.select("doc_id", *[_spans(k, i).alias(k.name) for i, k in enumerate(KINDS)])
     base = [k.name for k in KINDS if k.base]
     ordered = kinds.select(
         "doc_id", *[F.size(n).cast("long").alias(f"n_{n}") for n in base],

@@ -104,9 +104,7 @@ def trigram_query(regex: str) -> Query:
 
 
 def _spans(rule: Rule, order: int) -> Column:
-    found = located(rule.name, rule.regex, rule.group)
-    if rule.least:
-        found = F.filter(found, lambda s: F.length(s["part"]) >= rule.least)
+    found = located(rule.name, rule.regex, rule.group, (lambda m: F.length(m["part"]) >= rule.least) if rule.least else None)
     return F.transform(found, lambda s: F.struct(
         s["start"].alias("start"), F.lit(order).alias("ord"), F.lit(rule.name).alias("kind"), s["end"].alias("end")))
 
@@ -118,8 +116,8 @@ def _key(id_: Column, text: Column) -> Column:
 
 def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """trigram, key: the texts that have each of these trigrams, whatever the case."""
-    low = F.lower(F.col("text"))
-    has = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in trigrams]))
+    # the array of one binds the text in lower case, which would be made anew for each trigram
+    has = F.transform(F.array(F.lower("text")), lambda low: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t)))[0]
     return texts.select("key", F.explode(has).alias("trigram"))
 
 

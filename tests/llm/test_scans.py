@@ -1,5 +1,6 @@
 import re
 import textwrap
+import time
 
 from tablelens.llm import licences, pii, secrets
 from llm_rows import ROWS
@@ -112,3 +113,22 @@ def test_whole_licence_files(spark):
 
 def test_every_known_licence_passes_the_first_test():
     assert all(re.search(licences._MENTION, t.lower()) for _, _, t in licences.KNOWN)
+
+
+def test_many_matches_in_one_text(spark):
+    """A text of 200,000 numbers, of which few are confirmed, and one with 20,000 confirmed spans: work grows with the matches."""
+    numbers = "12, " * 100_000 + "4111 1111 1111 1111, " + "34 x " * 100_000
+    mails = "write a@b.c now " * 20_000
+    start = time.time()
+    rows = spark.createDataFrame([(1, numbers), (2, mails), (3, "0123456789abcdef0 " * 20_000)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find(rows).collect()}
+    assert (out[1].n_card, out[1].spans, out[1].scores) == (1, "card:400000:400019", "0.7") and out[2].n_email == 20_000
+    assert out[2].spans.endswith(f"email:{16 * 19_999 + 6}:{16 * 19_999 + 11}") and set(out[2].scores.split(",")) == {"1.0"}
+    assert {r.doc_id: r.n_hex for r in secrets.find(rows).collect()} == {1: 0, 2: 0, 3: 20_000}
+    assert time.time() - start < 60
+
+
+def test_words_nearby_are_found_across_matches(spark):
+    texts = ["card 1 2 3 " + "4 " * 5 + "x 4111111111111111", "card " + "1 x " * 70 + "4111111111111111", "Visa: " + "1 x " * 8 + "4111111111111111"]
+    out = [r.scores for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out == ["1.0", "0.7", "1.0"]

@@ -5,10 +5,10 @@ for all documents. Shingles are ordered by a sketch of how frequent they are, ra
 share stay out of these prefixes. Documents with such a shingle in common and sizes in the same or the next band form a tile.
 
 Links. Each document is first compared with the heads of its tiles, the documents that share most of their prefix with others; that settles
-almost every tile. Shingles whose documents are still in different groups are then dealt to tasks of a counted size. A task holds the sets
-of its documents once, bounds the overlap of a pair from above by the bits that two hashed bitmaps differ in, over whole blocks of pairs,
-and intersects the sorted arrays of those that remain. It knows the groups so far and joins them as it goes, so that pairs within a group
-are not compared; only links that join two groups leave it.
+almost every tile. Shingles whose documents are still in different groups are then dealt to tasks of a counted size. The bits that two hashed bitmaps
+differ in bound the overlap of a pair from above; over whole blocks of pairs, this leaves the documents that may have a partner. Tasks that
+hold the sets of these once intersect the sorted arrays of such pairs. They know the groups so far and join them as they go, so that pairs
+within a group are not compared; only links that join two groups leave a task.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def cards(docs: DataFrame, like: Likeness) -> tuple[DataFrame, np.ndarray]:
-    """A row per document: node (a number of its own), doc_id, n, digest, and the prefix (null for a copy seen in the same task).
+    """A row per document: node (a number of its own), doc_id, n, digest, and prefix and bitmap (null for a copy seen in the same task).
 
     Also the sketch of how frequent shingles are.
     """
@@ -153,18 +153,20 @@ def cards(docs: DataFrame, like: Likeness) -> tuple[DataFrame, np.ndarray]:
                 n = np.diff(bounds)
                 text = np.repeat(np.arange(len(n)), n)
                 h = h[np.lexsort((h, counts.value[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)], text))]
-                prefixes = []
+                prefixes, maps = [], []
                 for i, key in enumerate(zip(d1.tolist(), d2.tolist())):
                     known = n[i] == 0 or key in seen
                     prefixes.append(None if known else h[bounds[i]:bounds[i] + like.prefix(n[i])].tobytes())
+                    maps.append(None if known else bitmap(h[bounds[i]:bounds[i + 1]], _width(int(n[i]))).tobytes())
                     seen.add(key)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(node, node + len(n))), part.column(0), part.column(2), part.column(3), pa.array(n), pa.array(d1),
-                     pa.array(d2), pa.array(prefixes, pa.binary())], ["node", "doc_id", "m1", "m2", "n", "d1", "d2", "prefix"])
+                     pa.array(d2), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())],
+                    ["node", "doc_id", "m1", "m2", "n", "d1", "d2", "prefix", "bits"])
                 node += len(n)
 
     return docs.mapInArrow(
-        describe, f"node long, doc_id {id_type}, m1 long, m2 long, n long, d1 long, d2 long, prefix binary"), sketched
+        describe, f"node long, doc_id {id_type}, m1 long, m2 long, n long, d1 long, d2 long, prefix binary, bits binary"), sketched
 
 
 def postings(cards_: DataFrame, sketched: np.ndarray, limit: int) -> DataFrame:
@@ -216,8 +218,8 @@ def first_pairs(shared: DataFrame, rows: int, like: Likeness) -> DataFrame:
     """
     prefix = F.col("n") - F.ceil(like.percent * F.col("n") / 100) + 1
     own = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("uses")).select("node", (1 - F.col("uses") / prefix).alias("own"))
-    tiled = written(shared.select("h", "node", "n", "c", _band(like).alias("band")).join(own, "node"))
-    heads = tiled.groupBy("h", "band").agg(F.min(F.struct("own", "node", "n")).alias("head"), F.count(F.lit(1)).alias("uses"))
+    tiled = shared.select("h", "node", "n", _band(like).alias("band"))
+    heads = tiled.join(own, "node").groupBy("h", "band").agg(F.min(F.struct("own", "node", "n")).alias("head"), F.count(F.lit(1)).alias("uses"))
     heads = written(heads)
     bands = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
     near = heads.select("h", F.explode(bands).alias("band"), "head").groupBy("h", "band").agg(F.collect_list("head").alias("heads"))
@@ -234,13 +236,12 @@ def first_pairs(shared: DataFrame, rows: int, like: Likeness) -> DataFrame:
 
 
 def _width(n: int) -> int:
-    return 1 << max(6, int(4 * n - 1).bit_length())
+    return 1 << max(6, int(4 * n - 1).bit_length() - 1)
 
 
 def bitmap(h: np.ndarray, width: int) -> np.ndarray:
-    bits = np.zeros(width, bool)
-    bits[(h & U64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.uint64)
+    """Of each bit, whether an odd number of the shingles have its hash; so sets differ in no fewer shingles than their bitmaps in bits."""
+    return np.packbits(np.bincount((h & U64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").view(U64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -319,27 +320,31 @@ def compare(pairs: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness
 
 
 class Tile:
-    """The documents of a task: their sets, groups so far, and the links that joined some of these."""
+    """The documents of a task, with their bitmaps and groups so far.
 
-    def __init__(self, nodes: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, like: Likeness):
-        self.nodes, self.sets, self.like, self.links, self.unlike = nodes, sets, like, [], set()
+    With their sets, it links documents that are alike and joins their groups as it goes; without, it marks those that may have a partner.
+    """
+
+    def __init__(self, nodes: np.ndarray, n: np.ndarray, bits: list[np.ndarray], roots: np.ndarray, like: Likeness, sets: list[np.ndarray] | None):
+        self.nodes, self.n, self.own, self.sets, self.like, self.links, self.unlike = nodes, n, bits, sets, like, [], set()
         _, self.group = np.unique(roots, return_inverse=True)
-        self.n = np.array([len(s) for s in sets], np.int64)
-        self.width = np.array([_width(int(n)) for n in self.n], np.int64)
+        self.maybe = np.zeros(len(n), bool)
+        self.width = np.array([64 * len(b) for b in bits], np.int64)
         self.bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def bits_at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Bitmaps of this width, of the documents that may be compared at it, and each document's row among them."""
         if width not in self.bits:
-            mine = np.flatnonzero((self.width >= width) & (self.width <= 2 * width))
+            mine = np.flatnonzero((self.width == width) | (self.width == 2 * width))
             row = np.full(len(self.n), -1, np.int64)
             row[mine] = np.arange(len(mine))
-            self.bits[width] = np.stack([bitmap(self.sets[i], width) for i in mine]), row
+            words = width // 64  # a bitmap of twice the width is folded
+            self.bits[width] = np.stack([b if len(b) == words else b[:words] ^ b[words:] for b in map(self.own.__getitem__, mine.tolist())]), row
         return self.bits[width]
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Compare pairs of documents of different groups, and join the groups of those that are alike."""
-        apart = (self.group[i] != self.group[j]) & self.like.fits(self.n[i], self.n[j])
+        """Compare pairs of documents of different groups."""
+        apart = (self.group[i] != self.group[j]) & self.like.fits(self.n[i], self.n[j]) & ~(self.maybe[i] & self.maybe[j])
         i, j = i[apart], j[apart]
         if not len(i):
             return
@@ -354,10 +359,13 @@ class Tile:
             for low in range(0, len(at), step):
                 part = at[low:low + step]
                 part = part[self.group[i[part]] != self.group[j[part]]]
-                apart = np.bitwise_count(bits[row[i[part]]] ^ bits[row[j[part]]]).sum(1, dtype=np.int64)
-                part = part[apart <= most[part]]
-                for a, b in zip(i[part].tolist(), j[part].tolist()):
-                    self.link(a, b)
+                differ = np.bitwise_count(bits[row[i[part]]] ^ bits[row[j[part]]]).sum(1, dtype=np.int64)
+                part = part[differ <= most[part]]
+                if self.sets is None:
+                    self.maybe[i[part]] = self.maybe[j[part]] = True
+                else:
+                    for a, b in zip(i[part].tolist(), j[part].tolist()):
+                        self.link(a, b)
 
     def link(self, a: int, b: int) -> None:
         x, y = self.group[a], self.group[b]
@@ -395,59 +403,85 @@ class Tile:
         return members[i[ok]], members[j[ok]]
 
 
-def remaining_links(shared: DataFrame, rows: int, labels: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
-    """Links a, b that join all documents in different groups so far which are alike, directly or through others.
+def _dealt(mixed: DataFrame, bytes_: float) -> DataFrame:
+    """The rows of mixed (h, node, n, left, root, lead) with the task group (slot) and the pair of blocks (i, j) that they go to.
 
-    Shingles whose documents are all in one group are done. The others are kept with those of the same smallest group, as versions of a
-    text share many, so that few tasks need a set. Where the sets of such a lead have too many bytes or rows for a task, its documents are
-    cut into blocks, and each pair of blocks is a task. So a task holds about TILE_BYTES, and the sum over tasks of their rows is the only
-    bound on the links that leave them.
+    Shingles of the same lead stay together, as versions of a text share many, so that few tasks need a document, of which ``bytes_`` are
+    held for each shingle. Where the documents of a lead are too much for a task, they are cut into blocks, and each pair of blocks is
+    a task; so a task group holds about TILE_BYTES.
     """
-    known = written(shared.select("h", "node", "n", "left").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    runs = known.groupBy("h").agg(F.min("root").alias("lead"), F.max("root").alias("top"), F.count(F.lit(1)).alias("uses")).where("lead <> top")
-    mixed = written(attach(known, written(runs.drop("top")), "h", "uses", rows).where("lead IS NOT NULL"))
     count = mixed.count()
-    if not count:
-        return labels.sparkSession.createDataFrame([], "a long, b long")
     held = mixed.groupBy("lead", "node", "n").agg(F.count(F.lit(1)).alias("posts"))
-    leads = held.groupBy("lead").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("nodes"), F.sum("posts").alias("uses"))
+    leads = held.groupBy("lead").agg((F.sum("n") * bytes_).alias("bytes"), F.count(F.lit(1)).alias("nodes"), F.sum("posts").alias("uses"))
     blocks = F.greatest(F.ceil(2 * F.col("bytes") / TILE_BYTES), F.ceil(F.col("nodes") / BLOCK_ROWS), F.lit(1)).cast("long")
     leads = written(leads.select("lead", blocks.alias("blocks"), "bytes", "uses"))
     load = leads.agg(F.sum(F.col("bytes") * F.col("blocks")).alias("bytes"), F.sum(F.col("uses") * F.col("blocks")).alias("rows")).first()
-    slots = max(1, math.ceil(load["bytes"] / TILE_BYTES), math.ceil(load["rows"] * 64 / TILE_BYTES))
-    cut = attach(mixed.drop("uses"), leads.drop("bytes"), "lead", "uses", count).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = written(dealt.withColumn("slot", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(slots)))
-                    .select("slot", "h", "i", "j", "block", "node", "left", "root"))
+    slots = max(1, math.ceil((load["bytes"] or 0) / TILE_BYTES), math.ceil((load["rows"] or 0) * 64 / TILE_BYTES))
+    cut = attach(mixed, leads.drop("bytes"), "lead", "uses", count).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return written(each.select(F.pmod(F.xxhash64("lead", "i", "j"), F.lit(slots)).alias("slot"), "h", "i", "j", "block", "node", "n", "left", "root"))
+
+
+def _compared(posts: pa.Table, nodes: np.ndarray, bits: list[np.ndarray], sets: list[np.ndarray] | None, like: Likeness) -> Tile:
+    """A task's documents after all pairs that share a shingle have been looked at."""
+    h, i, j, block, node, n, left, root = (posts.column(c).to_numpy().astype(np.int64)
+                                           for c in ("h", "i", "j", "block", "node", "n", "left", "root"))
+    member = np.searchsorted(nodes, node)
+    roots, sizes = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+    roots[member], sizes[member] = root, n
+    tile = Tile(nodes, sizes, bits, roots, like, sets)
+    rank = np.lexsort((n, j, i, h))
+    h, i, j, block, member, left = h[rank], i[rank], j[rank], block[rank], member[rank], left[rank]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    size = np.diff(np.concatenate([first, [len(h)]]))
+    for low, many in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+        part = slice(low, low + many)
+        tile.run(member[part], left[part], block[part] if i[low] != j[low] else None)
+    small, many = first[size <= FEW], size[size <= FEW]
+    at_once = max(1, 2 * PAIRS // FEW ** 2)
+    for low in range(0, len(small), at_once):  # all pairs of a number of small runs
+        start, k = small[low:low + at_once], many[low:low + at_once]
+        row = np.repeat(start, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        after = np.repeat(start + k, k) - row - 1
+        a = np.repeat(row, after)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+        ok = (np.minimum(left[a], left[b]) >= like.needed(tile.n[member[a]], tile.n[member[b]])) & ((i[a] == j[a]) | (block[a] != block[b]))
+        tile.join(member[a[ok]], member[b[ok]])
+    return tile
+
+
+def _held(table: pa.Table, column: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Nodes in order, with an array of each."""
+    nodes = table.column("node").to_numpy()
+    order, arrays = np.argsort(nodes), [np.frombuffer(x.as_buffer(), U64) for x in table.column(column)]
+    return nodes[order], [arrays[k] for k in order]
+
+
+def remaining_links(shared: DataFrame, rows: int, labels: DataFrame, cards_: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """Links a, b that join all documents in different groups so far which are alike, directly or through others.
+
+    Shingles whose documents are all in one group are done. For the others, bitmaps tell which documents may have a partner in another
+    group; the sets of these are then compared. A task hands on its documents, or fewer links than it has documents, never pairs.
+    """
+    known = written(shared.select("h", "node", "n", "left").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    runs = known.groupBy("h").agg(F.min("root").alias("lead"), F.max("root").alias("top"), F.count(F.lit(1)).alias("uses")).where("lead <> top")
+    mixed = written(attach(known, written(runs.drop("top")), "h", "uses", rows).where("lead IS NOT NULL").drop("uses"))
+    dealt = _dealt(mixed, 0.5)
+    bits = written(dealt.select("slot", "node").distinct().join(cards_.select("node", "bits"), "node"))
+
+    def mark(posts: pa.Table, maps: pa.Table) -> pa.Table:
+        tile = _compared(posts, *_held(maps, "bits"), None, like)
+        return pa.table({"node": pa.array(tile.nodes[tile.maybe], pa.int64())})
+
+    maybe = written(dealt.groupBy("slot").cogroup(bits.groupBy("slot")).applyInArrow(mark, "node long").distinct())
+    dealt = _dealt(written(mixed.join(maybe, "node", "left_semi")), 8)
     sets = sets_of(dealt.select("slot", "node").distinct(), cards_, docs, like).select("slot", "node", F.col("h").alias("set"))
 
     def link(posts: pa.Table, sets_: pa.Table) -> pa.Table:
-        nodes = sets_.column("node").to_numpy()
-        order = np.argsort(nodes)
-        nodes, sets_of_ = nodes[order], [np.frombuffer(x.as_buffer(), U64) for x in sets_.column("set")]
-        h, i, j, block, node, left, root = (posts.column(c).to_numpy() for c in ("h", "i", "j", "block", "node", "left", "root"))
-        member = np.searchsorted(nodes, node)
-        roots = np.zeros(len(nodes), np.int64)
-        roots[member] = root
-        tile = Tile(nodes, [sets_of_[k] for k in order], roots, like)
-        rank = np.lexsort((tile.n[member], j, i, h))
-        h, i, j, block, member, left = h[rank], i[rank], j[rank], block[rank], member[rank], left[rank]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        size = np.diff(np.concatenate([first, [len(h)]]))
-        for low, many in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
-            part = slice(low, low + many)
-            tile.run(member[part], left[part], block[part] if i[low] != j[low] else None)
-        small, many = first[size <= FEW], size[size <= FEW]
-        for low in range(0, len(small), max(1, 2 * PAIRS // FEW ** 2)):  # all pairs of a number of small runs
-            start, n = small[low:low + 2 * PAIRS // FEW ** 2], many[low:low + 2 * PAIRS // FEW ** 2]
-            row = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            after = np.repeat(start + n, n) - row - 1
-            a = np.repeat(row, after)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
-            ok = (np.minimum(left[a], left[b]) >= like.needed(tile.n[member[a]], tile.n[member[b]])) & ((i[a] == j[a]) | (block[a] != block[b]))
-            tile.join(member[a[ok]], member[b[ok]])
-        return pa.table({"a": pa.array([x for x, _ in tile.links], pa.int64()), "b": pa.array([x for _, x in tile.links], pa.int64())})
+        nodes, arrays = _held(sets_, "set")
+        links = _compared(posts, nodes, [bitmap(a, _width(len(a))) for a in arrays], arrays, like).links
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return dealt.groupBy("slot").cogroup(sets.groupBy("slot")).applyInArrow(link, "a long, b long")
 
@@ -457,7 +491,7 @@ def grouped(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
     made, sketched = cards(docs, like)
     all_ = written(made)
     rows = all_.count()
-    shared = written(shared_postings(written(postings(all_, sketched, max(1, rows // HOT_SHARE))), rows))
+    shared = written(shared_postings(postings(all_, sketched, max(1, rows // HOT_SHARE)), rows))
     posts = shared.count()
     pairs = written(first_pairs(shared, posts, like))
     links = written(compare(pairs, all_, docs, like))

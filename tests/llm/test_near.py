@@ -89,8 +89,12 @@ def test_a_tile_joins_what_is_alike():
     rng, like = np.random.default_rng(2), ngram_join.Likeness()
     base = np.unique(rng.integers(0, 1 << 60, 90).astype(np.uint64))
     sets = [np.sort(base[rng.random(len(base)) > 0.09]) for _ in range(60)] + [np.unique(rng.integers(0, 1 << 60, 70).astype(np.uint64))]
-    tile = ngram_join.Tile(np.arange(61) + 100, sets, np.arange(61), like)
-    tile.run(np.arange(61), np.array([len(s) for s in sets]), None)
+    sizes = np.array([len(s) for s in sets])
+    bits = [ngram_join.bitmap(s, ngram_join._width(len(s))) for s in sets]
+    tile = ngram_join.Tile(np.arange(61) + 100, sizes, bits, np.arange(61), like, sets)
+    tile.run(np.arange(61), sizes, None)
+    marked = ngram_join.Tile(np.arange(61) + 100, sizes, bits, np.arange(61), like, None)
+    marked.run(np.arange(61), sizes, None)
     want = list(range(61))
     for a in range(61):
         for b in range(a):
@@ -99,6 +103,7 @@ def test_a_tile_joins_what_is_alike():
                 want = [want[a] if g == want[b] else g for g in want]
     assert len(np.unique(tile.group)) == len(set(want)) == 61 - len(tile.links)
     assert all(len({want[x - 100], want[y - 100]}) == 1 for x, y in tile.links)
+    assert all(marked.maybe[x - 100] and marked.maybe[y - 100] for x, y in tile.links) and not marked.maybe[60]
 
 
 def test_one_row_of_each_group_stays(spark):

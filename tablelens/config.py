@@ -65,7 +65,8 @@ class LensConfig:
     quantile_accuracy: int = 10_000  # percentile sketch size
     frequent_counters: int = 1024    # values that a task counts per column for the most frequent ones
     broadcast_rows: int = 200_000    # a keyed side is broadcast only when counted below this
-    exact_row_groups: bool = False   # True: compare whole rows instead of 128-bit row fingerprints
+    density_cells: int = 64          # cells of a density grid in each direction
+    density_points: int = 3          # a cell with at most so many rows shows them as points
 
 
 DEFAULT = LensConfig()

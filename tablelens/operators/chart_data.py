@@ -1,4 +1,4 @@
-"""The data behind each rule-based chart. Every function returns a chart-sized DataFrame."""
+"""The data behind each rule-based chart. Every function but scatter_points returns a chart-sized DataFrame."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from tablelens.functions.stats import correlation_p_value, finite, from_sums, t_
 from tablelens.operators.column_stats import kind_of
 from tablelens.operators.quantiles import exact_quantiles, grouped_median
 from tablelens.operators.summaries import most_frequent
+from tablelens.sources.tables import pin_small
 
 
 # ---------------------------------------------------------------- overview
@@ -31,8 +32,11 @@ def dtype_counts(df: DataFrame) -> DataFrame:
         "rows", F.lit(len(df.columns)).cast("bigint").alias("columns"), F.inline(per_type))
 
 
-def first_columns(df: DataFrame, n: int = 20) -> list[str]:
-    return df.columns[:n]
+def first_columns(df: DataFrame, n: int = 20) -> DataFrame:
+    """The columns that the overview names: ord, column, type of the first n, and how many more there are."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
+    more = max(0, len(rows) - n)
+    return df.sparkSession.createDataFrame([(*r, more) for r in rows[:n]], "ord int, column string, type string, more int")
 
 
 def missing_tiers(stats: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
@@ -257,8 +261,36 @@ def _all():
     return Window.partitionBy(F.lit(1))
 
 
+def density(df: DataFrame, x: str, y: str, cfg: LensConfig = DEFAULT) -> DataFrame:
+    """A scatter of any size as chart-sized rows: kind (cell or point), x, y, x_hi, y_hi, n.
+
+    Rows with both values are counted in a grid of equal cells from the lowest to the highest values. Cells with few rows come as these points
+    themselves, so that outliers keep their places; equal points are one row with their number. A cell row has its lower and upper edges.
+    """
+    rows = scatter_points(df, x, y)
+    ends = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    schema = "kind string, x double, y double, x_hi double, y_hi double, n bigint"
+    if ends[0] is None:
+        return df.sparkSession.createDataFrame([], schema)
+    size, low, width = cfg.density_cells, (ends[0], ends[2]), (ends[1] - ends[0], ends[3] - ends[2])
+
+    def cell(c: str, k: int) -> Column:
+        place = F.floor((F.col(c) - F.lit(low[k])) / F.lit(width[k]) * size) if width[k] else F.lit(0)
+        return F.least(place, F.lit(size - 1)).cast("int").alias(f"c{c}")
+
+    placed = rows.select("x", "y", cell("x", 0), cell("y", 1))
+    counts = pin_small(placed.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))  # at most density_cells squared rows
+    edge = lambda c, k: F.lit(low[k]) + F.col(f"c{c}") * F.lit(width[k] / size)
+    cells = counts.where(F.col("n") > cfg.density_points).select(
+        F.lit("cell").alias("kind"), edge("x", 0).alias("x"), edge("y", 1).alias("y"), (edge("x", 0) + F.lit(width[0] / size)).alias("x_hi"),
+        (edge("y", 1) + F.lit(width[1] / size)).alias("y_hi"), "n")
+    few = counts.where(F.col("n") <= cfg.density_points).select("cx", "cy")
+    points = placed.join(F.broadcast(few), ["cx", "cy"], "left_semi").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return cells.unionByName(points.select(F.lit("point").alias("kind"), "x", "y", F.col("x").alias("x_hi"), F.col("y").alias("y_hi"), "n"))
+
+
 def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
-    """All rows that have both values."""
+    """All rows that have both values, as an export; a chart takes density."""
     return df.select(tx.col(x).cast("double").alias("x"), tx.col(y).cast("double").alias("y")).dropna()
 
 

@@ -6,6 +6,7 @@ Decisions need one row per column on the driver; data rows never leave the execu
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from tablelens.operators.column_stats import (
     NUMERIC_KINDS, column_stats, comparable, fences, hash_parts,
 )
 from tablelens.operators.quantiles import exact_quantiles
-from tablelens.sources.tables import CLEAN_VIEW, pin_small, register, without_nan
+from tablelens.sources.tables import CLEAN_VIEW, broadcast_if_small, cut_lineage, pin_small, register, without_nan
 
 
 @dataclass
@@ -61,23 +62,33 @@ def sample_text(df: DataFrame, column: str, n: int = 200) -> DataFrame:
     return df.where(c.isNotNull()).select(c.alias("value")).orderBy(F.xxhash64("value"), "value").limit(n)
 
 
-def row_groups(df: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
-    """One row: rows, distinct rows, extra copies, and groups that occur more than once.
+def row_marks(df: DataFrame) -> list[Column]:
+    """Two independent 64-bit fingerprints of a row."""
+    parts = [tx.sql(p) for f in df.schema for p in hash_parts(tx.ident(f.name), f.dataType)]
+    return [F.xxhash64(F.lit(salt), *parts) for salt in (11, 23)]
 
-    Rows are grouped by two independent 64-bit fingerprints, so the shuffle carries 24 bytes per row however
-    wide the table is, and copies collapse before it. ``exact_row_groups`` groups by the columns themselves.
+
+def row_groups(df: DataFrame, cfg: LensConfig = DEFAULT, marks: Callable[[DataFrame], list[Column]] = row_marks) -> DataFrame:
+    """One row: rows, distinct rows, extra copies, and groups that occur more than once, exactly.
+
+    Rows are grouped by fingerprints, so the shuffle carries 24 bytes per row however wide the table is, and copies collapse before it. Only
+    rows whose fingerprint occurs again are compared by their whole content, again combined before the shuffle.
     """
-    if cfg.exact_row_groups:
-        values = [tx.sql(comparable(tx.ident(f.name), f.dataType)) for f in df.schema]
-        grouped = df.groupBy(*[v.alias(f"v{i}") for i, v in enumerate(values)]).count()
-    else:
-        parts = [tx.sql(p) for f in df.schema for p in hash_parts(tx.ident(f.name), f.dataType)]
-        marks = [F.xxhash64(F.lit(salt), *parts).alias(name) for salt, name in ((11, "h1"), (23, "h2"))]
-        grouped = df.select(*marks).groupBy("h1", "h2").count()
+    marked = df.select(F.struct(*[tx.col(c) for c in df.columns]).alias("row"), *[m.alias(f"h{i}") for i, m in enumerate(marks(df))])
+    counts = cut_lineage(marked.select("h0", "h1").groupBy("h0", "h1").count())
+    repeated = counts.where("count > 1").select(F.col("h0").alias("k0"), F.col("h1").alias("k1"))
+    known = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count_if(F.col("count") == 1).alias("single"),
+                       F.count_if(F.col("count") > 1).alias("several")).first()
     zero = F.lit(0).cast("bigint")
-    return grouped.agg(
-        F.coalesce(F.sum("count"), zero).alias("rows"),
-        F.count(F.lit(1)).alias("distinct_rows"),
+    if not known["several"]:
+        return df.sparkSession.range(1).select(F.lit(known["rows"]).cast("bigint").alias("rows"), F.lit(known["single"]).cast("bigint").alias("distinct_rows"),
+                                               zero.alias("duplicate_rows"), zero.alias("duplicate_groups"))
+    again = marked.join(broadcast_if_small(repeated, known["several"], cfg), (F.col("h0") == F.col("k0")) & (F.col("h1") == F.col("k1")), "left_semi")
+    values = [tx.sql(comparable(f"row.{tx.ident(f.name)}", f.dataType)) for f in df.schema]
+    compared = again.groupBy(*[v.alias(f"v{i}") for i, v in enumerate(values)]).count()
+    return compared.agg(
+        F.lit(known["rows"]).cast("bigint").alias("rows"),
+        (F.count(F.lit(1)) + F.lit(known["single"])).alias("distinct_rows"),
         F.coalesce(F.sum(F.col("count") - 1), zero).alias("duplicate_rows"),
         F.count_if(F.col("count") > 1).alias("duplicate_groups"),
     )

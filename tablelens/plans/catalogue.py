@@ -196,7 +196,7 @@ def chart_frame(df: DataFrame, row, stats: DataFrame, cfg: LensConfig = DEFAULT)
         marked = stats.where(F.col("column") == y).select(cd.has_outliers(cfg)).first()
         return cd.by_category(df, y, x, median=bool(marked and marked[0]), cfg=cfg)
     if rule == "R05":
-        return cd.scatter_points(df, x, y)
+        return cd.density(df, x, y, cfg)
     if rule == "R06":
         roles = column_roles(stats, cfg).where("role = 'numeric'").orderBy("ord").collect()
         return cd.heatmap(df, [r["column"] for r in roles], cfg=cfg)

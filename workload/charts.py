@@ -8,7 +8,8 @@ from tablelens.operators import chart_data as cd
 from tablelens.operators.column_stats import pinned_stats
 from tablelens.plans import catalogue as ct
 from workload.common import (
-    DOCS_SQL, PRICED_SQL, dirty_orders, ORDERS_SQL, labelled_documents, priced_lineitem, query, rounded, table, union, union_sql,
+    DOCS_SQL, LINEITEM_SQL, ORDERS_SQL, PRICED_SQL, dirty_lineitem, dirty_orders, labelled_documents, priced_lineitem, query, rounded, table,
+    union, union_sql,
 )
 from workload.profile import _KINDS
 
@@ -114,6 +115,15 @@ def r00_summary(spark, sf_dir):
     return cd.dtype_counts(table(spark, sf_dir, "lineitem"))
 
 
+@query("r00_columns", f"""
+SELECT CAST(ord AS INTEGER) AS ord, column_name AS "column", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE'
+  THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS type, CAST(n - 20 AS INTEGER) AS more
+FROM (SELECT *, row_number() OVER () - 1 AS ord, count(*) OVER () AS n FROM (DESCRIBE SELECT * FROM {LINEITEM_SQL})) WHERE ord < 20""")
+def r00_columns(spark, sf_dir):
+    """The columns that the overview names, of a table with more than twenty."""
+    return cd.first_columns(dirty_lineitem(spark, sf_dir))
+
+
 @query("r12_missingness", f"""
 SELECT "column", round(pct, 4) AS missing_pct, CASE WHEN pct > 40 THEN 'red' WHEN pct > 10 THEN 'amber' ELSE 'grey' END AS tier
 FROM ({union_sql([f"SELECT '{c}' AS {chr(34)}column{chr(34)}, 100 * (1 - count({c}) / count(*)) AS pct FROM {DOCS_SQL}" for c in _DOCS_KINDS])})
@@ -280,6 +290,19 @@ def r05_points(spark, sf_dir):
     return cd.scatter_points(priced_lineitem(spark, sf_dir), "l_extendedprice", "net")
 
 
+@query("r05_density", f"""
+WITH r AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x, CAST(net AS DOUBLE) AS y FROM {PRICED_SQL} WHERE l_extendedprice IS NOT NULL AND net IS NOT NULL),
+e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM r),
+p AS (SELECT x, y, least(floor((x - lx) / (hx - lx) * 64), 63) AS cx, least(floor((y - ly) / (hy - ly) * 64), 63) AS cy FROM r, e),
+c AS (SELECT cx, cy, count(*) AS n FROM p GROUP BY ALL)
+SELECT 'cell' AS kind, round(lx + cx * ((hx - lx) / 64), 4) AS x, round(ly + cy * ((hy - ly) / 64), 4) AS y,
+  round(lx + cx * ((hx - lx) / 64) + (hx - lx) / 64, 4) AS x_hi, round(ly + cy * ((hy - ly) / 64) + (hy - ly) / 64, 4) AS y_hi, n FROM c, e WHERE n > 3
+UNION ALL SELECT 'point', round(x, 4), round(y, 4), round(x, 4), round(y, 4), count(*) FROM p JOIN c USING (cx, cy) WHERE n <= 3 GROUP BY x, y""")
+def r05_density(spark, sf_dir):
+    """The scatter as a grid of counts, with points where a cell is rare."""
+    return rounded(cd.density(priced_lineitem(spark, sf_dir), "l_extendedprice", "net"), "x", "y", "x_hi", "y_hi")
+
+
 @query("r05_trend", f"""
 SELECT round(regr_slope(net, l_extendedprice), 6) AS slope, round(regr_intercept(net, l_extendedprice), 4) AS intercept,
   CAST(regr_count(net, l_extendedprice) AS BIGINT) AS n, min(l_extendedprice) AS x_min, max(l_extendedprice) AS x_max FROM {PRICED_SQL}""")
@@ -309,6 +332,28 @@ def r05_p_value(spark, sf_dir):
     return rounded(cd.with_significance(pairs).select("x", "y", "n", "p"), "p")
 
 
+def _critical_sql(z: float) -> str:
+    """The value that |t| exceeds with a given probability, by its expansion around the normal one."""
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    return f"({z!r} + " + " + ".join(f"{c!r} / power(n - 2, {k})" for k, c in enumerate(terms, 1)) + ")"
+
+
+# ---- fixed values: two-sided normal quantiles of 5 %, 1 % and 0.1 %
+_NORMAL = (1.959963984540054, 2.5758293035489004, 3.2905267314918945)
+
+
+@query("r05_significance", union_sql([
+    f"SELECT x, y, n, CASE WHEN abs(t) > {_critical_sql(_NORMAL[2])} THEN 3 WHEN abs(t) > {_critical_sql(_NORMAL[1])} THEN 2 "
+    f"WHEN abs(t) > {_critical_sql(_NORMAL[0])} THEN 1 ELSE 0 END AS stars FROM (SELECT '{x}' AS x, '{y}' AS y, "
+    f"count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n, {_r_sql(x, y)} * sqrt((n - 2) / (1 - power({_r_sql(x, y)}, 2))) AS t FROM {DOCS_SQL})"
+    for x, y in _SPARSE_PAIRS]))
+def r05_significance(spark, sf_dir):
+    """The p-value as stars: under 5 %, 1 % and 0.1 %."""
+    found = cd.with_significance(cd.correlations(labelled_documents(spark, sf_dir), _SPARSE_PAIRS))
+    stars = sum((F.when(F.col("p") < p, 1).otherwise(0) for p in (0.05, 0.01, 0.001)), F.lit(0))
+    return found.select("x", "y", "n", stars.alias("stars"))
+
+
 def _matrix_sql(source: str, cols: list[str], mask: bool) -> str:
     shown = "CASE WHEN abs(r) >= 0.5 THEN round(r, 6) END" if mask else "round(r, 6)"
     cells = union_sql([f"SELECT '{x}' AS x, '{y}' AS y, {_r_sql(x, y)} AS r FROM {source}" for x in cols for y in cols])

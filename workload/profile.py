@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT
 from tablelens.operators import profiling as pf
-from tablelens.operators.column_stats import column_stats, pinned_stats, with_distinct, with_exact_quartiles, with_outliers
+from tablelens.operators.column_stats import column_stats, distinct_counts, pinned_stats, with_distinct, with_exact_quartiles, with_outliers
+from tablelens.operators.stored_profile import DISTINCT_ERROR, RANK_ERROR, merged_profile, profile_figures, stored_profile
 from tablelens.sources.tables import pin_small
 from workload.common import (
     DOCS_SQL, labelled_documents, query, rounded, skewness_sql, table, union, union_sql,
@@ -227,6 +228,65 @@ def profile_json(spark, sf_dir):
     return pf.profile_documents(columns)
 
 
+def _if_numeric(c: str, kind: str, type_: str) -> str:
+    return f"CASE WHEN s.semantic_type = 'numeric' THEN n.{c} END" if kind in "id" else f"CAST(NULL AS {type_})"
+
+
+@query("profile_json_fields", union_sql([f"""
+SELECT s."column" AS name, s.semantic_type, m.missing_pct, m.unique_count, CAST(NULL AS VARCHAR) AS sql_reference, least(5, m.unique_count) AS samples,
+  {_if_numeric('min', k, 'DOUBLE')} AS stat_min, {_if_numeric('median', k, 'DOUBLE')} AS stat_median,
+  {_if_numeric('outlier_count_iqr', k, 'BIGINT')} AS stat_outliers
+FROM ({_type_sql("events", c, k)}) s, (SELECT round(100 * (1 - count({c}) / count(*)), 2) AS missing_pct, count(DISTINCT {c}) AS unique_count FROM events) m
+{f', ({_numeric_sql("events", c)}) n' if k in 'id' else ''}""" for c, k in _KINDS["events"].items()]))
+def profile_json_fields(spark, sf_dir):
+    """The JSON documents of events parsed back to columns."""
+    columns, _, _ = pf.profile(table(spark, sf_dir, "events"))
+    schema = ("name string, semantic_type string, missing_pct double, unique_count bigint, sql_reference string, sample_values array<string>, "
+              "stats struct<min: double, median: double, outlier_count_iqr: bigint>")
+    parsed = pf.profile_documents(columns).select(F.from_json("document", schema).alias("d"))
+    return parsed.select("d.name", "d.semantic_type", "d.missing_pct", "d.unique_count", "d.sql_reference",
+                         F.coalesce(F.size("d.sample_values"), F.lit(0)).cast("bigint").alias("samples"), F.col("d.stats.min").alias("stat_min"),
+                         F.col("d.stats.median").alias("stat_median"), F.col("d.stats.outlier_count_iqr").alias("stat_outliers"))
+
+
+@query("profile_json_quoting", """
+SELECT '"' || type || ' n"' AS sql_reference, type || ' n' AS name, n FROM (SELECT event_type AS type, count(*) AS n FROM events GROUP BY event_type)""")
+def profile_json_quoting(spark, sf_dir):
+    """Columns whose names are no plain identifiers are quoted for SQL; here one per type of event, with the number of its rows."""
+    events = table(spark, sf_dir, "events")
+    wide = events.groupBy().pivot("event_type").agg(F.count(F.lit(1)))
+    named = wide.toDF(*[f"{c} n" for c in wide.columns])
+    documents = pf.profile_documents(pf.profile(named)[0]).select(F.from_json("document", "name string, sql_reference string").alias("d"))
+    long = named.selectExpr(f"inline(array({', '.join(f'struct({chr(39)}{c}{chr(39)} AS name, `{c}` AS n)' for c in named.columns)}))")
+    return documents.select("d.*").join(long, "name").select("sql_reference", "name", "n")
+
+
+_STORED = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
+
+
+@query("stored_profile_merge", union_sql([f"""
+SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, {f'CAST(min({c}) AS DOUBLE)' if n else 'CAST(NULL AS DOUBLE)'} AS min_num,
+  {f'CAST(max({c}) AS DOUBLE)' if n else 'CAST(NULL AS DOUBLE)'} AS max_num, {f'round(avg({c}), 6)' if n else 'CAST(NULL AS DOUBLE)'} AS mean,
+  {f'round(stddev_samp({c}), 4)' if n else 'CAST(NULL AS DOUBLE)'} AS std,
+  {f'round(skewness({c}), 4)' if n else 'CAST(NULL AS DOUBLE)'} AS skewness, true AS distinct_near, true AS median_near FROM lineitem"""
+    for c, n in zip(_STORED, (True, True, True, False))]))
+def stored_profile_merge(spark, sf_dir):
+    """Profiles of the parts of lineitem, a month of shipping each, merged without a scan; sketches held against exact figures."""
+    df = table(spark, sf_dir, "lineitem")
+    parts = pin_small(stored_profile(df.select("l_shipdate", *_STORED), "date_format(l_shipdate, 'yyyy-MM')"))
+    figures = profile_figures(merged_profile(parts)).where(F.col("column") != "l_shipdate")
+    exact = distinct_counts(df, _STORED)
+    medians = {r["column"]: r["median"] for r in figures.collect()}
+    ranks = df.agg(*[F.try_divide(F.count_if(F.col(c) <= medians[c]), F.count(c)).alias(f"{c}_upto") for c in _STORED[:3]],
+                   *[F.try_divide(F.count_if(F.col(c) < medians[c]), F.count(c)).alias(f"{c}_below") for c in _STORED[:3]]).first()
+    near = [(c, abs(r - exact[c]) <= DISTINCT_ERROR * exact[c] + 1, c not in _STORED[:3] or
+             ranks[f"{c}_below"] - RANK_ERROR <= 0.5 <= ranks[f"{c}_upto"] + RANK_ERROR)
+            for c, r in [(r["column"], r["n_distinct"]) for r in figures.collect()]]
+    known = spark.createDataFrame(near, "column string, distinct_near boolean, median_near boolean")
+    return rounded(rounded(figures.join(known, "column"), "mean", digits=6), "std", "skewness").select(
+        "column", "rows", "nulls", "min_num", "max_num", "mean", "std", "skewness", "distinct_near", "median_near")
+
+
 # ---------------------------------------------------------------- properties of results that SQL cannot repeat
 
 @query("column_summary_approx_bounds", union_sql([f"SELECT '{c}' AS \"column\", true AS distinct_near, true AS median_near FROM lineitem HAVING count(*) > 0"

@@ -160,8 +160,7 @@ def _event_specs(spark, sf_dir, broken: tuple[str, ...] = ()):
     return [{**r, "sql_query": 'SELECT "nope" FROM cleaned_data'} if r["title"] in broken else r for r in rows]
 
 
-@query("spec_bind_check", f"""
-SELECT title, title <> 'Distribution of user_id' AS ok FROM (VALUES {', '.join(f"('{t}')" for t in _EVENT_TITLES)}) t(title)""")
+@query("spec_bind_check", f"SELECT title, title <> 'Distribution of user_id' AS ok FROM ({_PLAN_SQL}) WHERE table_name = 'events'")
 def spec_bind_check(spark, sf_dir):
     return sp.bind_check(spark, _event_specs(spark, sf_dir, ("Distribution of user_id",))).select("title", "ok")
 
@@ -177,8 +176,7 @@ def merged_catalogue(spark, sf_dir):
     return sp.merge_catalogues(own, ct.chart_catalogue(table(spark, sf_dir, "events")))
 
 
-@query("dashboard_charts", f"""
-SELECT 'llm' AS source, title FROM (VALUES {', '.join(f"('{t}')" for t in _EVENT_TITLES)}) t(title)""")
+@query("dashboard_charts", f"SELECT 'llm' AS source, title FROM ({_PLAN_SQL}) WHERE table_name = 'events'")
 def dashboard_charts(spark, sf_dir):
     board = build_dashboard(spark, table(spark, sf_dir, "events"))
     return spark.createDataFrame([(c.source, c.title) for c in board.charts], "source string, title string")

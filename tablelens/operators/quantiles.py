@@ -7,6 +7,10 @@ combine before the shuffle, so no task holds more than 65,536 rows of a group, a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +21,10 @@ from tablelens.sources.tables import broadcast_if_small, cut_lineage
 DIGIT_BITS = 16
 
 
-def with_image(rows: DataFrame) -> DataFrame:
-    """Adds img, a 64-bit integer in the order of the double v: its exponent and fraction as IEEE 754 has them, signed like v.
-
-    The exponent comes from a logarithm, which may be off by one next to powers of two, and is put right by comparing.
-    """
-    rough = rows.selectExpr("*", "abs(v) AS _a", "greatest(-1022, CAST(floor(log2(least(abs(v), 1.7976931348623157E308D))) AS INT)) AS _r")
-    near = rough.selectExpr("*", "_r + CASE WHEN _a >= pow(2D, _r + 1) THEN 1 WHEN _r > -1022 AND _a < pow(2D, _r) THEN -1 ELSE 0 END AS _e")
-    # 2^-e is taken in two steps, as it may be too large for one
-    share = "_a * pow(2D, -shiftright(_e, 1)) * pow(2D, shiftright(_e, 1) - _e) * 4503599627370496D"
-    size = (f"CASE WHEN _a = 0 THEN 0L WHEN _a > 1.7976931348623157E308D THEN {2047 << 52}L "
-            f"ELSE (_e + 1022) * 4503599627370496L + CAST({share} AS BIGINT) END")
-    return near.selectExpr(*[ident(c) for c in rows.columns], f"CASE WHEN v < 0 THEN -({size}) ELSE {size} END AS img")
+def image(v: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of doubles (without NaN and -0): exponent and fraction as IEEE 754 has them, signed like the value."""
+    bits = np.ascontiguousarray(v).view(np.int64)
+    return np.where(bits >= 0, bits, -(bits & np.int64(2**63 - 1)))
 
 
 def ranks(probs: list[float]) -> str:
@@ -49,10 +45,32 @@ def _pick(counts: DataFrame, keys: list[str], first: str) -> DataFrame:
                        (F.col("_w.rank") - F.col("_upto") + F.col("n")).alias("rank"), "prefix", "lo", "hi")
 
 
-def _counted(rows: DataFrame, by: list, digit: int) -> DataFrame:
-    shift = 64 - DIGIT_BITS * digit
-    return rows.groupBy(*by, F.shiftright("img", shift).alias("prefix") if shift else F.col("img").alias("prefix")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+def _counted(rows: DataFrame, by: list[str], digit: int) -> DataFrame:
+    """by, prefix (of the image, ``digit`` times DIGIT_BITS long), n, lo, hi; counts of a task are combined before they are shuffled."""
+    shift, names = 64 - DIGIT_BITS * digit, [*by, "prefix", "n", "lo", "hi"]
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(parts).group_by([*by, "prefix"]).aggregate([("n", "sum"), ("lo", "min"), ("hi", "max")])
+        return whole.rename_columns([c.removesuffix("_sum").removesuffix("_min").removesuffix("_max") if c not in by else c
+                                     for c in whole.column_names]).select(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            v = table.column("v").to_numpy() + 0.0
+            table = table.select(by).append_column("prefix", pa.array(image(v) >> shift)).append_column("n", pa.array(np.ones(len(v), np.int64)))
+            parts.append(merged([table.append_column("lo", pa.array(v)).append_column("hi", pa.array(v))]))
+            size += parts[-1].num_rows
+            if size > 1 << 18:
+                parts = [merged(parts)]
+                size = parts[0].num_rows // 2  # so that merges stay few where hardly anything combines
+        if parts:
+            yield from merged(parts).to_batches()
+
+    schema = ", ".join(f"{ident(c)} {rows.schema[c].dataType.simpleString()}" for c in by) + ", prefix bigint, n bigint, lo double, hi double"
+    found = rows.select(*[col(c) for c in by], "v").mapInArrow(count, schema)
+    return found.groupBy(*[col(c) for c in by], "prefix").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def selected(values: DataFrame, keys: list[str], probs: list[float], cfg: LensConfig = DEFAULT) -> DataFrame:
@@ -61,8 +79,8 @@ def selected(values: DataFrame, keys: list[str], probs: list[float], cfg: LensCo
     A group without values has no row. Infinite values are the largest and smallest. -0 is 0.
     """
     by = [col(k) for k in keys]
-    rows = with_image(values.where("v IS NOT NULL AND NOT isnan(v)").withColumn("v", F.col("v") + F.lit(0.0)))
-    counts = cut_lineage(_counted(rows, by, 1))
+    rows = values.where("v IS NOT NULL AND NOT isnan(v)")
+    counts = cut_lineage(_counted(rows, keys, 1))
     total = counts.withColumn("n_all", F.sum("n").over(Window.partitionBy(*by)))
     wanted = f"transform({ranks(probs).replace('(n - 1)', '(n_all - 1)')}, (r, i) -> named_struct('target', i, 'rank', r))"
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("n"))
@@ -71,17 +89,18 @@ def selected(values: DataFrame, keys: list[str], probs: list[float], cfg: LensCo
         open_ = cut_lineage(open_)
         done.append(open_.where("lo = hi"))
         open_ = open_.where("lo < hi")
-        targets = open_.groupBy(*by, "prefix").agg(F.collect_list(F.struct("target", "rank")).alias("_targets"))
-        targets = targets.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("prefix").alias("parent"), "_targets")
+        targets = open_.groupBy(*by, "prefix", "lo", "hi").agg(F.collect_list(F.struct("target", "rank")).alias("_targets"))
+        targets = targets.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("prefix").alias("parent"), "lo", "hi", "_targets")
         n = targets.count()
         if not n:
             open_ = None
             break
         on = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        above = F.shiftright("img", 64 - DIGIT_BITS * (digit - 1)) == F.col("parent")
-        inner = rows.join(broadcast_if_small(targets.drop("_targets"), n, cfg), [*on, above]).drop(*[f"_k{i}" for i in range(len(keys))])
-        finer = _counted(inner, [*by, F.col("parent")], digit)
-        mine = finer.join(broadcast_if_small(targets.withColumnRenamed("parent", "_parent"), n, cfg),
+        within = F.col("v").between(F.col("lo"), F.col("hi"))  # buckets are stretches of the order
+        inner = rows.join(broadcast_if_small(targets.drop("_targets"), n, cfg), [*on, within]).select(*by, "parent", "v")
+        finer = _counted(inner, [*keys, "parent"], digit)
+        wanted_in = targets.drop("lo", "hi").withColumnRenamed("parent", "_parent")
+        mine = finer.join(broadcast_if_small(wanted_in, n, cfg),
                           [*on, F.col("parent") == F.col("_parent")]).drop("_parent", *[f"_k{i}" for i in range(len(keys))])
         open_ = _pick(mine, keys, "_targets")
     if open_ is not None:

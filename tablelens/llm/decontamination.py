@@ -231,7 +231,10 @@ def _finder(index: Index):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds(), text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that share no segment with the benchmark; decided where they are read."""
+    """The rows of docs, with all their columns, that share no segment with the benchmark; decided where they are read.
+
+    Null and empty texts share none and stay; repeated rows and ids are judged by their own texts. Without items all rows stay.
+    """
     at = docs.columns.index(text_col)
     for index in blocks(benchmark, bounds):
         docs = docs.mapInArrow(_cleaner(index, at), docs.schema)

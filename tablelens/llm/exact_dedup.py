@@ -65,15 +65,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, of which exact_groups keeps one of each group."""
+    """The rows of docs, with all their columns, of which exact_groups keeps one of each group.
+
+    Null and empty texts are equal, so one row of these stays. Of rows that repeat the kept id with an equal text one stays; a row with that id
+    and another text is of another group. Null ids stay only where a group has no other. An empty table stays empty.
+    """
+    text, own = _free("_llm_text", docs.columns), _free("_llm_id", docs.columns)
     kept = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"))
-    rows = docs.withColumn("_llm_text", sha256(plain_spaces(F.col(text_col))))
-    own = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
-    pairs = rows.withColumn("_llm_id", own).join(
-        kept.select(F.coalesce(F.col("_id").cast("string"), F.lit("-")).alias("_llm_id"), F.col("_text").alias("_llm_text")),
-        ["_llm_id", "_llm_text"], "left_semi")
-    return pairs.dropDuplicates(["_llm_id", "_llm_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias(own), F.col("text_sha256").alias(text))
+    rows = docs.withColumn(text, sha256(plain_spaces(F.col(text_col)))).withColumn(own, F.coalesce(F.col(id_col).cast("string"), F.lit("-")))
+    return rows.join(kept, [own, text], "left_semi").dropDuplicates([own, text]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken yet, whatever its case."""
+    while name.lower() in map(str.lower, taken):
+        name = f"_{name}"
+    return name
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

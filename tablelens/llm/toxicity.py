@@ -184,7 +184,10 @@ def held_out(id_: Column, parts: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model from labelled rows that are not held out; None without rows of both classes."""
+    """A model from labelled rows that are not held out; None without rows of both classes.
+
+    Null texts and labels other than 0 and 1 are not learnt from; an id that repeats in docs is learnt from once for each of its texts.
+    """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where(~held_out(F.col("_id")))
     chosen = None
     for kind in (0, 1):  # at most per_class rows each
@@ -246,7 +249,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score under ``limit``, with all their columns; decided where they are read, without a shuffle."""
+    """The rows of docs that score under ``limit``, with all their columns; decided where they are read, without a shuffle.
+
+    Null and empty texts score by the bias alone; repeated rows and ids are judged by their own texts. Without a model all rows stay.
+    """
     if model is None:
         return docs
     scorer, at = Scorer(model), docs.columns.index(text_col)

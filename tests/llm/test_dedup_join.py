@@ -58,6 +58,13 @@ def test_drop_copies_keeps_one_whole_row_of_each(odd, empty):
     assert exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b", "x", "y"), (2, "a  b", "z", "w"), (2, "other", "u", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _llm_text string, _LLM_ID string")
+    out = exact_dedup.drop_copies(docs)
+    assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
+
+
 def test_hot_copies(spark):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("t"), F.col("id"))).alias("text"))

@@ -88,7 +88,7 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Sha
     gram = np.zeros(len(marked), U64)
     for n in range(1, max(shape.grams) + 1):
         shifted = np.zeros(len(marked), U64)
-        shifted[:len(marked) - n + 1] = marked[n - 1:]
+        shifted[:max(0, len(marked) - n + 1)] = marked[n - 1:]
         gram = gram * U64(1_000_003) + shifted + U64(1)
         if n in shape.grams:
             at = np.flatnonzero(left >= n)

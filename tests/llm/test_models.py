@@ -141,3 +141,35 @@ def test_toxicity_of_odd_rows(odd, empty, spark):
     model = toxicity.fit(known, known, toxicity.Shape(bits=10, steps=5))
     assert toxicity.score(odd, model).where("score BETWEEN 0 AND 1").count() == len(ROWS)
     assert toxicity.score(empty, model).count() == 0 and toxicity.drop_toxic(odd, model).columns == odd.columns
+
+
+def test_toxicity_scores_match_loops():
+    """Words, windows and their averages by loops; only the buckets of a word's n-grams are taken from the code under test."""
+    import numpy as np
+    import pyarrow as pa
+
+    shape = toxicity.Shape(bits=10, steps=12)
+    rows = labelled(60, 4, RUDE)
+    model = toxicity.train([t for _, t, _ in rows], np.array([k for *_, k in rows]), shape)
+    weight = model.vectors @ (model.layer[1] - model.layer[0])
+
+    def of_word(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        buckets, _ = toxicity.features(raw, np.array([0]), np.array([len(raw)]), shape)
+        return float(np.mean([weight[b] for b in buckets]))
+
+    def score(text):
+        words, word = [], ""
+        for c in (text or "") + " ":
+            c = chr(ord(c) + 32) if "A" <= c <= "Z" else c
+            if ord(c) < 128 and not c.isalpha():
+                words, word = words + ([word] if word else []), ""
+            else:
+                word += c
+        windows = [[of_word(w) for w in words[i:i + shape.window]] for i in range(0, len(words), shape.window)]
+        chosen = [x for window in sorted(windows, key=lambda s: -sum(s))[:shape.windows] for x in window]
+        logit = float(model.bias[1] - model.bias[0]) + (sum(chosen) / len(chosen) if chosen else 0.0)
+        return 1 / (1 + math.exp(-logit))
+
+    texts = [t for _, t, _ in labelled(20, 5, RUDE + ["idiott"])] + ["", None, "One!two,THREE", "été straße idiot"]
+    assert toxicity.Scorer(model)(pa.array(texts)).tolist() == pytest.approx([score(t) for t in texts], abs=1e-4)

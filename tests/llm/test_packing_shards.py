@@ -201,3 +201,22 @@ def test_decontamination_of_odd_rows(odd, empty, spark):
     assert {r.doc_id for r in hits} == {6, 7} and all(r.edits == 0 for r in hits)
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(odd, bench.limit(0)).count() == 0
     assert decontamination.drop_contaminated(odd, bench).columns == odd.columns
+
+
+def cut_edges(shard_of, texts):
+    """Pairs of equal texts in different shards."""
+    return sum(shard_of[a] != shard_of[b] for a in texts for b in texts if a < b and texts[a] == texts[b])
+
+
+def test_cut_edges_against_all_ways_to_shard(spark):
+    """Small groups on two shards: the best of all assignments of whole groups that keep counts one apart, and drawing rows at random."""
+    sizes = [5, 4, 4, 3, 3, 3, 2, 2, 2, 2, 1, 1]
+    texts = {i: f"text {g}" for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))}
+    edges = sum(n * (n - 1) // 2 for n in sizes)
+    best = min(cut_edges({i: (way >> int(t.split()[1])) & 1 for i, t in texts.items()}, texts) for way in range(1 << len(sizes))
+               if abs(2 * sum(n for g, n in enumerate(sizes) if (way >> g) & 1) - len(texts)) <= 1)
+    assert best == 0
+    rows = sharding.assign(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), 2).collect()
+    check_shards(rows, 2)
+    cut = cut_edges({r.doc_id: r.shard for r in rows}, texts)
+    assert cut <= 0.25 * edges  # at random about half of all edges are cut

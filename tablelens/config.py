@@ -63,6 +63,7 @@ class LensConfig:
     gram_bytes: int = 64 << 20       # bytes of the Gram matrices that one task adds up
     distinct_rsd: float = 0.008      # relative error of the distinct sketch
     quantile_accuracy: int = 10_000  # percentile sketch size
+    sorted_group_rows: int = 1 << 20  # larger groups are not sorted in one task for their quantiles
     frequent_counters: int = 1024    # values that a task counts per column for the most frequent ones
     broadcast_rows: int = 200_000    # a keyed side is broadcast only when counted below this
     density_cells: int = 64          # cells of a density grid in each direction

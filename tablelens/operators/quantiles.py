@@ -1,17 +1,19 @@
-"""Exact quantiles (linear interpolation) by radix selection: bounded memory and at most four passes, whatever the distribution.
+"""Exact quantiles (linear interpolation) by radix selection: bounded memory and at most five passes, whatever the distribution.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task. Here doubles are taken in the order of a 64-bit image of theirs:
-values are counted by its top 16 bits, the bucket that holds a wanted rank is found, and only that bucket is counted by the next 16. Counts
-combine before the shuffle, so no task holds more than 65,536 rows of a group, and columns and groups of any number go together.
+values are counted by its leading bits, the bucket that holds a wanted rank is found, and only that bucket is counted by the bits that
+follow. Columns are counted side by side as they stand, each in arrays of a fixed size. Of groups, only those of very many rows are counted
+like this; the rows of the others are sorted by group and value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.config import DEFAULT, LensConfig
@@ -19,6 +21,9 @@ from tablelens.functions.text import col, ident
 from tablelens.sources.tables import broadcast_if_small, cut_lineage
 
 DIGIT_BITS = 16
+FINE_BITS = 12           # of the image that columns are counted by after the first pass
+BLOCK_VALUES = 1 << 20   # values that are counted at once
+HELD_ROWS = 1 << 18      # counted rows that a task holds before it hands them on
 
 
 def image(v: np.ndarray) -> np.ndarray:
@@ -27,13 +32,18 @@ def image(v: np.ndarray) -> np.ndarray:
     return np.where(bits >= 0, bits, -(bits & np.int64(2**63 - 1)))
 
 
+def from_image(x: int) -> float:
+    """The double whose image this is."""
+    return float(np.int64(x if x >= 0 else -x - 2**63).view(np.float64))
+
+
 def ranks(probs: list[float]) -> str:
     """SQL for an array of the ranks (from 0) between which the quantiles of n values lie."""
     return "array(" + ", ".join(f"CAST({f}({p}D * (n - 1)) AS BIGINT)" for p in probs for f in ("floor", "ceil")) + ")"
 
 
-def _pick(counts: DataFrame, keys: list[str], first: str) -> DataFrame:
-    """Of counted buckets those that hold a wanted rank: keys, target, rank (within the bucket), prefix, lo, hi.
+def _pick(counts: DataFrame, keys: list[str], first: str, *more: str) -> DataFrame:
+    """Of counted buckets those that hold a wanted rank: keys, target, rank (within the bucket), prefix, lo, hi, and ``more`` columns.
 
     ``first`` is the array of (target, rank) that is wanted among a group's buckets.
     """
@@ -42,7 +52,7 @@ def _pick(counts: DataFrame, keys: list[str], first: str) -> DataFrame:
     inside = F.filter("_wanted", lambda w: (w["rank"] < F.col("_upto")) & (w["rank"] >= F.col("_upto") - F.col("n")))
     each = placed.withColumn("_w", F.explode(inside))
     return each.select(*[col(k) for k in keys], F.col("_w.target").alias("target"),
-                       (F.col("_w.rank") - F.col("_upto") + F.col("n")).alias("rank"), "prefix", "lo", "hi")
+                       (F.col("_w.rank") - F.col("_upto") + F.col("n")).alias("rank"), "prefix", "lo", "hi", *more)
 
 
 def _counted(rows: DataFrame, by: list[str], digit: int) -> DataFrame:
@@ -62,9 +72,12 @@ def _counted(rows: DataFrame, by: list[str], digit: int) -> DataFrame:
             table = table.select(by).append_column("prefix", pa.array(image(v) >> shift)).append_column("n", pa.array(np.ones(len(v), np.int64)))
             parts.append(merged([table.append_column("lo", pa.array(v)).append_column("hi", pa.array(v))]))
             size += parts[-1].num_rows
-            if size > 1 << 18:
+            if size > HELD_ROWS:
                 parts = [merged(parts)]
-                size = parts[0].num_rows // 2  # so that merges stay few where hardly anything combines
+                size = parts[0].num_rows
+                if size > HELD_ROWS // 2:  # hardly anything combines: what is counted goes to the shuffle, so that neither memory nor merges grow
+                    yield from parts[0].to_batches()
+                    parts, size = [], 0
         if parts:
             yield from merged(parts).to_batches()
 
@@ -73,13 +86,9 @@ def _counted(rows: DataFrame, by: list[str], digit: int) -> DataFrame:
     return found.groupBy(*[col(c) for c in by], "prefix").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def selected(values: DataFrame, keys: list[str], probs: list[float], cfg: LensConfig = DEFAULT) -> DataFrame:
-    """Exact quantiles of v per group: keys, n, q (an array in the order of probs); NaN and null do not count.
-
-    A group without values has no row. Infinite values are the largest and smallest. -0 is 0.
-    """
+def _by_radix(rows: DataFrame, keys: list[str], probs: list[float], cfg: LensConfig) -> DataFrame:
+    """Quantiles of groups of any size: keys, n, q."""
     by = [col(k) for k in keys]
-    rows = values.where("v IS NOT NULL AND NOT isnan(v)")
     counts = cut_lineage(_counted(rows, keys, 1))
     total = counts.withColumn("n_all", F.sum("n").over(Window.partitionBy(*by)))
     wanted = f"transform({ranks(probs).replace('(n - 1)', '(n_all - 1)')}, (r, i) -> named_struct('target', i, 'rank', r))"
@@ -111,25 +120,144 @@ def selected(values: DataFrame, keys: list[str], probs: list[float], cfg: LensCo
     ends = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("target", "lo"))).alias("_v"))
     named = ends.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_v")
     joined = sizes.join(named, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return joined.select(*by, "n", _interpolated(probs))
+
+
+def _interpolated(probs: list[float]) -> Column:
+    """q, from the values _v of the ranks between which the quantiles of n values lie."""
     at = [f"{p}D * (n - 1)" for p in probs]
     q = [f"CASE WHEN floor({a}) = ceil({a}) THEN _v[{2 * i}] "
          f"ELSE (ceil({a}) - ({a})) * _v[{2 * i}] + (({a}) - floor({a})) * _v[{2 * i + 1}] END" for i, a in enumerate(at)]
-    return joined.select(*by, "n", F.expr(f"array({', '.join(q)})").alias("q"))
+    return F.expr(f"array({', '.join(q)})").alias("q")
+
+
+def _by_sorting(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles of groups none of which is too large for a task: keys, n, q. Rows are shuffled once and sorted by group and value."""
+    by = [col(k) for k in keys]
+    group = Window.partitionBy(*by)
+    placed = rows.select(*by, (F.col("v") + F.lit(0.0)).alias("v")).select(
+        *by, "v", F.row_number().over(group.orderBy("v")).alias("_at"), F.count(F.lit(1)).over(group).alias("n"))
+    wanted = F.transform(F.expr(ranks(probs)), lambda r: r + 1)
+    near = placed.where(F.array_contains(wanted, F.col("_at").cast("bigint")))
+    ends = near.groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_at").cast("bigint").alias("at"), "v"))).alias("_m"))
+    return ends.withColumn("_v", F.transform(wanted, lambda r: F.col("_m")[r])).select(*by, "n", _interpolated(probs))
+
+
+def selected(values: DataFrame, keys: list[str], probs: list[float], cfg: LensConfig = DEFAULT) -> DataFrame:
+    """Exact quantiles of v per group: keys, n, q (an array in the order of probs); NaN and null do not count.
+
+    A group without values has no row. Infinite values are the largest and smallest. -0 is 0. Groups of more than ``cfg.sorted_group_rows``
+    rows, of which there are few, are told by their size and go by radix selection; all others are sorted.
+    """
+    rows = values.where("v IS NOT NULL AND NOT isnan(v)")
+    sizes = rows.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > cfg.sorted_group_rows)
+    large = cut_lineage(sizes.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    n = large.count()
+    if not n:
+        return _by_sorting(rows, keys, probs)
+    on = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    sent = broadcast_if_small(large, n, cfg)
+    return _by_sorting(rows.join(sent, on, "left_anti"), keys, probs).unionByName(
+        _by_radix(rows.join(sent, on, "left_semi"), keys, probs, cfg))
+
+
+WHOLE = tuple(int(image(np.array([e]))[0]) for e in (-np.inf, np.inf))
+
+
+def _binned(values: DataFrame, spans: dict[int, list[tuple[int, int]]], bits: int) -> DataFrame:
+    """ord, parent, prefix, n, lo, hi: the values of columns within spans of images, counted by the leading bits of their distance from its start.
+
+    A task counts every span in arrays of 2^bits places. lo and hi are the images of the extremes; of the whole line, the ends of the place.
+    """
+    size = 1 << bits
+    shift = {(i, k): max(0, (hi - lo).bit_length() - bits) for i, parts in spans.items() for k, (lo, hi) in enumerate(parts)}
+    schema = "ord int, parent int, prefix bigint, n bigint, lo bigint, hi bigint"
+
+    def add(found: dict, table: pa.Table) -> None:
+        for i, parts in spans.items():
+            v = table.column(f"v{i}").to_numpy()
+            x = image(v[~np.isnan(v)] + 0.0)
+            for k, (lo, hi) in enumerate(parts):
+                mine = x if (lo, hi) == WHOLE else x[(x >= lo) & (x <= hi)]
+                if not len(mine):
+                    continue
+                if (i, k) not in found:
+                    found[i, k] = np.zeros(size, np.int64), np.full(size, WHOLE[1]), np.full(size, WHOLE[0])
+                n, low, high = found[i, k]
+                # unsigned, since the distance of two images may pass 63 bits
+                at = ((mine.view(np.uint64) - np.uint64(lo % 2**64)) >> np.uint64(shift[i, k])).astype(np.int64)
+                n += np.bincount(at, minlength=size)
+                if (lo, hi) != WHOLE:
+                    np.minimum.at(low, at, mine)
+                    np.maximum.at(high, at, mine)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, waiting, rows = {}, [], 0
+        for batch in batches:
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows * batch.num_columns >= BLOCK_VALUES:
+                add(found, pa.Table.from_batches(waiting))
+                waiting, rows = [], 0
+        if waiting:
+            add(found, pa.Table.from_batches(waiting))
+        for (i, k), (n, low, high) in found.items():
+            at = np.flatnonzero(n)
+            lo, hi = low[at], high[at]
+            if spans[i][k] == WHOLE:
+                start = [WHOLE[0] + (int(a) << shift[i, k]) for a in at]
+                lo, hi = np.array(start), np.array([min(s + (1 << shift[i, k]) - 1, WHOLE[1]) for s in start])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(np.full(len(at), k), pa.int32()),
+                                              pa.array(at), pa.array(n[at]), pa.array(lo), pa.array(hi)],
+                                             ["ord", "parent", "prefix", "n", "lo", "hi"])
+
+    found = values.select(*[f"v{i}" for i in spans]).mapInArrow(count, schema)
+    return found.groupBy("ord", "parent", "prefix").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _of_columns(values: DataFrame, probs: list[float]) -> dict[int, list[float]]:
+    """Quantiles of the columns v0, v1, ... that hold values; a few rows per column reach the driver after every pass."""
+    spark = values.sparkSession
+    counts = _binned(values, {i: [WHOLE] for i in range(len(values.columns))}, DIGIT_BITS)
+    total = counts.withColumn("n_all", F.sum("n").over(Window.partitionBy("ord")))
+    wanted = f"transform({ranks(probs).replace('(n - 1)', '(n_all - 1)')}, (r, i) -> named_struct('target', i, 'rank', r))"
+    rows = _pick(total, ["ord"], wanted, "n_all").collect()
+    sizes = {r["ord"]: r["n_all"] for r in rows}
+    known: dict[tuple[int, int], float] = {}
+    while True:
+        known |= {(r["ord"], r["target"]): from_image(r["lo"]) for r in rows if r["lo"] == r["hi"]}
+        spans: dict[int, list[tuple[int, int]]] = {}
+        asked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in (r for r in rows if r["lo"] < r["hi"]):
+            mine = spans.setdefault(r["ord"], [])
+            if (r["lo"], r["hi"]) not in mine:
+                mine.append((r["lo"], r["hi"]))
+            asked.setdefault((r["ord"], mine.index((r["lo"], r["hi"]))), []).append((r["target"], r["rank"]))
+        if not spans:
+            break
+        ask = spark.createDataFrame([(*k, v) for k, v in asked.items()], "ord int, parent int, _asked array<struct<target: int, rank: bigint>>")
+        finer = _binned(values, spans, FINE_BITS).join(F.broadcast(ask), ["ord", "parent"])
+        rows = _pick(finer, ["ord"], "_asked").collect()
+    out = {}
+    for i, n in sizes.items():
+        at = [p * (n - 1) for p in probs]
+        ends = [(known[i, 2 * k], known[i, 2 * k + 1]) for k in range(len(probs))]
+        out[i] = [lo if floor(a) == ceil(a) else (ceil(a) - a) * lo + (a - floor(a)) * hi for a, (lo, hi) in zip(at, ends)]
+    return out
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, str], probs: list[float],
                     cfg: LensConfig = DEFAULT) -> dict[str, list[float] | None]:
     """Quantiles of several numeric SQL expressions, by name; one short list per expression comes back, None without values.
 
-    Values become (column, value) rows inside the scan; wide tables go in blocks of columns.
+    Wide tables go in blocks of columns.
     """
     out: dict[str, list[float] | None] = dict.fromkeys(columns)
     names = list(columns)
     for start in range(0, len(names), cfg.columns_per_pass):
         block = names[start:start + cfg.columns_per_pass]
-        values = ", ".join(f"struct({i} AS ord, CAST({columns[n]} AS DOUBLE) AS v)" for i, n in enumerate(block))
-        for r in selected(df.selectExpr(f"inline(array({values}))"), ["ord"], probs, cfg).collect():
-            out[block[r["ord"]]] = list(r["q"])
+        values = df.selectExpr(*[f"CAST({columns[n]} AS DOUBLE) AS v{i}" for i, n in enumerate(block)])
+        out |= {block[i]: q for i, q in _of_columns(values, probs).items()}
     return out
 
 

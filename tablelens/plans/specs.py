@@ -15,7 +15,7 @@ from tablelens.operators import chart_data as cd
 from tablelens.operators.column_stats import NUMERIC_KINDS, kind_of
 from tablelens.operators.quantiles import grouped_median
 from tablelens.plans.sql_guard import check_sql
-from tablelens.sources.tables import CLEAN_VIEW
+from tablelens.sources.tables import CLEAN_VIEW, cut_lineage
 
 SPEC_SCHEMA = (
     "title string, chart_type string, business_question string, sql_query string, x_column string, y_column string, "
@@ -96,10 +96,11 @@ def strip_fences(c: Column) -> Column:
 
 def parse_responses(responses: DataFrame, key: str, text: str) -> DataFrame:
     """Response texts -> one row per spec: key, pos, spec fields. Malformed responses yield none."""
-    body = strip_fences(tx.col(text))
+    body = F.col("_body")
     parsed = F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, f"charts array<struct<{_struct_fields()}>>"))
-    return responses.select(tx.col(key), parsed.alias("r")).where("r.charts IS NOT NULL").select(
-        tx.col(key), F.posexplode("r.charts").alias("pos", "s")).select(tx.col(key), "pos", "s.*")
+    # the outer form, because the plain one has a filter inferred that parses every response again
+    return responses.select(tx.col(key), strip_fences(tx.col(text)).alias("_body")).select(
+        tx.col(key), F.posexplode_outer(parsed["charts"]).alias("pos", "s")).where("pos IS NOT NULL").select(tx.col(key), "pos", "s.*")
 
 
 def _struct_fields() -> str:
@@ -108,7 +109,7 @@ def _struct_fields() -> str:
 
 def accept_responses(responses: DataFrame, key: str, text: str, cfg: LensConfig = DEFAULT) -> DataFrame:
     """Specs of the responses that are valid as a whole: every spec passes and their number is allowed."""
-    checked = validate_specs(parse_responses(responses, key, text))
+    checked = cut_lineage(validate_specs(parse_responses(responses, key, text)))  # used twice, and dear to parse
     good = checked.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("violations")).alias("worst"),
     ).where((F.col("worst") == 0) & F.col("n").between(cfg.min_specs, cfg.max_specs)).select(key)

@@ -49,3 +49,19 @@ def test_a_task_hands_on_what_hardly_combines(rows, monkeypatch):
     found = {r["k"]: r["q"][0] for r in qu._by_radix(rows.select("k", "v"), ["k"], [0.5], LensConfig()).collect()}
     want = pdf.groupby("k", dropna=False)["v"].median()
     assert found == {None if k != k or k is None else k: pytest.approx(m, rel=1e-12) for k, m in want.items()}
+
+
+def _optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_response_is_parsed_once(spark):
+    from tablelens.plans import specs as sp
+
+    one = '{"title": "Rows", "chart_type": "bar"}'
+    texts = [f'```json\n{{"charts": [{one}, {one}]}}\n```', '{"charts": []}', '{"charts": null}', '{"charts": [null]}', '{"other": 1}', "{", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    parsed = sp.parse_responses(df, "k", "t")
+    assert _optimised(parsed).count("from_json") == 1
+    assert [(r["k"], r["pos"], r["title"]) for r in parsed.orderBy("k", "pos").collect()] == [(0, 0, "Rows"), (0, 1, "Rows"), (3, 0, None)]
+    assert "from_json" not in _optimised(sp.accept_responses(df, "k", "t"))  # both uses read what was parsed once

@@ -322,7 +322,9 @@ def _responses(spark, sf_dir):
     charts = ", ".join(one.format(*a) for a in (("'A '", "'bar'", "'a'"), ("CASE WHEN c_acctbal < 0 THEN repeat('z', 90) ELSE 'B ' END",
                                                                           "'histogram'", "'b'"), ("'C '", "'bar'", "'c'")))
     body = f"to_json(named_struct('charts', array({charts})))"
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_wrapped(body)} AS response")
+    # a customer is a few bytes in the file, so that a split holds millions, but its response takes long to write and parse
+    dealt = table(spark, sf_dir, "customer").repartition(3 * spark.sparkContext.defaultParallelism, "c_custkey")
+    return dealt.selectExpr("c_custkey", f"{_wrapped(body)} AS response")
 
 
 _PARSED_SQL = """(SELECT c_custkey, CAST(p AS INTEGER) AS pos, CASE p WHEN 0 THEN concat('A ', c_name) WHEN 2 THEN concat('C ', c_name)

@@ -284,7 +284,7 @@ def _with_examples(df: DataFrame, decided: DataFrame, rows: list) -> DataFrame:
 def clean(df: DataFrame, cfg: LensConfig = DEFAULT, check_rows: bool = True) -> Cleaned:
     """Screen and clean a table. One wide scan for the statistics, then one each for fences and duplicate rows."""
     df = without_nan(df)
-    decided = pin_small(decide(column_stats(df, cfg, quartiles=False), repeated_names(df.columns), cfg))
+    decided = pin_small(decide(column_stats(df, cfg, quartiles=False, sketches=False), repeated_names(df.columns), cfg))
     rows = decided.orderBy("ord").collect()
     table = project(df, rows)
     kept = set(table.columns)

@@ -140,43 +140,53 @@ def _by_column(plain: DataFrame, sketched: DataFrame, sketches: dict[str, str])
     return plain.join(sketched.groupBy("ord").agg(*_named(sketches)), "ord")
 
 
-def _text_stats(df: DataFrame, columns: dict[int, T.StructField], text_rules: bool) -> DataFrame:
+def _text_ends(df: DataFrame, columns: dict[int, T.StructField]) -> DataFrame:
+    """ord, single_value, min_text, max_text: extremes of texts side by side, in generated code; by column they would be interpreted or sorted."""
+    ends = df.agg(*[F.expr(f"{m}({tx.ident(f.name)}) AS {m}{i}") for i, f in columns.items() for m in ("min", "max")])
+    return _long(ends, [f"struct({i} AS ord, min{i} = max{i} AS single_value, min{i} AS min_text, max{i} AS max_text)" for i in columns])
+
+
+def _text_stats(df: DataFrame, columns: dict[int, T.StructField], text_rules: bool, sketches: bool) -> DataFrame:
     """Values are counted by column and flag word, of which there are few, and every count is a sum over these rows."""
     values = _long(df, [f"struct({i} AS ord, {tx.ident(f.name)} AS t)" for i, f in columns.items()])
-    sketches = {"approx_distinct": approx_distinct("t"), "single_value": "min(t) = max(t)",
-                "min_text": "min(t)", "max_text": "max(t)"}
+    ends = {"approx_distinct": approx_distinct("t"), "single_value": "min(t) = max(t)", "min_text": "min(t)", "max_text": "max(t)"}
     flags = _flag_word("t") if text_rules else "CASE WHEN t IS NOT NULL THEN 0 END"
     histogram = values.selectExpr("ord", f"{flags} AS f", "length(t) AS size").groupBy("ord", "f").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
     counts = {"rows": "sum(n)", "nulls": "sum(CASE WHEN f IS NULL THEN n ELSE 0 END)",
               "avg_length": "try_divide(CAST(sum(chars) AS DOUBLE), sum(CASE WHEN f IS NOT NULL THEN n END))"}
     counts |= _text_aggs() if text_rules else {}
-    return _by_column(histogram.groupBy("ord").agg(*_named(counts)), values, sketches)
+    plain = histogram.groupBy("ord").agg(*_named(counts))
+    return _by_column(plain, values, ends) if sketches else plain.join(_text_ends(df, columns), "ord")
 
 
-def _value_stats(df: DataFrame, columns: dict[int, T.StructField], quartiles: bool, cfg: LensConfig) -> DataFrame:
+def _value_stats(df: DataFrame, columns: dict[int, T.StructField], quartiles: bool, sketches: bool, cfg: LensConfig) -> DataFrame:
     """Everything but text: numbers and booleans as double, dates as timestamp, and a hash for all types."""
-    structs, marks = [], []
+    structs, marks, apart = [], [], quartiles or sketches
     for i, f in columns.items():
         kind = kind_of(f.dataType)
         c = finite(tx.ident(f.name), f.dataType)
         num = f"CAST({c} AS DOUBLE)" if kind in NUMERIC_KINDS or kind == "boolean" else "CAST(NULL AS DOUBLE)"
         ts = f"CAST({c} AS TIMESTAMP_NTZ)" if kind == "datetime" else "CAST(NULL AS TIMESTAMP_NTZ)"
         mark = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({', '.join(hash_parts(c, f.dataType))}) END"
-        structs.append(f"struct({i} AS ord, {num} AS num, {ts} AS ts, {c} IS NULL AS missing)")
+        structs.append(f"struct({i} AS ord, {num} AS num, {ts} AS ts, {c} IS NULL AS missing"
+                       + (")" if apart else f", {mark} AS h)"))
         marks.append(f"struct({i} AS ord, {mark} AS h" + (f", {num} AS num)" if quartiles else ")"))
     plain = {
         "rows": "count(1)", "nulls": "count_if(missing)",
         "min_num": "min(num)", "max_num": "max(num)", "mean": "avg(num)", "std": "stddev_samp(num)",
         "skewness": sample_skewness("num"), "min_ts": "min(ts)", "max_ts": "max(ts)",
     }
-    sketches = {
-        "approx_distinct": approx_distinct("h"), "single_value": "min(h) = max(h)",
-        "q": f"percentile_approx(num, array(0.25, 0.5, 0.75), {cfg.quantile_accuracy})" if quartiles
-             else "CAST(NULL AS ARRAY<DOUBLE>)",
-    }
-    moments = _long(df, structs).groupBy("ord").agg(*_named(plain))
-    return _by_column(moments, _long(df, marks), sketches).selectExpr(
+    single = {"single_value": "min(h) = max(h)"}
+    moments = _long(df, structs).groupBy("ord").agg(*_named(plain if apart else plain | single))
+    if apart:
+        found = single | ({"approx_distinct": approx_distinct("h")} if sketches else {})
+        if quartiles:
+            found["q"] = f"percentile_approx(num, array(0.25, 0.5, 0.75), {cfg.quantile_accuracy})"
+        moments = _by_column(moments, _long(df, marks), found)
+    if not quartiles:
+        moments = moments.withColumn("q", F.lit(None).cast("array<double>"))
+    return moments.selectExpr(
         "*", "q[0] AS q1", "q[1] AS median", "q[2] AS q3", "timestampdiff(DAY, min_ts, max_ts) AS span_days")
 
 
@@ -184,7 +194,9 @@ def _as_stats(stats: DataFrame, schema: DataFrame) -> DataFrame:
     """The aggregates as rows with all STATS_FIELDS, one for every column of the schema, also of an empty table."""
     have = set(stats.columns) | {"type", "kind", "column"}
     known = {"rows": "coalesce(rows, 0)", "nulls": "coalesce(nulls, 0)",
-             "approx_distinct": "coalesce(approx_distinct, 0)", "single_value": "coalesce(single_value, false)"}
+             "single_value": "coalesce(single_value, false)"}
+    if "approx_distinct" in have:
+        known["approx_distinct"] = "coalesce(approx_distinct, 0)"
     if "num" in have or "min_num" in have:
         known |= {n: f"CASE WHEN kind <> 'boolean' THEN {n} END"
                   for n in ("min_num", "max_num", "mean", "std", "skewness", "q1", "median", "q3")}
@@ -203,9 +215,10 @@ def _as_stats(stats: DataFrame, schema: DataFrame) -> DataFrame:
         for n, t in STATS_FIELDS.items()])
 
 
-def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = True, quartiles: bool = True) -> DataFrame:
+def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = True, quartiles: bool = True,
+                 sketches: bool = True) -> DataFrame:
     """One row per column. Counts, moments and extremes are exact; distinct counts and quartiles are sketches
-    (without ``quartiles`` they stay empty, for callers that compute exact ones).
+    (without ``sketches`` and ``quartiles`` they stay empty, for callers that compute exact ones or need none; generated code then does all).
 
     Values are turned into (column, value) rows inside the scan and aggregated by column before the shuffle, so the
     generated code does not grow with the width of the table. Text and other columns, and blocks of columns in a
@@ -218,24 +231,33 @@ def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = Tr
     for group, is_text in ((other, False), (text, True)):
         for start in range(0, len(group), cfg.columns_per_pass):
             block = {i: fields[i] for i in group[start:start + cfg.columns_per_pass]}
-            stats = _text_stats(df, block, text_rules) if is_text else _value_stats(df, block, quartiles, cfg)
+            stats = _text_stats(df, block, text_rules, sketches) if is_text else _value_stats(df, block, quartiles, sketches, cfg)
             names = [(i, f.name, f.dataType.simpleString(), kind_of(f.dataType)) for i, f in block.items()]
             schema = df.sparkSession.createDataFrame(names, "ord int, column string, type string, kind string")
             parts.append(_as_stats(stats, schema))
     return reduce(DataFrame.unionByName, parts)
 
 
+# types of at most eight bytes, which the 64-bit hash maps one to one
+SHORT_TYPES = (*INTEGER_TYPES, T.FloatType, T.DoubleType, T.BooleanType, *DATE_TYPES)
+
+
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exact distinct non-null values per column: (column, 128-bit fingerprint) rows, made distinct once and counted."""
+    """Exact distinct non-null values per column: (column, 128-bit fingerprint) rows, made distinct once and counted.
+
+    Nulls have no first hash and are left out after the rows unfold: a filter within the array would be interpreted for every value.
+    """
     if not columns:
         return {}
     types = {f.name: f.dataType for f in df.schema}
     marks = []
     for i, name in enumerate(columns):
         c = finite(tx.ident(name), types[name])
-        parts = ", ".join(hash_parts(c, types[name]))
-        marks.append(f"CASE WHEN {c} IS NOT NULL THEN struct({i} AS ord, xxhash64(11, {parts}) AS h1, xxhash64(23, {parts}) AS h2) END")
-    values = df.selectExpr(f"inline(filter(array({', '.join(marks)}), m -> m IS NOT NULL))").distinct()
+        short = isinstance(types[name], SHORT_TYPES)
+        parts = c if short else ", ".join(hash_parts(c, types[name]))
+        second = "0L" if short else f"xxhash64(23, {parts})"
+        marks.append(f"struct({i} AS ord, CASE WHEN {c} IS NOT NULL THEN xxhash64(11, {parts}) END AS h1, {second} AS h2)")
+    values = _long(df, marks).where("h1 IS NOT NULL").distinct()
     found = {r["ord"]: r["n"] for r in values.groupBy("ord").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {c: found.get(i, 0) for i, c in enumerate(columns)}
 
@@ -286,10 +308,14 @@ def with_outliers(df: DataFrame, stats: DataFrame, k: float, cfg: LensConfig = D
                         "lower double, upper double, n_outside bigint")
 
 
-def pinned_stats(df: DataFrame, cfg: LensConfig = DEFAULT, distinct: str = "exact", exact_quartiles: bool = True,
+def pinned_stats(df: DataFrame, cfg: LensConfig = DEFAULT, distinct: str = "exact", exact_quartiles: bool | None = True,
                  text_rules: bool = True, outlier_k: float | None = None) -> DataFrame:
-    """column_stats with the chosen refinements, run once and kept as a small local table."""
-    stats = with_distinct(df, pin_small(column_stats(df, cfg, text_rules, quartiles=not exact_quartiles)), distinct, cfg)
+    """column_stats with the chosen refinements, run once and kept as a small local table.
+
+    Quartiles are exact, sketched (False) or, for callers that need none, empty (None).
+    """
+    stats = pin_small(column_stats(df, cfg, text_rules, quartiles=exact_quartiles is False, sketches=distinct == "approx"))
+    stats = with_distinct(df, stats, distinct, cfg)
     if exact_quartiles:
         stats = with_exact_quartiles(df, stats, cfg)
     if outlier_k is not None:

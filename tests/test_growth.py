@@ -65,3 +65,38 @@ def test_a_response_is_parsed_once(spark):
     assert _optimised(parsed).count("from_json") == 1
     assert [(r["k"], r["pos"], r["title"]) for r in parsed.orderBy("k", "pos").collect()] == [(0, 0, "Rows"), (0, 1, "Rows"), (3, 0, None)]
     assert "from_json" not in _optimised(sp.accept_responses(df, "k", "t"))  # both uses read what was parsed once
+
+
+def test_statistics_without_sketches(spark):
+    from tablelens.operators.cleaning import clean
+    from tablelens.operators.column_stats import column_stats, pinned_stats
+
+    df = spark.createDataFrame([(i % 7, float(i) if i % 3 else None, f"t{i % 9}", "same", None, i % 2 == 0) for i in range(100)],
+                               "a int, b double, s string, c string, e string, f boolean")
+    left_out = {"approx_distinct", "q1", "median", "q3"}
+    with_, without = (column_stats(df, quartiles=k, sketches=k).orderBy("ord") for k in (True, False))
+    assert "hll_sketch" not in _optimised(without) and "percentile" not in _optimised(without)
+    plain = [{n: v for n, v in r.asDict().items() if n not in left_out} for r in without.collect()]
+    assert plain == [{n: v for n, v in r.asDict().items() if n not in left_out} for r in with_.collect()]
+    assert all(r[n] is None for r in without.collect() for n in left_out)
+    kept = {r["column"]: r["kept"] for r in clean(df).decisions.collect()}
+    assert kept == {"a": True, "b": True, "s": True, "c": False, "e": False, "f": True}
+    assert [r["n_distinct"] for r in pinned_stats(df, exact_quartiles=None).orderBy("ord").collect()] == [7, 66, 9, 1, 0, 2]
+
+
+def test_statistics_without_sketches_of_an_empty_table(spark):
+    from tablelens.operators.column_stats import column_stats
+
+    rows = column_stats(spark.createDataFrame([], "a int, s string"), quartiles=False, sketches=False).orderBy("ord").collect()
+    assert [(r["rows"], r["nulls"], r["single_value"], r["min_text"]) for r in rows] == [(0, 0, False, None)] * 2
+
+
+def test_distinct_values_unfold_in_generated_code(spark):
+    from datetime import date, datetime
+
+    from tablelens.operators.column_stats import distinct_counts
+
+    rows = [(i % 5 - 2, float(i % 3) * (-1) ** i, bool(i % 2), date(2020, 1, 1 + i % 4), datetime(2020, 1, 1, i % 6), "t" + str(i % 8), [i % 2, None], None)
+            for i in range(60)] + [(None, float("nan"), None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a bigint, b double, c boolean, d date, t timestamp_ntz, s string, l array<int>, z int")
+    assert distinct_counts(df, df.columns) == {"a": 5, "b": 5, "c": 2, "d": 4, "t": 6, "s": 8, "l": 2, "z": 0}

@@ -135,7 +135,7 @@ def semantic_types(spark, sf_dir):
     frames = {t: table(spark, sf_dir, t) for t in _KINDS}
     frames["yes_no"] = frames["lineitem"].select(F.when(F.col("l_linestatus") == "F", "yes").otherwise("no").alias("yes_no"))
     with ThreadPool(4) as pool:  # small tables do not fill the cores, so a few are profiled at a time
-        stats = pool.map(lambda df: pinned_stats(df, exact_quartiles=False), frames.values())
+        stats = pool.map(lambda df: pinned_stats(df, exact_quartiles=None), frames.values())
     return union([s.select(F.lit(t).alias("table_name"), "column", pf.semantic_type().alias("semantic_type"))
                   for t, s in zip(frames, stats)])
 
@@ -146,7 +146,7 @@ SELECT t.semantic_type, coalesce(string_agg("column", ',' ORDER BY "column"), ''
 FROM (VALUES ('numeric'), ('categorical'), ('datetime'), ('boolean'), ('text'), ('identifier')) t(semantic_type)
 LEFT JOIN k USING (semantic_type) GROUP BY t.semantic_type""")
 def semantic_type_summary(spark, sf_dir):
-    stats = pinned_stats(table(spark, sf_dir, "customer"), exact_quartiles=False)
+    stats = pinned_stats(table(spark, sf_dir, "customer"), exact_quartiles=None)
     typed = stats.select("ord", "column", pf.semantic_type().alias("semantic_type"))
     return pf.columns_by_type(typed).select("semantic_type", F.array_join(F.array_sort("columns"), ",").alias("columns"))
 

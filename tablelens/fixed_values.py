@@ -24,18 +24,40 @@ NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 DUPLICATE_NAME_SUFFIX = r"\.\d+$"
 PLAIN_IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
 
-# --- date text: (format, shape, rewrite to ISO), in order of preference
+# --- date text: (format, shape, rewrite to ISO), in order of preference; shapes have no month or day out of range, as failing casts are slow
+_MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
 DATE_FORMATS = (
-    ("yyyy-MM-dd[ HH:mm:ss]", r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$", None),
-    ("dd/MM/yyyy", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
-    ("MM/dd/yyyy", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
-    ("dd-MM-yyyy", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
-    ("yyyyMMdd", r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-    ("yyyy/MM/dd", r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    ("yyyy-MM-dd[ HH:mm:ss]", rf"^\d{{4}}-{_MONTH}-{_DAY}([ T]\d{{1,2}}:\d{{2}}(:\d{{2}}(\.\d{{1,6}})?)?)?$", None),
+    ("dd/MM/yyyy", rf"^{_DAY}/{_MONTH}/(\d{{4}})$", "$3-$2-$1"),
+    ("MM/dd/yyyy", rf"^{_MONTH}/{_DAY}/(\d{{4}})$", "$3-$1-$2"),
+    ("dd-MM-yyyy", rf"^{_DAY}-{_MONTH}-(\d{{4}})$", "$3-$2-$1"),
+    ("yyyyMMdd", r"^(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$", "$1-$2-$3"),
+    ("yyyy/MM/dd", rf"^(\d{{4}})/{_MONTH}/{_DAY}$", "$1-$2-$3"),
     ("yyyy-MM-dd'T'HH:mm:ssXXX", r"^(\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?) ?(Z|[+-]\d{2}:?\d{2})$", "$1"),
-    ("MM/dd/yyyy HH:mm[:ss]", r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}:\d{2}(:\d{2})?)$", "$3-$1-$2 $4"),
+    ("MM/dd/yyyy HH:mm[:ss]", rf"^{_MONTH}/{_DAY}/(\d{{4}}) (\d{{1,2}}:\d{{2}}(:\d{{2}})?)$", "$3-$1-$2 $4"),
 )
 
+# dates alone that exist in the calendar: what parsing them by shape and casting would accept, as one pattern
+_LEAP = r"(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+
+
+def _existing(year_first: bool, month_first: bool, mark: str, zero: str) -> str:
+    def order(year: str, month: str, day: str) -> str:
+        both = f"{month}{mark}{day}" if month_first else f"{day}{mark}{month}"
+        return f"{year}{mark}{both}" if year_first else f"{both}{mark}{year}"
+
+    one = [order(r"\d{4}", f"(?:{zero}[1-9]|1[0-2])", f"(?:{zero}[1-9]|1\\d|2[0-8])"),
+           order(r"\d{4}", f"(?:{zero}[13-9]|1[0-2])", "(?:29|30)"),
+           order(r"\d{4}", f"(?:{zero}[13578]|1[02])", "31"), order(_LEAP, f"{zero}2", "29")]
+    return f"^(?:{'|'.join(one)})(?:\\r\\n|[\\r\\n])?\\z"
+
+
+EXISTING_DATES = {
+    "dd/MM/yyyy": _existing(False, False, "/", "0?"), "MM/dd/yyyy": _existing(False, True, "/", "0?"),
+    "dd-MM-yyyy": _existing(False, False, "-", "0?"), "yyyyMMdd": _existing(True, True, "", "0"),
+    "yyyy/MM/dd": _existing(True, True, "/", "0?"),
+}
+
 # --- specs
 CHART_TYPES = ("bar", "line", "scatter", "histogram", "heatmap", "box")
 AGGREGATIONS = ("COUNT", "AVG", "SUM", "MEDIAN", "MIN", "MAX", "NONE")

@@ -16,7 +16,7 @@ from tablelens import fixed_values as fv
 from tablelens.config import DEFAULT, LensConfig
 from tablelens.functions import text as tx
 from tablelens.operators.column_stats import (
-    NUMERIC_KINDS, column_stats, comparable, fences, hash_parts,
+    NUMERIC_KINDS, column_stats, comparable, fences, hash_parts, text_ends,
 )
 from tablelens.operators.quantiles import exact_quantiles
 from tablelens.sources.tables import CLEAN_VIEW, broadcast_if_small, cut_lineage, pin_small, register, without_nan
@@ -75,17 +75,21 @@ def row_groups(df: DataFrame, cfg: LensConfig = DEFAULT, marks: Callable[[DataFr
     rows whose fingerprint occurs again are compared by their whole content, again combined before the shuffle.
     """
     marked = df.select(F.struct(*[tx.col(c) for c in df.columns]).alias("row"), *[m.alias(f"h{i}") for i, m in enumerate(marks(df))])
-    counts = cut_lineage(marked.select("h0", "h1").groupBy("h0", "h1").count())
-    repeated = counts.where("count > 1").select(F.col("h0").alias("k0"), F.col("h1").alias("k1"))
-    known = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count_if(F.col("count") == 1).alias("single"),
-                       F.count_if(F.col("count") > 1).alias("several")).first()
+    counts = marked.select("h0", "h1").groupBy("h0", "h1").count()
+    again = F.col("count") > 1
+    # fingerprints that occur again, and one row (without a key) for all that do not: only these are kept
+    kept = cut_lineage(counts.groupBy(F.when(again, F.col("h0")).alias("k0"), F.when(again, F.col("h1")).alias("k1")).agg(
+        F.sum("count").alias("rows"), F.count(F.lit(1)).alias("marks")))
+    repeated = kept.where("k0 IS NOT NULL").select("k0", "k1")
+    known = kept.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.expr("CASE WHEN k0 IS NULL THEN marks END")), F.lit(0)).alias("single"),
+                     F.count("k0").alias("several")).first()
     zero = F.lit(0).cast("bigint")
     if not known["several"]:
         return df.sparkSession.range(1).select(F.lit(known["rows"]).cast("bigint").alias("rows"), F.lit(known["single"]).cast("bigint").alias("distinct_rows"),
                                                zero.alias("duplicate_rows"), zero.alias("duplicate_groups"))
-    again = marked.join(broadcast_if_small(repeated, known["several"], cfg), (F.col("h0") == F.col("k0")) & (F.col("h1") == F.col("k1")), "left_semi")
+    copies = marked.join(broadcast_if_small(repeated, known["several"], cfg), (F.col("h0") == F.col("k0")) & (F.col("h1") == F.col("k1")), "left_semi")
     values = [tx.sql(comparable(f"row.{tx.ident(f.name)}", f.dataType)) for f in df.schema]
-    compared = again.groupBy(*[v.alias(f"v{i}") for i, v in enumerate(values)]).count()
+    compared = copies.groupBy(*[v.alias(f"v{i}") for i, v in enumerate(values)]).count()
     return compared.agg(
         F.lit(known["rows"]).cast("bigint").alias("rows"),
         (F.count(F.lit(1)) + F.lit(known["single"])).alias("distinct_rows"),
@@ -216,12 +220,14 @@ def column_findings(decided: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
             .select("f.rank", "f.ord", "step", "f.column", "f.rule", "f.detail", "f.n"))
 
 
-def extreme_outliers(df: DataFrame, columns: dict[str, str], cfg: LensConfig = DEFAULT) -> DataFrame:
+def extreme_outliers(df: DataFrame, columns: dict[str, str], cfg: LensConfig = DEFAULT,
+                     ends: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Exact quartiles, 3-IQR fences, extremes and counts outside, for numeric SQL expressions with a spread.
 
     The extremes are the quantiles 0 and 1, so that one selection gives them with the quartiles; the counts take one more scan.
+    ``ends`` are minima and maxima that are known already.
     """
-    found = exact_quantiles(df, columns, [0.0, 0.25, 0.75, 1.0], cfg)
+    found = exact_quantiles(df, columns, [0.0, 0.25, 0.75, 1.0], cfg, ends)
     quartiles = {n: q[1:3] for n, q in found.items() if q and q[2] > q[1]}
     schema = ("column string, q1 double, q3 double, lower double, upper double, min_num double, max_num double, "
               "n_outside bigint")
@@ -270,9 +276,28 @@ def assemble_report(findings: DataFrame) -> DataFrame:
         "r.rule", "r.issue", "r.detail", "r.n")
 
 
-def _with_examples(df: DataFrame, decided: DataFrame, rows: list) -> DataFrame:
-    """min_text of amount columns becomes the smallest text that casts and is no sentinel word."""
-    amounts = [r["column"] for r in rows if r["action"] == "currency"]
+def screen(df: DataFrame, cfg: LensConfig = DEFAULT) -> DataFrame:
+    """The decisions on a table's columns, kept as a small local table.
+
+    Whether a text column has a single value is first told by hashes, in the scan that counts texts. Extremes of texts, which cost far more, are
+    then taken only of the columns for which a hash says so, to be certain, and of amounts, which show an example; others have none.
+    """
+    repeated = repeated_names(df.columns)
+    stats = pin_small(column_stats(df, cfg, quartiles=False, sketches=False, ends=False))
+    asked = [r["ord"] for r in decide(stats, repeated, cfg).collect()
+             if r["kind"] == "string" and (r["single_value"] or r["action"] == "currency")]
+    if asked:
+        ends = pin_small(text_ends(df, {i: df.schema[i] for i in asked}))
+        names = ("single_value", "min_text", "max_text")
+        seen = ends.select("ord", *[F.col(n).alias(f"_{n}") for n in names])
+        stats = stats.join(F.broadcast(seen), "ord", "left").withColumns({n: F.coalesce(f"_{n}", n) for n in names}).drop(*[f"_{n}" for n in names])
+    return pin_small(decide(stats, repeated, cfg))
+
+
+def _with_examples(df: DataFrame, decided: DataFrame) -> DataFrame:
+    """min_text of amount columns becomes the smallest text that casts and is no sentinel word; often the smallest of all is one."""
+    fits = f"coalesce({tx.casts_as_currency('min_text')} AND NOT {tx.is_sentinel('min_text')}, false)"
+    amounts = [r["column"] for r in decided.where("action = 'currency'").where(f"NOT ({fits})").orderBy("ord").collect()]
     if not amounts:
         return decided
     seen = df.agg(*[F.expr(f"min(CASE WHEN {tx.casts_as_currency(tx.ident(c))} AND NOT {tx.is_sentinel(tx.ident(c))} "
@@ -284,15 +309,17 @@ def _with_examples(df: DataFrame, decided: DataFrame, rows: list) -> DataFrame:
 def clean(df: DataFrame, cfg: LensConfig = DEFAULT, check_rows: bool = True) -> Cleaned:
     """Screen and clean a table. One wide scan for the statistics, then one each for fences and duplicate rows."""
     df = without_nan(df)
-    decided = pin_small(decide(column_stats(df, cfg, quartiles=False, sketches=False), repeated_names(df.columns), cfg))
+    decided = screen(df, cfg)
     rows = decided.orderBy("ord").collect()
     table = project(df, rows)
     kept = set(table.columns)
     numeric = {r["column"]: _cleaned_column(r) for r in rows if r["column"] in kept
                and (r["kind"] in NUMERIC_KINDS or r["action"] == "number")}
-    findings = column_findings(_with_examples(df, decided, rows), cfg)
+    findings = column_findings(_with_examples(df, decided), cfg)
     if numeric:
-        findings = findings.unionByName(_outlier_findings(extreme_outliers(df, numeric, cfg), decided, cfg))
+        ends = {r["column"]: (r["min_num"], r["max_num"]) for r in rows if r["column"] in numeric and r["kind"] in NUMERIC_KINDS
+                and r["min_num"] is not None}
+        findings = findings.unionByName(_outlier_findings(extreme_outliers(df, numeric, cfg, ends), decided, cfg))
     if check_rows:
         findings = findings.unionByName(_row_findings(row_groups(df.select(*[tx.col(c) for c in table.columns]), cfg)))
     report = pin_small(assemble_report(findings))

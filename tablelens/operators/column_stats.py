@@ -84,24 +84,38 @@ SENTINEL, CURRENCY, CAST, NUMBER, BOOLEAN = 1, 2, 4, 8, 16
 DATES = [32 << i for i in range(len(DATE_FORMAT_NAMES))]
 
 
-def _flag_word(c: str) -> str:
-    """All flags of a value in one integer, so that each value is examined once however many counts use it."""
+# what the first characters and one pattern tell of a text, so that it meets few further patterns
+NO_FIGURE, PLAIN, YEAR_FIRST, YEAR_LAST, FIGURE = range(5)
+
+
+def _look(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN NOT ({tx.may_be_number_or_date(c)}) THEN {NO_FIGURE} WHEN {tx.is_plain_number(c)} THEN {PLAIN} "
+            f"WHEN {tx.starts_like_date(c)} THEN CASE WHEN {tx.year_first(c)} THEN {YEAR_FIRST} ELSE {YEAR_LAST} END ELSE {FIGURE} END")
+
+
+def _flag_word(c: str, look: str) -> str:
+    """All flags of a value in one integer, so that each value is examined once however many counts use it; null for a null.
+
+    Each test stands here once: generated code of more than 8,000 bytes would not be compiled but interpreted.
+    """
     def bit(test: str, value: int) -> str:
         return f"CASE WHEN {test} THEN {value} ELSE 0 END"
 
-    words = f"{bit(tx.is_sentinel(c), SENTINEL)} + {bit(tx.is_boolean_word(c), BOOLEAN)}"
-    dates = {f: bit(f"{tx.parse_date(c, f)} IS NOT NULL", v) for f, v in zip(DATE_FORMAT_NAMES, DATES)}
-    # the first characters tell numbers from dates with marks, and those by the place of the year; so a value meets few patterns
-    plain = " + ".join(d for f, d in dates.items() if not any(m in f for m in "/-"))
-    by_year = [" + ".join(d for f, d in dates.items() if any(m in f for m in "/-") and f.startswith("yyyy") == first)
-               for first in (True, False)]
-    shaped = (f"CASE WHEN {tx.is_plain_number(c)} THEN {CURRENCY + CAST + NUMBER} + {plain} "
-              f"WHEN {tx.starts_like_date(c)} THEN CASE WHEN {tx.year_first(c)} THEN {by_year[0]} ELSE {by_year[1]} END "
-              f"ELSE {bit(tx.looks_like_currency(c), CURRENCY)} + CASE WHEN {tx.casts_as_currency(c)} "
-              f"THEN {CAST} + {bit(tx.casts_as_number(c), NUMBER)} + {plain} ELSE 0 END END")
-    return (f"CASE WHEN {c} IS NULL THEN NULL ELSE "
-            f"CASE WHEN {tx.could_be_listed_word(c)} THEN {words} ELSE 0 END + "
-            f"CASE WHEN {tx.may_be_number_or_date(c)} THEN {shaped} ELSE 0 END END")
+    def dates(*which: str) -> str:
+        return " + ".join(bit(tx.is_date(c, f), DATES[DATE_FORMAT_NAMES.index(f)]) for f in which)
+
+    marked = [f for f in DATE_FORMAT_NAMES if any(m in f for m in "/-")]
+    # of plain numbers only single digits are listed words, and a listed word is a sentinel or a boolean; a sign excludes an amount, a currency symbol a number
+    words = (f"CASE WHEN ({look} IN ({NO_FIGURE}, {FIGURE}) OR length({c}) = 1) AND {tx.could_be_listed_word(c)} AND {tx.is_listed_word(c)} "
+             f"THEN CASE WHEN {tx.is_boolean_word(c)} THEN {BOOLEAN} ELSE {SENTINEL} END ELSE 0 END")
+    figure = (f"CASE {look} WHEN {PLAIN} THEN CASE WHEN ascii({c}) BETWEEN 48 AND 57 THEN {CURRENCY + CAST + NUMBER} "
+              f"WHEN ascii({c}) IN (43, 45) THEN {CAST + NUMBER} ELSE {CURRENCY + CAST} END "
+              f"WHEN {FIGURE} THEN {bit(tx.looks_like_currency(c), CURRENCY)} + CASE WHEN {tx.casts_as_currency(c)} "
+              f"THEN {CAST} + {bit(tx.casts_as_number(c), NUMBER)} ELSE 0 END "
+              f"WHEN {YEAR_FIRST} THEN {dates(*[f for f in marked if f.startswith('yyyy')])} "
+              f"WHEN {YEAR_LAST} THEN {dates(*[f for f in marked if not f.startswith('yyyy')])} ELSE 0 END")
+    digits = f"CASE WHEN {look} IN ({PLAIN}, {FIGURE}) AND length({c}) >= 8 THEN {dates(*[f for f in DATE_FORMAT_NAMES if f not in marked])} ELSE 0 END"
+    return f"CASE WHEN {look} IS NOT NULL THEN {words} + {figure} + {digits} END"
 
 
 def _text_aggs() -> dict[str, str]:
@@ -140,24 +154,31 @@ def _by_column(plain: DataFrame, sketched: DataFrame, sketches: dict[str, str])
     return plain.join(sketched.groupBy("ord").agg(*_named(sketches)), "ord")
 
 
-def _text_ends(df: DataFrame, columns: dict[int, T.StructField]) -> DataFrame:
+def text_ends(df: DataFrame, columns: dict[int, T.StructField]) -> DataFrame:
     """ord, single_value, min_text, max_text: extremes of texts side by side, in generated code; by column they would be interpreted or sorted."""
     ends = df.agg(*[F.expr(f"{m}({tx.ident(f.name)}) AS {m}{i}") for i, f in columns.items() for m in ("min", "max")])
     return _long(ends, [f"struct({i} AS ord, min{i} = max{i} AS single_value, min{i} AS min_text, max{i} AS max_text)" for i in columns])
 
 
-def _text_stats(df: DataFrame, columns: dict[int, T.StructField], text_rules: bool, sketches: bool) -> DataFrame:
+def _text_stats(df: DataFrame, columns: dict[int, T.StructField], text_rules: bool, sketches: bool, ends: bool) -> DataFrame:
     """Values are counted by column and flag word, of which there are few, and every count is a sum over these rows."""
+    hashed = not (sketches or ends)
     values = _long(df, [f"struct({i} AS ord, {tx.ident(f.name)} AS t)" for i, f in columns.items()])
-    ends = {"approx_distinct": approx_distinct("t"), "single_value": "min(t) = max(t)", "min_text": "min(t)", "max_text": "max(t)"}
-    flags = _flag_word("t") if text_rules else "CASE WHEN t IS NOT NULL THEN 0 END"
-    histogram = values.selectExpr("ord", f"{flags} AS f", "length(t) AS size").groupBy("ord", "f").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    extremes = {"approx_distinct": approx_distinct("t"), "single_value": "min(t) = max(t)", "min_text": "min(t)", "max_text": "max(t)"}
+    looked = values.selectExpr("ord", "t", f"{_look('t')} AS look") if text_rules else values
+    flags = _flag_word("t", "look") if text_rules else "CASE WHEN t IS NOT NULL THEN 0 END"
+    mark, spread = (["xxhash64(t) AS h"], [F.min("h").alias("lo"), F.max("h").alias("hi")]) if hashed else ([], [])
+    histogram = looked.selectExpr("ord", f"{flags} AS f", "length(t) AS size", *mark).groupBy("ord", "f").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), *spread)
     counts = {"rows": "sum(n)", "nulls": "sum(CASE WHEN f IS NULL THEN n ELSE 0 END)",
               "avg_length": "try_divide(CAST(sum(chars) AS DOUBLE), sum(CASE WHEN f IS NOT NULL THEN n END))"}
     counts |= _text_aggs() if text_rules else {}
+    if hashed:
+        counts["single_value"] = "min(CASE WHEN f IS NOT NULL THEN lo END) = max(CASE WHEN f IS NOT NULL THEN hi END)"
     plain = histogram.groupBy("ord").agg(*_named(counts))
-    return _by_column(plain, values, ends) if sketches else plain.join(_text_ends(df, columns), "ord")
+    if hashed:
+        return plain
+    return _by_column(plain, values, extremes) if sketches else plain.join(text_ends(df, columns), "ord")
 
 
 def _value_stats(df: DataFrame, columns: dict[int, T.StructField], quartiles: bool, sketches: bool, cfg: LensConfig) -> DataFrame:
@@ -216,9 +237,10 @@ def _as_stats(stats: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = True, quartiles: bool = True,
-                 sketches: bool = True) -> DataFrame:
+                 sketches: bool = True, ends: bool = True) -> DataFrame:
     """One row per column. Counts, moments and extremes are exact; distinct counts and quartiles are sketches
     (without ``sketches`` and ``quartiles`` they stay empty, for callers that compute exact ones or need none; generated code then does all).
+    Without ``ends`` and ``sketches`` texts have no extremes either, and single_value says of them that all have one 64-bit hash.
 
     Values are turned into (column, value) rows inside the scan and aggregated by column before the shuffle, so the
     generated code does not grow with the width of the table. Text and other columns, and blocks of columns in a
@@ -231,7 +253,7 @@ def column_stats(df: DataFrame, cfg: LensConfig = DEFAULT, text_rules: bool = Tr
     for group, is_text in ((other, False), (text, True)):
         for start in range(0, len(group), cfg.columns_per_pass):
             block = {i: fields[i] for i in group[start:start + cfg.columns_per_pass]}
-            stats = _text_stats(df, block, text_rules, sketches) if is_text else _value_stats(df, block, quartiles, sketches, cfg)
+            stats = _text_stats(df, block, text_rules, sketches, ends) if is_text else _value_stats(df, block, quartiles, sketches, cfg)
             names = [(i, f.name, f.dataType.simpleString(), kind_of(f.dataType)) for i, f in block.items()]
             schema = df.sparkSession.createDataFrame(names, "ord int, column string, type string, kind string")
             parts.append(_as_stats(stats, schema))

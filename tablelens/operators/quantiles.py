@@ -21,7 +21,7 @@ from tablelens.functions.text import col, ident
 from tablelens.sources.tables import broadcast_if_small, cut_lineage
 
 DIGIT_BITS = 16
-FINE_BITS = 12           # of the image that columns are counted by after the first pass
+FINE_BITS = 14           # of the image that columns are counted by after the first pass
 BLOCK_VALUES = 1 << 20   # values that are counted at once
 HELD_ROWS = 1 << 18      # counted rows that a task holds before it hands them on
 
@@ -167,7 +167,7 @@ WHOLE = tuple(int(image(np.array([e]))[0]) for e in (-np.inf, np.inf))
 def _binned(values: DataFrame, spans: dict[int, list[tuple[int, int]]], bits: int) -> DataFrame:
     """ord, parent, prefix, n, lo, hi: the values of columns within spans of images, counted by the leading bits of their distance from its start.
 
-    A task counts every span in arrays of 2^bits places. lo and hi are the images of the extremes; of the whole line, the ends of the place.
+    A task counts every span in arrays of 2^bits places. lo and hi are the images of the extremes of a place.
     """
     size = 1 << bits
     shift = {(i, k): max(0, (hi - lo).bit_length() - bits) for i, parts in spans.items() for k, (lo, hi) in enumerate(parts)}
@@ -187,9 +187,8 @@ def _binned(values: DataFrame, spans: dict[int, list[tuple[int, int]]], bits: in
                 # unsigned, since the distance of two images may pass 63 bits
                 at = ((mine.view(np.uint64) - np.uint64(lo % 2**64)) >> np.uint64(shift[i, k])).astype(np.int64)
                 n += np.bincount(at, minlength=size)
-                if (lo, hi) != WHOLE:
-                    np.minimum.at(low, at, mine)
-                    np.maximum.at(high, at, mine)
+                np.minimum.at(low, at, mine)
+                np.maximum.at(high, at, mine)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, waiting, rows = {}, [], 0
@@ -203,32 +202,34 @@ def _binned(values: DataFrame, spans: dict[int, list[tuple[int, int]]], bits: in
             add(found, pa.Table.from_batches(waiting))
         for (i, k), (n, low, high) in found.items():
             at = np.flatnonzero(n)
-            lo, hi = low[at], high[at]
-            if spans[i][k] == WHOLE:
-                start = [WHOLE[0] + (int(a) << shift[i, k]) for a in at]
-                lo, hi = np.array(start), np.array([min(s + (1 << shift[i, k]) - 1, WHOLE[1]) for s in start])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(np.full(len(at), k), pa.int32()),
-                                              pa.array(at), pa.array(n[at]), pa.array(lo), pa.array(hi)],
+                                              pa.array(at), pa.array(n[at]), pa.array(low[at]), pa.array(high[at])],
                                              ["ord", "parent", "prefix", "n", "lo", "hi"])
 
     found = values.select(*[f"v{i}" for i in spans]).mapInArrow(count, schema)
     return found.groupBy("ord", "parent", "prefix").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _of_columns(values: DataFrame, probs: list[float]) -> dict[int, list[float]]:
-    """Quantiles of the columns v0, v1, ... that hold values; a few rows per column reach the driver after every pass."""
+def _of_columns(values: DataFrame, probs: list[float], ends: dict[int, tuple[float, float]]) -> dict[int, list[float]]:
+    """Quantiles of the columns v0, v1, ... that hold values; a few rows per column reach the driver after every pass.
+
+    The first pass divides what lies between the known ends of a column, else the whole line.
+    """
     spark = values.sparkSession
-    counts = _binned(values, {i: [WHOLE] for i in range(len(values.columns))}, DIGIT_BITS)
+    first = {i: tuple(int(x) for x in image(np.array(e) + 0.0)) for i, e in ends.items()}
+    counts = _binned(values, {i: [first.get(i, WHOLE)] for i in range(len(values.columns))}, DIGIT_BITS)
     total = counts.withColumn("n_all", F.sum("n").over(Window.partitionBy("ord")))
     wanted = f"transform({ranks(probs).replace('(n - 1)', '(n_all - 1)')}, (r, i) -> named_struct('target', i, 'rank', r))"
-    rows = _pick(total, ["ord"], wanted, "n_all").collect()
+    rows = _pick(total, ["ord"], wanted, "n_all", "n").collect()
     sizes = {r["ord"]: r["n_all"] for r in rows}
     known: dict[tuple[int, int], float] = {}
     while True:
-        known |= {(r["ord"], r["target"]): from_image(r["lo"]) for r in rows if r["lo"] == r["hi"]}
+        at_end = {(r["ord"], r["target"]): r["lo"] if r["rank"] == 0 else r["hi"] for r in rows
+                  if r["lo"] == r["hi"] or r["rank"] in (0, r["n"] - 1)}  # the extremes of a place are values
+        known |= {k: from_image(x) for k, x in at_end.items()}
         spans: dict[int, list[tuple[int, int]]] = {}
         asked: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in (r for r in rows if r["lo"] < r["hi"]):
+        for r in (r for r in rows if (r["ord"], r["target"]) not in at_end):
             mine = spans.setdefault(r["ord"], [])
             if (r["lo"], r["hi"]) not in mine:
                 mine.append((r["lo"], r["hi"]))
@@ -237,7 +238,7 @@ def _of_columns(values: DataFrame, probs: list[float]) -> dict[int, list[float]]
             break
         ask = spark.createDataFrame([(*k, v) for k, v in asked.items()], "ord int, parent int, _asked array<struct<target: int, rank: bigint>>")
         finer = _binned(values, spans, FINE_BITS).join(F.broadcast(ask), ["ord", "parent"])
-        rows = _pick(finer, ["ord"], "_asked").collect()
+        rows = _pick(finer, ["ord"], "_asked", "n").collect()
     out = {}
     for i, n in sizes.items():
         at = [p * (n - 1) for p in probs]
@@ -246,18 +247,20 @@ def _of_columns(values: DataFrame, probs: list[float]) -> dict[int, list[float]]
     return out
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, str], probs: list[float],
-                    cfg: LensConfig = DEFAULT) -> dict[str, list[float] | None]:
+def exact_quantiles(df: DataFrame, columns: dict[str, str], probs: list[float], cfg: LensConfig = DEFAULT,
+                    ends: dict[str, tuple[float, float]] | None = None) -> dict[str, list[float] | None]:
     """Quantiles of several numeric SQL expressions, by name; one short list per expression comes back, None without values.
 
-    Wide tables go in blocks of columns.
+    Wide tables go in blocks of columns. ``ends`` are the exact minimum and maximum where the caller knows them; they save passes.
     """
+    ends = ends or {}
     out: dict[str, list[float] | None] = dict.fromkeys(columns)
     names = list(columns)
     for start in range(0, len(names), cfg.columns_per_pass):
         block = names[start:start + cfg.columns_per_pass]
         values = df.selectExpr(*[f"CAST({columns[n]} AS DOUBLE) AS v{i}" for i, n in enumerate(block)])
-        out |= {block[i]: q for i, q in _of_columns(values, probs).items()}
+        known = {i: ends[n] for i, n in enumerate(block) if n in ends}
+        out |= {block[i]: q for i, q in _of_columns(values, probs, known).items()}
     return out
 
 

@@ -107,7 +107,7 @@ def null_counts(spark, sf_dir):
 
 
 def _decisions(df):
-    return cl.decide(column_stats(df, quartiles=False, sketches=False), cl.repeated_names(df.columns))
+    return cl.screen(df)
 
 
 _ALL_DIRTY = _CLEAN_COLUMNS + list(LINEITEM_DIRTY)

@@ -33,6 +33,8 @@ SKETCH_BITS, SKETCH_BLOCK, FILTER_BITS = 22, 1 << 17, 22
 TILE_BYTES = 16 << 20
 #: Documents of one block of a tile that is dealt to several tasks, and of a run whose pairs are formed together with those of other runs.
 BLOCK_ROWS, FEW = 4096, 32
+#: Nodes that are sent to all tasks at most; a longer list is joined by shuffle.
+SENT_NODES = 1 << 20
 #: Pairs, and bytes of their bitmaps, that are compared at once.
 PAIRS, PAIR_BYTES = 1 << 17, 16 << 20
 
@@ -136,7 +138,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def cards(docs: DataFrame, like: Likeness) -> tuple[DataFrame, np.ndarray]:
-    """A row per document: node (a number of its own), doc_id, n, digest, and prefix and bitmap (null for a copy seen in the same task).
+    """A row per document: node (a number of its own), doc_id, n, digest, and prefix and bitmap (null for a copy seen before in the same task).
 
     Also the sketch of how frequent shingles are.
     """
@@ -486,23 +488,35 @@ def remaining_links(shared: DataFrame, rows: int, labels: DataFrame, cards_: Dat
     return dealt.groupBy("slot").cogroup(sets.groupBy("slot")).applyInArrow(link, "a long, b long")
 
 
+def one_of_equal(cards_: DataFrame) -> DataFrame:
+    """The cards with a prefix, one of each set: the smallest node. Tasks leave out the copies that they see; this leaves out those of other tasks.
+
+    A set has no more such cards than there are tasks, so no group is large.
+    """
+    firsts = cards_.where("prefix IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("node"))
+    again = written(firsts.select("node", place.alias("place")).where("place > 1").select("node"))
+    n = again.count()
+    if not n:
+        return firsts
+    return firsts.join(F.broadcast(again) if n <= SENT_NODES else again, "node", "left_anti")
+
+
 def grouped(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
     """node, doc_id, m1, m2, n, root for every row of marked documents, and their number; root is the same for rows of one group."""
     made, sketched = cards(docs, like)
     all_ = written(made)
     rows = all_.count()
-    shared = written(shared_postings(postings(all_, sketched, max(1, rows // HOT_SHARE)), rows))
+    shared = written(shared_postings(postings(one_of_equal(all_), sketched, max(1, rows // HOT_SHARE)), rows))
     posts = shared.count()
     pairs = written(first_pairs(shared, posts, like))
     links = written(compare(pairs, all_, docs, like))
-    # equal sets in different tasks are one node: the smallest
-    sets = written(all_.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")))
-    firsts = all_.where("prefix IS NOT NULL").select("d1", "d2", F.col("node").alias("b"))
-    equal = written(firsts.join(sets, ["d1", "d2"]).where("b <> node").select(F.col("node").alias("a"), "b"))
-    labels = components(links.union(equal))
+    labels = components(links)
     more = written(remaining_links(shared, posts, labels, all_, docs, like))
     if not more.isEmpty():
-        labels = components(links.union(equal).union(more))
+        labels = components(links.union(more))
+    # equal sets are one node: the smallest
+    sets = written(all_.where("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")))
     keyed = sets.join(labels, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "copies")
     # documents to their set: this join is safe for hot keys
     key = F.struct("d1", "d2")
